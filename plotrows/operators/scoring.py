@@ -87,12 +87,24 @@ def routed_scoring(df: DataFrame, route_col: str, models: Mapping[str, Callable[
             for route, part in b.groupby(route_col, sort=False):
                 try:
                     model = _cached(f"route:{route}", factories[route])
-                    res = pd.Series(model(part[input_col]), index=part.index)
-                    outs.append(res)
-                    errs.append(pd.Series([None] * len(part), index=part.index, dtype=object))
-                except Exception as e:  # noqa: BLE001 - per-route failure is data, not a job failure
+                except Exception as e:  # noqa: BLE001 - a model that cannot load fails its rows only
                     outs.append(pd.Series([None] * len(part), index=part.index, dtype=object))
                     errs.append(pd.Series([f"{type(e).__name__}: {e}"] * len(part), index=part.index))
+                    continue
+                try:
+                    outs.append(pd.Series(list(model(part[input_col])), index=part.index, dtype=object))
+                    errs.append(pd.Series([None] * len(part), index=part.index, dtype=object))
+                except Exception:  # noqa: BLE001 - isolate the failing rows, as a per-image try would
+                    o, r = [], []
+                    for v in part[input_col]:
+                        try:
+                            o.append(list(model(pd.Series([v])))[0])
+                            r.append(None)
+                        except Exception as e:  # noqa: BLE001
+                            o.append(None)
+                            r.append(f"{type(e).__name__}: {e}")
+                    outs.append(pd.Series(o, index=part.index, dtype=object))
+                    errs.append(pd.Series(r, index=part.index, dtype=object))
             text = pd.concat(outs).reindex(b.index) if outs else pd.Series([], dtype=object)
             err = pd.concat(errs).reindex(b.index) if errs else pd.Series([], dtype=object)
             yield pd.DataFrame({key: b[key], route_col: b[route_col], out_col: text, "error": err})

@@ -1 +1,99 @@
-"""placeholder"""
+"""Registered source/sink and model queries checked by row count (no SQL oracle).
+
+Each one derives its files from the driver tables with Spark (JSON, PNG) into
+a fresh folder under the shared checkpoint root, then scans them back.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from plotrows import constants as K
+from plotrows.functions.series import decode_xxyy, encode_xxyy
+from plotrows.operators.images import image_prep, write_png_folder
+from plotrows.operators.scoring import route_of, routed_scoring, train_class_model
+from plotrows.plans.catalog import register
+from plotrows.session import scratch_path
+from plotrows.sources import fixtures as fx
+from plotrows.sources.files import default_class_listing, scan_annotations, scan_images
+
+
+def write_annotations(spark, sf_dir: str) -> str:
+    """Annotation JSON derived from charts + points: x as text, y as a JSON number, an extra key."""
+    c = fx.charts_with_series(spark, sf_dir)
+    series = F.transform("gts", lambda p: F.struct(p["x"].alias("x"), p["y"].cast("double").alias("y")))
+    doc = c.select("image_id", F.col("source"), F.col("chart_type").alias("chart-type"),
+                   series.alias("data-series"), F.struct(F.col("n_points").alias("k")).alias("extra"))
+    out = scratch_path(spark, "annotations")
+    doc.drop("image_id").write.mode("overwrite").option("maxRecordsPerFile", 1000).json(out)
+    return out
+
+
+@register("scan_annotations", kind="R")
+def q_scan_annotations(spark, sf_dir):
+    path = write_annotations(spark, sf_dir)
+    a = scan_annotations(spark, path, multi_line=False)
+    return a.select("annotation_path", "image_path", "source", "chart_type",
+                    F.size("gts").cast("long").alias("n_points"), encode_xxyy("gts").alias("label"))
+
+
+@register("default_class_listing", kind="R")
+def q_default_class_listing(spark, sf_dir):
+    return default_class_listing(spark, write_annotations(spark, sf_dir))
+
+
+def _rgb_of(row) -> np.ndarray:
+    v = np.asarray(row["px"], dtype=np.float64).reshape(8, 8)
+    g = np.clip(np.rint((v + 1.0) * 127.5), 0, 255).astype(np.uint8)
+    return np.stack([g, 255 - g, (g.astype(np.int64) * 7 % 256).astype(np.uint8)], axis=2)
+
+
+def write_images(spark, sf_dir: str) -> str:
+    out = scratch_path(spark, "images")
+    px = fx.pixels(spark, sf_dir).select("id", "px")
+    write_png_folder(px, "id", _rgb_of, out).count()
+    return out
+
+
+@register("image_scan", kind="R")
+def q_image_scan(spark, sf_dir):
+    return scan_images(spark, write_images(spark, sf_dir)).select("path", "height", "width", "channels")
+
+
+@register("image_prep", kind="R")
+def q_image_prep(spark, sf_dir):
+    imgs = scan_images(spark, write_images(spark, sf_dir))
+    prepped = image_prep(imgs, 16, 16)
+    return prepped.select("path", F.size("tensor").cast("long").alias("n_values"),
+                          F.get("tensor", 0).cast("double").alias("first_value"))
+
+
+def _echo_model():
+    return lambda s: s
+
+
+def _strict_model():
+    def model(s):
+        if (s.str.len() == 0).any():
+            raise ValueError("empty model input")
+        return s
+    return model
+
+
+@register("routed_scoring", kind="R")
+def q_routed_scoring(spark, sf_dir):
+    p = fx.predictions(spark, sf_dir).withColumn("route", route_of("chart_type"))
+    models = {K.ROUTE_HORIZONTAL: _echo_model, K.ROUTE_SCATTER_LINE: _echo_model, K.ROUTE_DEFAULT: _strict_model}
+    scored = routed_scoring(p, "route", models, "raw", "image_id")
+    return scored.withColumn("decoded", decode_xxyy("text").isNotNull())
+
+
+@register("train_class_model", kind="R")
+def q_train_class_model(spark, sf_dir):
+    px = fx.pixels(spark, sf_dir).withColumn("label", (F.col("raw_label") % 5).cast("int"))
+    train = px.filter(F.col("id") % 10 != 0)
+    valid = px.filter(F.col("id") % 10 == 0)
+    _, acc, pred = train_class_model(train, valid, "px", "label", max_iter=30)
+    return pred.groupBy().agg(F.count(F.lit(1)).alias("n_valid"),
+                              F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
