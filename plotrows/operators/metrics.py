@@ -141,3 +141,15 @@ def checkpoint_registry(epochs: DataFrame, run: str, epoch_order: str, loss: str
     best_path = F.concat(F.lit(f"best_{prefix}_run_"), F.col(run).cast("string"), tail)
     return (s.withColumn("path", path).withColumn("best_path", F.when(F.col("is_best"), best_path))
             .drop(f"prev_min_{loss}"))
+
+
+def value_counts(df: DataFrame, col: str, rank_col: str = "rank") -> DataFrame:
+    """A2: count per value, nulls dropped, ranked by count descending then value.
+
+    The ranking window runs over the aggregated table (one row per distinct
+    value), never over the input rows.
+    """
+    from pyspark.sql import Window
+    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy(F.col("n").desc(), F.col(col))
+    return counts.withColumn(rank_col, (F.row_number().over(w) - 1).cast("long"))

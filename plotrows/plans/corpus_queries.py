@@ -186,3 +186,11 @@ def q_image_path(spark, sf_dir):
         "image_id", F.concat(F.lit("./train/annotations/"), F.col("image_id").cast("string"),
                              F.lit(".json")).alias("annotation_path"))
     return c.withColumn("image_path", annotation_to_image_path("annotation_path"))
+
+
+@register("class_counts", sql=fx.with_views(["charts"], """
+SELECT chart_type, n, row_number() OVER (ORDER BY n DESC, chart_type) - 1 AS rank
+FROM (SELECT chart_type, count(*) AS n FROM charts WHERE chart_type IS NOT NULL GROUP BY chart_type)"""))
+def q_class_counts(spark, sf_dir):
+    from plotrows.operators.metrics import value_counts
+    return value_counts(fx.charts(spark, sf_dir), "chart_type")
