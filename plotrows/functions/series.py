@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotrows import constants as K
-from plotrows.functions.numbers import py_float, py_round, py_str, py_strip
+from plotrows.functions.numbers import let, py_float, py_round, py_str, py_strip
 
 SERIES_TYPE = "array<struct<pos:int,x:string,y:string>>"
 
@@ -62,17 +62,17 @@ def encode_xyxy(series) -> Column:
 
 def round_value_text(v: Column, digits: int = 4) -> Column:
     """``str(round(float(v), digits))`` when ``v`` parses as a float, else ``v``."""
-    f = py_float(v)
-    return F.when(f.isNotNull(), py_str(py_round(f, digits))).otherwise(v)
+    return let(py_float(v), lambda f: F.when(f.isNotNull(), py_str(py_round(f, digits))).otherwise(v))
 
 
 def digit_round_value_text(v: Column) -> Column:
     """Only text containing one '.'; integer part longer than 2 chars -> 2 dp, else 4 dp."""
-    f = py_float(v)
-    one_dot = (F.size(F.split(v, "\\.")) == 2)
-    int_part = F.substring_index(v, ".", 1)
-    rounded = F.when(F.length(int_part) > 2, py_str(py_round(f, 2))).otherwise(py_str(py_round(f, 4)))
-    return F.when(f.isNotNull() & one_dot, rounded).otherwise(v)
+    def body(f: Column) -> Column:
+        one_dot = (F.size(F.split(v, "\\.")) == 2)
+        int_part = F.substring_index(v, ".", 1)
+        rounded = F.when(F.length(int_part) > 2, py_str(py_round(f, 2))).otherwise(py_str(py_round(f, 4)))
+        return F.when(f.isNotNull() & one_dot, rounded).otherwise(v)
+    return let(py_float(v), body)
 
 
 def _exact_round_array(digits: int):
@@ -149,11 +149,15 @@ def decode_xxyy(raw) -> Column:
     r = _col(raw)
     parts = F.when(r.contains(K.XXYY_MIDDLE_TIGHT), F.split(r, K.XXYY_MIDDLE_TIGHT, -1)) \
         .otherwise(F.split(r, K.XXYY_MIDDLE, -1))
-    x_side = F.get(F.split(F.get(parts, 0), K.X_START, -1), 1)
-    y_side = F.get(F.split(F.get(parts, 1), K.Y_END, -1), 0)
-    ok = x_side.isNotNull() & y_side.isNotNull()
-    return F.when(ok, F.struct(F.split(x_side, K.XXYY_VALUE_SEP, -1).alias("xs"),
-                               F.split(y_side, K.XXYY_VALUE_SEP, -1).alias("ys")))
+
+    def body(sides: Column) -> Column:
+        x_side, y_side = F.get(sides, 0), F.get(sides, 1)
+        ok = x_side.isNotNull() & y_side.isNotNull()
+        return F.when(ok, F.struct(F.split(x_side, K.XXYY_VALUE_SEP, -1).alias("xs"),
+                                   F.split(y_side, K.XXYY_VALUE_SEP, -1).alias("ys")))
+
+    return let(parts, lambda p: body(F.array(F.get(F.split(F.get(p, 0), K.X_START, -1), 1),
+                                             F.get(F.split(F.get(p, 1), K.Y_END, -1), 0))))
 
 
 def with_decode_fallback(decoded: Column) -> Column:
@@ -165,11 +169,11 @@ def with_decode_fallback(decoded: Column) -> Column:
 
 def clean_y_xxyy(v: Column) -> Column:
     """E8 y rule: float -> Python float text, NaN/inf -> 0; not a float: empty -> 0, else kept."""
-    f = py_float(v)
-    return (F.when(f.isNotNull(),
-                   F.when(F.isnan(f) | (F.abs(f) == float("inf")), F.lit("0")).otherwise(py_str(f)))
-            .when(F.length(v) == 0, F.lit("0"))
-            .otherwise(v))
+    return let(py_float(v), lambda f: (
+        F.when(f.isNotNull(),
+               F.when(F.isnan(f) | (F.abs(f) == float("inf")), F.lit("0")).otherwise(py_str(f)))
+        .when(F.length(v) == 0, F.lit("0"))
+        .otherwise(v)))
 
 
 def clean_x_xxyy(v: Column) -> Column:
@@ -200,16 +204,18 @@ def _type_column(cells: Column) -> Column:
     -> Python float text with missing as 'nan'; otherwise the text as is with
     missing as 'nan'.
     """
-    n_null = F.size(F.filter(cells, lambda c: c.isNull()))
-    n_int = F.size(F.filter(cells, lambda c: c.rlike(_INT_RE)))
-    n_num = F.size(F.filter(cells, lambda c: c.rlike(_NUM_RE)))
-    n = F.size(cells)
-    as_int = F.transform(cells, lambda c: c.cast("long").cast("string"))
-    as_float = F.transform(cells, lambda c: F.coalesce(py_str(c.cast("double")), F.lit("nan")))
-    as_text = F.transform(cells, lambda c: F.coalesce(c, F.lit("nan")))
-    return (F.when((n_null == 0) & (n_int == n), as_int)
-            .when(n_num + n_null == n, as_float)
-            .otherwise(as_text))
+    def body(cs: Column) -> Column:
+        n_null = F.size(F.filter(cs, lambda c: c.isNull()))
+        n_int = F.size(F.filter(cs, lambda c: c.rlike(_INT_RE)))
+        n_num = F.size(F.filter(cs, lambda c: c.rlike(_NUM_RE)))
+        n = F.size(cs)
+        as_int = F.transform(cs, lambda c: c.cast("long").cast("string"))
+        as_float = F.transform(cs, lambda c: F.coalesce(py_str(c.cast("double")), F.lit("nan")))
+        as_text = F.transform(cs, lambda c: F.coalesce(c, F.lit("nan")))
+        return (F.when((n_null == 0) & (n_int == n), as_int)
+                .when(n_num + n_null == n, as_float)
+                .otherwise(as_text))
+    return let(cells, body)
 
 
 def decode_xyxy(text) -> Column:
@@ -222,23 +228,23 @@ def decode_xyxy(text) -> Column:
     """
     t = _col(text)
     rows = F.filter(F.split(t, K.XYXY_NEWLINE, -1), lambda r: F.length(py_strip(r)) > 0)
-    cells = F.transform(rows, lambda r: F.split(r, " \\| ", -1))
-    bad = F.exists(cells, lambda c: F.size(c) > 2)
 
     def norm(c: Column) -> Column:
-        s = F.regexp_replace(c, "^[ \\t]+|[ \\t]+$", "")
-        return F.when(s.isNull() | s.isin(*_NA_WORDS), F.lit(None).cast("string")).otherwise(s)
+        return let(F.regexp_replace(c, "^[ \\t]+|[ \\t]+$", ""),
+                   lambda s: F.when(s.isNull() | s.isin(*_NA_WORDS), F.lit(None).cast("string")).otherwise(s))
+
+    def body(cells: Column) -> Column:
+        bad = F.exists(cells, lambda c: F.size(c) > 2)
+        xs = F.transform(cells, lambda c: norm(F.get(c, 0)))
+        ys = F.transform(cells, lambda c: norm(F.get(c, 1)))
+        return F.when(t.isNotNull() & ~bad, F.struct(_type_column(xs).alias("xs"), _type_column(ys).alias("ys")))
 
-    xs = F.transform(cells, lambda c: norm(F.get(c, 0)))
-    ys = F.transform(cells, lambda c: norm(F.get(c, 1)))
-    return F.when(t.isNotNull() & ~bad,
-                  F.struct(_type_column(xs).alias("xs"), _type_column(ys).alias("ys")))
+    return let(F.transform(rows, lambda r: F.split(r, " \\| ", -1)), body)
 
 
 def clean_xyxy_value(v: Column) -> Column:
     """A value that is not a float, or is NaN, becomes 0 (inf is kept)."""
-    f = py_float(v)
-    return F.when(f.isNull() | F.isnan(f), F.lit("0")).otherwise(v)
+    return let(py_float(v), lambda f: F.when(f.isNull() | F.isnan(f), F.lit("0")).otherwise(v))
 
 
 def decode_xyxy_pandas(text) -> Column:

@@ -80,3 +80,27 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``plotrows`` importable by every Python worker, once per application.
+
+    Functions handed to ``mapInPandas``/pandas UDFs are pickled by reference to
+    this package, so workers must be able to import it.  On a cluster this is
+    normally done with ``--py-files``; this zips the installed package from the
+    driver and registers it with ``addPyFile`` if that has not happened yet.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="plotrows-pkg-")
+    base = os.path.join(staging, "plotrows")
+    shutil.make_archive(base, "zip", root_dir=os.path.dirname(pkg_dir), base_dir="plotrows")
+    sc.addPyFile(base + ".zip")
+    _SHIPPED.add(app)

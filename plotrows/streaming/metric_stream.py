@@ -28,11 +28,14 @@ def epoch_rollup_stream(spark: SparkSession, log_dir: str, lateness: str = "2 da
                         schema: T.StructType = METRIC_SCHEMA) -> DataFrame:
     """Streaming (run, epoch, metric) -> n, sum, min, max, sample_mean."""
     src = spark.readStream.schema(schema).parquet(log_dir)
-    return (src.withWatermark("epoch", lateness)
-            .groupBy("run", "epoch", "metric")
+    # watermarks need an instant type; the log keeps wall-clock (NTZ) epochs
+    src = src.withColumn("_event_time", F.col("epoch").cast("timestamp"))
+    return (src.withWatermark("_event_time", lateness)
+            .groupBy("run", "_event_time", "metric")
             .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"),
                  F.min("value").alias("min_value"), F.max("value").alias("max_value"))
-            .withColumn("sample_mean", F.col("total") / F.col("n")))
+            .withColumn("sample_mean", F.col("total") / F.col("n"))
+            .withColumn("epoch", F.col("_event_time").cast("timestamp_ntz")).drop("_event_time"))
 
 
 def start_rollup(spark: SparkSession, log_dir: str, out_dir: str, checkpoint_dir: str,
