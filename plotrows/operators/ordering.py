@@ -5,16 +5,21 @@ key: with five chart classes, fold numbering would use five tasks however
 large the corpus, and one hot run or chart would sit in a single task.  The
 operator here never puts a whole group in one task:
 
-1. range-partition on (group keys, order keys) -- the sampled boundaries
-   split a hot group over many balanced partitions -- and cut the lineage with
-   a reliable checkpoint so the boundaries cannot move on recompute;
-2. number and accumulate *within* (partition id, group), a balanced key;
-3. summarise each (partition id, group) to one row (count, sum, min), and
-   turn those into carries with a window per group ordered by partition id --
-   at most one row per partition per group, so bounded by the partition count;
-4. add the carries back with a join on (partition id, group).
-
-The carry table is broadcast only after its row count is checked.
+1. range-partition on (group keys, order keys) and sort inside each
+   partition -- the sampled boundaries split a hot group over many balanced
+   partitions -- then cut the lineage with a reliable checkpoint so the
+   boundaries cannot move if a lost executor forces a recompute;
+2. number rows inside each partition with ``monotonically_increasing_id``
+   (partition index in the high bits, position in the low bits): no shuffle;
+3. summarise each (partition, group) to one row (count, first position, and
+   sum/min/max for running aggregates) and turn those into carries with a
+   window per group ordered by partition -- at most one row per partition per
+   group, so bounded by the partition count for any single group;
+4. add the carries back with a join on (partition, group); the carry table is
+   broadcast after its row count is checked.
+
+Running sums and exclusive running min/max additionally need a window over
+(partition, group) -- a balanced key, never a whole group.
 """
 
 from __future__ import annotations
@@ -55,25 +60,17 @@ def ordered_scan(
     spark = df.sparkSession
     group_by = list(group_by)
     order_cols = _names(order_by)
+    sort_cols = [*[F.col(g) for g in group_by], *order_cols]
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    ranged = (df.repartitionByRange(n, *[F.col(g) for g in group_by], *order_cols)
-              .withColumn("_pid", F.spark_partition_id()))
+    pid = F.spark_partition_id().cast("long")
+    ranged = (df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
+              .withColumn("_pid", pid)
+              .withColumn("_lpos", F.monotonically_increasing_id() - F.shiftleft(pid, 33)))
     ranged = reliable_checkpoint(ranged)
 
     keys = ["_pid", *group_by]
-    w_local = Window.partitionBy(*keys).orderBy(*order_cols)
-    w_incl = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_excl = w_local.rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("_lrank", F.row_number().over(w_local) - 1)
-    for c in sums:
-        local = local.withColumn(f"_lsum_{c}", F.sum(c).over(w_incl))
-    for c in prev_mins:
-        local = local.withColumn(f"_lmin_{c}", F.min(c).over(w_excl))
-    for c in prev_maxs:
-        local = local.withColumn(f"_lmax_{c}", F.max(c).over(w_excl))
-
-    summary_aggs = [F.count(F.lit(1)).alias("_n")]
+    summary_aggs = [F.count(F.lit(1)).alias("_n"), F.min("_lpos").alias("_first")]
     summary_aggs += [F.sum(c).alias(f"_s_{c}") for c in sums]
     summary_aggs += [F.min(c).alias(f"_m_{c}") for c in prev_mins]
     summary_aggs += [F.max(c).alias(f"_x_{c}") for c in prev_maxs]
@@ -81,25 +78,40 @@ def ordered_scan(
     w_carry = (Window.partitionBy(*group_by) if group_by else Window.partitionBy()).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
-        *keys,
+        *keys, "_first",
         F.coalesce(F.sum("_n").over(w_carry), F.lit(0)).alias("_cn"),
         *[F.coalesce(F.sum(f"_s_{c}").over(w_carry), F.lit(0)).alias(f"_cs_{c}") for c in sums],
         *[F.min(f"_m_{c}").over(w_carry).alias(f"_cm_{c}") for c in prev_mins],
         *[F.max(f"_x_{c}").over(w_carry).alias(f"_cx_{c}") for c in prev_maxs],
-    ).persist()
-
-    if carry.count() <= BROADCAST_CARRY_ROWS:
-        carry = F.broadcast(carry)
-    out = local.join(carry, on=keys, how="left")
-
-    out = out.withColumn(rank_col, (F.col("_lrank") + F.col("_cn")).cast("long"))
+    )
+    if not group_by:
+        carry = F.broadcast(carry)            # one row per partition
+    else:
+        carry = carry.persist()
+        if carry.count() <= BROADCAST_CARRY_ROWS:
+            carry = F.broadcast(carry)
+
+    local = ranged
+    if sums or prev_mins or prev_maxs:
+        w_local = Window.partitionBy(*keys).orderBy("_lpos")
+        w_incl = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        w_excl = w_local.rowsBetween(Window.unboundedPreceding, -1)
+        for c in sums:
+            local = local.withColumn(f"_lsum_{c}", F.sum(c).over(w_incl))
+        for c in prev_mins:
+            local = local.withColumn(f"_lmin_{c}", F.min(c).over(w_excl))
+        for c in prev_maxs:
+            local = local.withColumn(f"_lmax_{c}", F.max(c).over(w_excl))
+
+    out = local.join(carry, on=keys, how="inner")
+    out = out.withColumn(rank_col, (F.col("_lpos") - F.col("_first") + F.col("_cn")).cast("long"))
     for c in sums:
         out = out.withColumn(f"cum_{c}", F.col(f"_lsum_{c}") + F.col(f"_cs_{c}"))
     for c in prev_mins:
         out = out.withColumn(f"prev_min_{c}", F.least(f"_lmin_{c}", f"_cm_{c}"))
     for c in prev_maxs:
         out = out.withColumn(f"prev_max_{c}", F.greatest(f"_lmax_{c}", f"_cx_{c}"))
-    drop = ["_pid", "_lrank", "_cn"]
+    drop = ["_pid", "_lpos", "_first", "_cn"]
     drop += [f"_lsum_{c}" for c in sums] + [f"_cs_{c}" for c in sums]
     drop += [f"_lmin_{c}" for c in prev_mins] + [f"_cm_{c}" for c in prev_mins]
     drop += [f"_lmax_{c}" for c in prev_maxs] + [f"_cx_{c}" for c in prev_maxs]

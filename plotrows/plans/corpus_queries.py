@@ -89,7 +89,7 @@ def q_encode_digit_round(spark, sf_dir):
 SELECT image_id, '<|BOS|><' || types || '>' || label_xxyy AS label_bos_xxyy,
        '<|BOS|><' || types || '>' || label_xyxy AS label_bos_xyxy FROM corpus"""))
 def q_encode_bos(spark, sf_dir):
-    c = corpus(spark, sf_dir)
+    c = fx.charts_with_series(spark, sf_dir).withColumnRenamed("chart_type", "types").withColumn("fold", F.lit(0))
     return c.select("image_id",
                     S.encode_label("gts", "types", "fold", "bos_xxyy").alias("label_bos_xxyy"),
                     S.encode_label("gts", "types", "fold", "bos_xyxy").alias("label_bos_xyxy"))
@@ -101,7 +101,7 @@ UNION ALL SELECT image_id, 'xyxy', label_xyxy FROM corpus
 UNION ALL SELECT image_id, 'bos_xxyy', '<|BOS|><' || types || '>' || label_xxyy FROM corpus
 UNION ALL SELECT image_id, 'bos_xyxy', '<|BOS|><' || types || '>' || label_xyxy FROM corpus"""))
 def q_label_dispatch(spark, sf_dir):
-    c = corpus(spark, sf_dir)
+    c = fx.charts_with_series(spark, sf_dir).withColumnRenamed("chart_type", "types").withColumn("fold", F.lit(0))
     kinds = ["xxyy", "xyxy", "bos_xxyy", "bos_xyxy"]
     rows = F.array(*[F.struct(F.lit(t).alias("label_type"),
                               S.encode_label("gts", "types", "fold", t).alias("label")) for t in kinds])
@@ -119,7 +119,7 @@ SELECT token,
        CAST(sum((length(label) - length(replace(label, token, ''))) // length(token)) AS BIGINT) AS n_occurrences
 FROM tk GROUP BY token"""))
 def q_token_audit(spark, sf_dir):
-    c = corpus(spark, sf_dir)
+    c = fx.charts_with_series(spark, sf_dir).withColumnRenamed("chart_type", "types").withColumn("fold", F.lit(0))
     lab = S.encode_label("gts", "types", "fold", "bos_xxyy")
     labels = c.select(lab.alias("label"))
     aggs = []
