@@ -146,10 +146,8 @@ def checkpoint_registry(epochs: DataFrame, run: str, epoch_order: str, loss: str
 def value_counts(df: DataFrame, col: str, rank_col: str = "rank") -> DataFrame:
     """A2: count per value, nulls dropped, ranked by count descending then value.
 
-    The ranking window runs over the aggregated table (one row per distinct
-    value), never over the input rows.
+    The rank comes from the skew-safe ordered scan over the aggregated table,
+    so a high-cardinality column never funnels through one window task.
     """
-    from pyspark.sql import Window
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.col("n").desc(), F.col(col))
-    return counts.withColumn(rank_col, (F.row_number().over(w) - 1).cast("long"))
+    return ordered_scan(counts, order_by=[F.col("n").desc(), F.col(col)], rank_col=rank_col)
