@@ -57,14 +57,15 @@ def ordered_scan(
     ``order_by`` must be a total order within a group (add a unique key as the
     last tie-breaker); group keys must be non-null.
     """
-    spark = df.sparkSession
     group_by = list(group_by)
     order_cols = _names(order_by)
     sort_cols = [*[F.col(g) for g in group_by], *order_cols]
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
+    # Without an explicit count the range exchange is sized by AQE (coalesced to
+    # the advisory partition size); merged neighbours stay contiguous ranges.
+    ranged = (df.repartitionByRange(num_partitions, *sort_cols) if num_partitions
+              else df.repartitionByRange(*sort_cols))
     pid = F.spark_partition_id().cast("long")
-    ranged = (df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
+    ranged = (ranged.sortWithinPartitions(*sort_cols)
               .withColumn("_pid", pid)
               .withColumn("_lpos", F.monotonically_increasing_id() - F.shiftleft(pid, 33)))
     ranged = reliable_checkpoint(ranged)
