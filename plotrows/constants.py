@@ -46,6 +46,9 @@ DEFAULT_CLASS = "line"                 # empty predicted class / listing default
 FAILED_SERIES = ["0"]                   # xxyy decode failure
 RECORD_FALLBACK_SERIES = "0;0"         # any other per-record failure
 
+# --- fixed values: the constant text prompt given to the series model -------
+SERIES_PROMPT = "Generate underlying data table of the figure below:"
+
 # --- fixed values: training constants ---------------------------------------
 PAD_TOKEN = "<pad>"
 MAX_LABEL_TOKENS = 512

@@ -73,11 +73,13 @@ def route_of(chart_type) -> Column:
 
 
 def routed_scoring(df: DataFrame, route_col: str, models: Mapping[str, Callable[[], Callable]],
-                   input_col: str, key: str, out_col: str = "text") -> DataFrame:
+                   input_col: str, key: str, out_col: str = "text", prompt: str | None = None) -> DataFrame:
     """M2: rows clustered by route; each worker lazily builds only the models it meets.
 
     A model maps a pandas Series of inputs to a Series of output texts.  Errors
-    do not fail the job: they land in ``error`` with ``out_col`` NULL.
+    do not fail the job: they land in ``error`` with ``out_col`` NULL.  With
+    ``prompt`` (P14) every input row carries the same constant prompt column,
+    passed to the model as its ``prompt`` keyword.
     """
     factories = dict(models)
 
@@ -91,14 +93,15 @@ def routed_scoring(df: DataFrame, route_col: str, models: Mapping[str, Callable[
                     outs.append(pd.Series([None] * len(part), index=part.index, dtype=object))
                     errs.append(pd.Series([f"{type(e).__name__}: {e}"] * len(part), index=part.index))
                     continue
+                kw = {"prompt": part["prompt"].iloc[0]} if "prompt" in part else {}
                 try:
-                    outs.append(pd.Series(list(model(part[input_col])), index=part.index, dtype=object))
+                    outs.append(pd.Series(list(model(part[input_col], **kw)), index=part.index, dtype=object))
                     errs.append(pd.Series([None] * len(part), index=part.index, dtype=object))
                 except Exception:  # noqa: BLE001 - isolate the failing rows, as a per-image try would
                     o, r = [], []
                     for v in part[input_col]:
                         try:
-                            o.append(list(model(pd.Series([v])))[0])
+                            o.append(list(model(pd.Series([v]), **kw))[0])
                             r.append(None)
                         except Exception as e:  # noqa: BLE001
                             o.append(None)
@@ -111,7 +114,8 @@ def routed_scoring(df: DataFrame, route_col: str, models: Mapping[str, Callable[
 
     key_type = dict(df.dtypes)[key]
     schema = f"{key} {key_type}, {route_col} string, {out_col} string, error string"
-    clustered = df.select(key, route_col, input_col).repartition(route_col, key)
+    cols = [key, route_col, input_col] + ([F.lit(prompt).alias("prompt")] if prompt is not None else [])
+    clustered = df.select(*cols).repartition(route_col, key)
     return clustered.mapInPandas(run, schema)
 
 

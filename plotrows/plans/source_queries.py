@@ -70,11 +70,11 @@ def q_image_prep(spark, sf_dir):
 
 
 def _echo_model():
-    return lambda s: s
+    return lambda s, prompt=None: s
 
 
 def _strict_model():
-    def model(s):
+    def model(s, prompt=None):
         if (s.str.len() == 0).any():
             raise ValueError("empty model input")
         return s
@@ -85,7 +85,7 @@ def _strict_model():
 def q_routed_scoring(spark, sf_dir):
     p = fx.predictions(spark, sf_dir).withColumn("route", route_of("chart_type"))
     models = {K.ROUTE_HORIZONTAL: _echo_model, K.ROUTE_SCATTER_LINE: _echo_model, K.ROUTE_DEFAULT: _strict_model}
-    scored = routed_scoring(p, "route", models, "raw", "image_id")
+    scored = routed_scoring(p, "route", models, "raw", "image_id", prompt=K.SERIES_PROMPT)
     return scored.withColumn("decoded", decode_xxyy("text").isNotNull())
 
 

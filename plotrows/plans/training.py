@@ -29,9 +29,12 @@ def train_valid_prep(spark: SparkSession, sf_dir: str, batch_size: int = 8, seed
             .select("image_id", "split", "pos", "batch_id"))
 
 
-def extra_sample(spark: SparkSession, sf_dir: str, n: int = 80_000, seed: int = K.SEED) -> DataFrame:
-    """Q5: validation = 0 rows without scatter, shuffled, first ``n``; validation = 1 rows kept whole."""
-    m = fx.extra_metadata(spark, sf_dir).filter(F.col("chart_type") != "scatter")
+def extra_sample(spark: SparkSession, sf_dir: str, n: int = 80_000, seed: int = K.SEED,
+                 exclude: tuple[str, ...] = ("scatter",), only: str | None = None) -> DataFrame:
+    """Q5: validation = 0 rows (minus ``exclude``, or only class ``only``: F7), shuffled,
+    first ``n``; validation = 1 rows of the same classes kept whole."""
+    m = fx.extra_metadata(spark, sf_dir)
+    m = m.filter(F.col("chart_type") == only) if only else m.filter(~F.col("chart_type").isin(*exclude))
     train = shuffle_limit(m.filter(F.col("validation") == 0), ["file_name"], n, seed)
     valid = m.filter(F.col("validation") == 1).withColumn("shuffle_rank", F.lit(None).cast("long"))
     cols = ["file_name", "chart_type", "shuffle_rank"]
