@@ -72,6 +72,22 @@ def route_of(chart_type) -> Column:
             .otherwise(F.lit(K.ROUTE_DEFAULT)))
 
 
+def _score_isolating(model, inputs: pd.Series, kw: dict) -> tuple[list, list]:
+    """Run ``model`` on a batch; on failure bisect so only the failing rows get an error.
+
+    A batch with f bad rows costs O(f log n) model calls instead of n.
+    """
+    try:
+        return list(model(inputs, **kw)), [None] * len(inputs)
+    except Exception as e:  # noqa: BLE001 - isolate, as a per-image try would
+        if len(inputs) == 1:
+            return [None], [f"{type(e).__name__}: {e}"]
+        mid = len(inputs) // 2
+        lo = _score_isolating(model, inputs.iloc[:mid].reset_index(drop=True), kw)
+        hi = _score_isolating(model, inputs.iloc[mid:].reset_index(drop=True), kw)
+        return lo[0] + hi[0], lo[1] + hi[1]
+
+
 def routed_scoring(df: DataFrame, route_col: str, models: Mapping[str, Callable[[], Callable]],
                    input_col: str, key: str, out_col: str = "text", prompt: str | None = None) -> DataFrame:
     """M2: rows clustered by route; each worker lazily builds only the models it meets.
@@ -94,20 +110,9 @@ def routed_scoring(df: DataFrame, route_col: str, models: Mapping[str, Callable[
                     errs.append(pd.Series([f"{type(e).__name__}: {e}"] * len(part), index=part.index))
                     continue
                 kw = {"prompt": part["prompt"].iloc[0]} if "prompt" in part else {}
-                try:
-                    outs.append(pd.Series(list(model(part[input_col], **kw)), index=part.index, dtype=object))
-                    errs.append(pd.Series([None] * len(part), index=part.index, dtype=object))
-                except Exception:  # noqa: BLE001 - isolate the failing rows, as a per-image try would
-                    o, r = [], []
-                    for v in part[input_col]:
-                        try:
-                            o.append(list(model(pd.Series([v]), **kw))[0])
-                            r.append(None)
-                        except Exception as e:  # noqa: BLE001
-                            o.append(None)
-                            r.append(f"{type(e).__name__}: {e}")
-                    outs.append(pd.Series(o, index=part.index, dtype=object))
-                    errs.append(pd.Series(r, index=part.index, dtype=object))
+                o, r = _score_isolating(model, part[input_col].reset_index(drop=True), kw)
+                outs.append(pd.Series(o, index=part.index, dtype=object))
+                errs.append(pd.Series(r, index=part.index, dtype=object))
             text = pd.concat(outs).reindex(b.index) if outs else pd.Series([], dtype=object)
             err = pd.concat(errs).reindex(b.index) if errs else pd.Series([], dtype=object)
             yield pd.DataFrame({key: b[key], route_col: b[route_col], out_col: text, "error": err})
