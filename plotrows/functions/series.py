@@ -193,15 +193,17 @@ def shorter_length(xs: Column, ys: Column) -> Column:
 # ---------------------------------------------------------------- xyxy -------
 
 _NA_WORDS = [w for w in K.PANDAS_NA_WORDS]
-_INT_RE = "^[+-]?[0-9]{1,18}$"
-_NUM_RE = "^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# pandas' parser: integers and decimals may carry surrounding spaces; the
+# missing-value words and inf/infinity only match exactly.
+_INT_RE = "^ *[+-]?[0-9]{1,18} *$"
+_NUM_RE = "^( *[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)? *|[+-]?(?i:inf|infinity))$"
 
 
 def _type_column(cells: Column) -> Column:
-    """pandas-style per-record column typing of stripped cells (NULL = missing).
+    """pandas-style per-record column typing of raw cells (NULL = missing).
 
     all present and integer -> integer text; all present-or-missing numeric
-    -> Python float text with missing as 'nan'; otherwise the text as is with
+    -> Python float text with missing as 'nan'; otherwise the raw text with
     missing as 'nan'.
     """
     def body(cs: Column) -> Column:
@@ -209,8 +211,9 @@ def _type_column(cells: Column) -> Column:
         n_int = F.size(F.filter(cs, lambda c: c.rlike(_INT_RE)))
         n_num = F.size(F.filter(cs, lambda c: c.rlike(_NUM_RE)))
         n = F.size(cs)
-        as_int = F.transform(cs, lambda c: c.cast("long").cast("string"))
-        as_float = F.transform(cs, lambda c: F.coalesce(py_str(c.cast("double")), F.lit("nan")))
+        bare = lambda c: F.regexp_replace(c, "^ +| +$", "")
+        as_int = F.transform(cs, lambda c: bare(c).cast("long").cast("string"))
+        as_float = F.transform(cs, lambda c: F.coalesce(py_str(bare(c).cast("double")), F.lit("nan")))
         as_text = F.transform(cs, lambda c: F.coalesce(c, F.lit("nan")))
         return (F.when((n_null == 0) & (n_int == n), as_int)
                 .when(n_num + n_null == n, as_float)
@@ -221,22 +224,25 @@ def _type_column(cells: Column) -> Column:
 def decode_xyxy(text) -> Column:
     """E6 (native subset): ``STRUCT<xs, ys>`` or NULL where the original raises.
 
-    Rows split on ``<0x0A>``, blank rows skipped, cells split on `` | ``; a
-    row with more than two cells is treated as a parse error.  Outside the
-    subset (quotes, three-cell tables, booleans, 16+ significant digits) use
+    Rows split on ``<0x0A>``, blank rows skipped, cells split on `` | ``.  The
+    first row fixes the width w (at least 2): the last two of w cells are x
+    and y, earlier ones the index; a later row wider than w is a parse error,
+    a narrower one leaves y (then x) missing.  Outside the subset (quotes,
+    booleans, numbers that overflow a double, 16+ significant digits) use
     ``decode_xyxy_pandas``.
     """
     t = _col(text)
     rows = F.filter(F.split(t, K.XYXY_NEWLINE, -1), lambda r: F.length(py_strip(r)) > 0)
 
     def norm(c: Column) -> Column:
-        return let(F.regexp_replace(c, "^[ \\t]+|[ \\t]+$", ""),
-                   lambda s: F.when(s.isNull() | s.isin(*_NA_WORDS), F.lit(None).cast("string")).otherwise(s))
+        return F.when(c.isNull() | c.isin(*_NA_WORDS), F.lit(None).cast("string")).otherwise(c)
 
     def body(cells: Column) -> Column:
-        bad = F.exists(cells, lambda c: F.size(c) > 2)
-        xs = F.transform(cells, lambda c: norm(F.get(c, 0)))
-        ys = F.transform(cells, lambda c: norm(F.get(c, 1)))
+        # the first row fixes the width: extra leading cells become the index
+        width = F.greatest(F.coalesce(F.size(F.get(cells, 0)), F.lit(2)), F.lit(2))
+        bad = F.exists(cells, lambda c: F.size(c) > width)
+        xs = F.transform(cells, lambda c: norm(F.get(c, width - 2)))
+        ys = F.transform(cells, lambda c: norm(F.get(c, width - 1)))
         return F.when(t.isNotNull() & ~bad, F.struct(_type_column(xs).alias("xs"), _type_column(ys).alias("ys")))
 
     return let(F.transform(rows, lambda r: F.split(r, " \\| ", -1)), body)

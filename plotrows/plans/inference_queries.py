@@ -46,21 +46,21 @@ wide AS (SELECT image_id, image_path, error,
 """
 
 _NA_SQL = "(" + ", ".join(f"'{w}'" for w in K.PANDAS_NA_WORDS) + ")"
-_NUM = "[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?"
+_NUM = " *[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)? *|[+-]?(?i:inf|infinity)"
 
 
 def _norm_cell(expr: str) -> str:
-    s = f"regexp_replace({expr}, '^[ \\t]+|[ \\t]+$', '', 'g')"
-    return f"CASE WHEN {expr} IS NULL OR {s} IN {_NA_SQL} THEN NULL ELSE {s} END"
+    return f"CASE WHEN {expr} IS NULL OR {expr} IN {_NA_SQL} THEN NULL ELSE {expr} END"
 
 
 def _type_sql(col: str) -> str:
+    bare = "regexp_replace(c, '^ +| +$', '', 'g')"
     return f"""CASE WHEN len(list_filter({col}, lambda c: c IS NULL)) = 0
-                 AND len(list_filter({col}, lambda c: regexp_full_match(c, '[+-]?[0-9]{{1,18}}'))) = len({col})
-            THEN list_transform({col}, lambda c: CAST(CAST(c AS BIGINT) AS VARCHAR))
+                 AND len(list_filter({col}, lambda c: regexp_full_match(c, ' *[+-]?[0-9]{{1,18}} *'))) = len({col})
+            THEN list_transform({col}, lambda c: CAST(CAST({bare} AS BIGINT) AS VARCHAR))
             WHEN len(list_filter({col}, lambda c: regexp_full_match(c, '{_NUM}')))
                  + len(list_filter({col}, lambda c: c IS NULL)) = len({col})
-            THEN list_transform({col}, lambda c: coalesce(CAST(CAST(c AS DOUBLE) AS VARCHAR), 'nan'))
+            THEN list_transform({col}, lambda c: coalesce(CAST(CAST({bare} AS DOUBLE) AS VARCHAR), 'nan'))
             ELSE list_transform({col}, lambda c: coalesce(c, 'nan')) END"""
 
 
@@ -73,10 +73,11 @@ y0 AS (SELECT image_id, image_path, chart_type, raw,
                                          lambda r: length(regexp_replace(r, '^\\s+|\\s+$', '', 'g')) > 0),
                              lambda r: string_split_regex(r, ' \\| ')) AS cells
        FROM predictions_xyxy),
-y1 AS (SELECT *, len(list_filter(cells, lambda c: len(c) > 2)) > 0 AS bad,
-              list_transform(cells, lambda c: {_norm_cell('c[1]')}) AS xn,
-              list_transform(cells, lambda c: {_norm_cell('c[2]')}) AS yn
-       FROM y0),
+yw AS (SELECT *, greatest(coalesce(len(cells[1]), 2), 2) AS w FROM y0),
+y1 AS (SELECT *, len(list_filter(cells, lambda c: len(c) > w)) > 0 AS bad,
+              list_transform(cells, lambda c: {_norm_cell('c[w - 1]')}) AS xn,
+              list_transform(cells, lambda c: {_norm_cell('c[w]')}) AS yn
+       FROM yw),
 y2 AS (SELECT image_id, image_path, chart_type, raw, bad,
               CASE WHEN bad THEN NULL ELSE {_type_sql('xn')} END AS xs,
               CASE WHEN bad THEN NULL ELSE {_type_sql('yn')} END AS ys

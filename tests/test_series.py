@@ -104,6 +104,15 @@ XYXY = [
     ("1 | 1,000 <0x0A> 2 | 5", ["1", "2"], ["1,000", "5"]),
     ("a | 1 <0x0A>  <0x0A> b | 2", ["a", "b"], ["1", "2"]),
     ("a | 1 <0x0A> b | 2 | 9", None, None),
+    ("a | 1 | 7 <0x0A> b | 2 | 9", ["1", "2"], ["7", "9"]),
+    ("a | 1 | 7 <0x0A> b | 2", ["1", "2"], ["7.0", "nan"]),
+    ("a | 1 | 7 <0x0A> b | 2 | 9 | 4", None, None),
+    ("a | 1 | 7 | 8 <0x0A> b | 2 | 9 | 1", ["7", "9"], ["8", "1"]),
+    ("a <0x0A> b | 2", ["a", "b"], ["nan", "2.0"]),
+    ("a | 1 <0x0A> b | -Infinity <0x0A> c | inf", ["a", "b", "c"], ["1", "-Infinity", "inf"]),
+    ("a | 1 <0x0A> b | -Infinity", ["a", "b"], ["1.0", "-inf"]),
+    ("a | 1 <0x0A> b | NULL <0x0A> c | 3", ["a", "b", "c"], ["1", "NULL", "3"]),
+    ("a | 1 <0x0A> NULL | 2 <0x0A> c | 3", ["a", "NULL", "c"], ["1", "2", "3"]),
     ("", [], []),
 ]
 
@@ -147,3 +156,28 @@ def test_xxyy_round_trip_property(spark):
     for r in out:
         assert list(r.d.xs) == [p.x for p in r.gts]
         assert list(r.d.ys) == [p.y for p in r.gts]
+
+
+def test_native_xyxy_matches_pandas_on_random_subset(spark):
+    rnd = random.Random(17)
+    tokens = ["1", "-2", "007", "+5", "3.25", "1e5", "-0.5", ".5", "abc", "x y", "N/A", "NULL", "nan", "inf",
+              "-Infinity", "1,000", "12.50", "0"]
+    texts = []
+    for _ in range(400):
+        width = rnd.choice([2, 2, 2, 3])
+        rows = []
+        for r in range(rnd.randint(1, 4)):
+            cells = [rnd.choice(tokens) for _ in range(width if r == 0 else rnd.randint(1, width))]
+            rows.append(" | ".join(cells))
+        if rnd.random() < 0.1:
+            rows.insert(rnd.randint(0, len(rows)), "")
+        texts.append(" <0x0A> ".join(rows))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, raw string")
+    got = df.select("id", S.decode_xyxy("raw").alias("n"), S.decode_xyxy_pandas("raw").alias("p")).collect()
+    bad = []
+    for r in got:
+        n = None if r.n is None else ([v.strip() for v in r.n.xs], [v.strip() for v in r.n.ys])
+        p = None if r.p is None or r.p.xs is None else ([v.strip() for v in r.p.xs], [v.strip() for v in r.p.ys])
+        if n != p:
+            bad.append((texts[r.id], n, p))
+    assert not bad, bad[:3]
