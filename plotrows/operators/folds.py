@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotrows.operators.ordering import hash_order_key, ordered_scan
+from plotrows.session import reliable_checkpoint
 
 BROADCAST_BOUNDS_ROWS = 200_000
 
@@ -55,6 +56,7 @@ def stratified_kfold(df: DataFrame, class_col: str, order_by: Sequence[str], k:
                           order_by=in_class, group_by=["_cls"], rank_col="_r")
     b = bounds.select(F.coalesce(F.col(class_col).cast("string"), F.lit("")).alias("_bcls"),
                       F.col("fold").alias("_fold"), "_lo", "_hi")
+    b = reliable_checkpoint(b)               # class statistics are computed once
     if b.count() <= BROADCAST_BOUNDS_ROWS:
         b = F.broadcast(b)
     joined = ranked.join(b, (F.col("_cls") == F.col("_bcls")) & (F.col("_r") >= F.col("_lo"))

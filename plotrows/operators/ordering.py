@@ -88,7 +88,8 @@ def ordered_scan(
     if not group_by:
         carry = F.broadcast(carry)            # one row per partition
     else:
-        carry = carry.persist()
+        # computed once and written next to the scan; its size decides the join
+        carry = reliable_checkpoint(carry)
         if carry.count() <= BROADCAST_CARRY_ROWS:
             carry = F.broadcast(carry)
 
