@@ -20,6 +20,9 @@ operator here never puts a whole group in one task:
 
 Running sums and exclusive running min/max additionally need a window over
 (partition, group) -- a balanced key, never a whole group.
+
+Grouped scans first sample the group keys: only hot groups take the range
+path above; bounded groups use one plain window shuffle (see ``ordered_scan``).
 """
 
 from __future__ import annotations
@@ -31,9 +34,12 @@ from pyspark.sql import functions as F
 
 from plotrows.session import reliable_checkpoint
 
-# Largest carry table that is broadcast; beyond it the join shuffles and AQE's
-# skew-join handling splits any oversized partition.
+# Largest carry / hot-key table that is broadcast; beyond it the join shuffles
+# and AQE's skew-join handling splits any oversized partition.
 BROADCAST_CARRY_ROWS = 200_000
+# A group with more rows than this is "hot": it is numbered by the range scan
+# instead of a single window task.
+HOT_GROUP_ROWS = 1_000_000
 
 
 def _names(cols: Sequence) -> list[Column]:
@@ -49,6 +55,7 @@ def ordered_scan(
     prev_mins: Sequence[str] = (),
     prev_maxs: Sequence[str] = (),
     num_partitions: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add a 0-based ``rank_col`` (position in ``order_by`` within ``group_by``),
     inclusive running sums ``cum_<c>`` for ``sums``, and *exclusive* running
@@ -56,8 +63,72 @@ def ordered_scan(
 
     ``order_by`` must be a total order within a group (add a unique key as the
     last tie-breaker); group keys must be non-null.
+
+    Grouped scans split the work: groups that a key sample shows to hold more
+    than about ``hot_rows`` rows go through the range-partitioned scan, all
+    other groups through an ordinary window partitioned by the group key (one
+    shuffle, no group larger than ``hot_rows`` in a task).  The split only
+    affects speed: either path gives the same numbers for any group.
     """
     group_by = list(group_by)
+    if not group_by:
+        return _range_scan(df, order_by, group_by, rank_col, sums, prev_mins, prev_maxs, num_partitions)
+    hot = hot_groups(df, group_by, HOT_GROUP_ROWS if hot_rows is None else hot_rows)
+    n_hot = hot.count()
+    if n_hot == 0:
+        return _window_scan(df, order_by, group_by, rank_col, sums, prev_mins, prev_maxs)
+    if n_hot <= BROADCAST_CARRY_ROWS:
+        hot = F.broadcast(hot)
+    cold = _window_scan(df.join(hot, group_by, "left_anti"), order_by, group_by, rank_col, sums,
+                        prev_mins, prev_maxs)
+    warm = _range_scan(df.join(hot, group_by, "left_semi"), order_by, group_by, rank_col, sums,
+                       prev_mins, prev_maxs, num_partitions)
+    return cold.unionByName(warm)
+
+
+def hot_groups(df: DataFrame, group_by: Sequence[str], hot_rows: int) -> DataFrame:
+    """Group keys likely to exceed ``hot_rows`` rows, from a seeded sample of the keys.
+
+    The sample keeps about 1,000 rows per ``hot_rows``; a key is hot when its
+    sampled count reaches half of its expected share.  The small result is
+    checkpointed so every later use sees the same keys.
+    """
+    frac = min(1.0, 1000.0 / max(hot_rows, 1))
+    keys = df.select(*group_by)
+    sample = keys if frac >= 1.0 else keys.sample(fraction=frac, seed=7)
+    hot = (sample.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_c"))
+           .filter(F.col("_c") >= hot_rows * frac / 2).select(*group_by))
+    return reliable_checkpoint(hot)
+
+
+def _window_scan(df: DataFrame, order_by: Sequence, group_by: list[str], rank_col: str,
+                 sums: Sequence[str], prev_mins: Sequence[str], prev_maxs: Sequence[str]) -> DataFrame:
+    """The same outputs with one window per group (groups known to be bounded)."""
+    w = Window.partitionBy(*group_by).orderBy(*_names(order_by))
+    w_incl = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_excl = w.rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn(rank_col, (F.row_number().over(w) - 1).cast("long"))
+    for c in sums:
+        out = out.withColumn(f"cum_{c}", F.sum(c).over(w_incl))
+    for c in prev_mins:
+        out = out.withColumn(f"prev_min_{c}", F.min(c).over(w_excl))
+    for c in prev_maxs:
+        out = out.withColumn(f"prev_max_{c}", F.max(c).over(w_excl))
+    return out
+
+
+def _range_scan(
+    df: DataFrame,
+    order_by: Sequence,
+    group_by: Sequence[str],
+    rank_col: str,
+    sums: Sequence[str],
+    prev_mins: Sequence[str],
+    prev_maxs: Sequence[str],
+    num_partitions: int | None,
+) -> DataFrame:
+    """Range-partitioned scan: any group, however hot, is spread over partitions."""
+    group_by = list(group_by)
     order_cols = _names(order_by)
     sort_cols = [*[F.col(g) for g in group_by], *order_cols]
     # Without an explicit count the range exchange is sized by AQE (coalesced to

@@ -28,12 +28,14 @@ def brute(rows):
     return df.set_index("id")
 
 
-@pytest.mark.parametrize("parts", [3, 11])
-def test_ordered_scan_matches_brute_force(skewed, parts):
+@pytest.mark.parametrize("parts,hot_rows", [(3, 1), (11, 1), (5, 40), (7, 10 ** 9)])
+def test_ordered_scan_matches_brute_force(skewed, parts, hot_rows):
+    """hot_rows=1: every group takes the range path; 40: the hot key (and the
+    larger groups) do, the rest use windows; 10**9: windows only."""
     rows, df = skewed
     want = brute(rows)
     out = ordered_scan(df, order_by=["t", "id"], group_by=["g"], sums=["v"], prev_mins=["v"], prev_maxs=["v"],
-                       num_partitions=parts).collect()
+                       num_partitions=parts, hot_rows=hot_rows).collect()
     assert len(out) == len(rows)
     for r in out:
         w = want.loc[r.id]
@@ -58,3 +60,10 @@ def test_global_position_is_dense(skewed):
     out = global_position(df, ["t", "id"]).select("id", "pos").collect()
     want = {rid: i for i, (rid, *_rest) in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))}
     assert {r.id: r.pos for r in out} == want
+
+
+def test_hot_group_detection(skewed):
+    from plotrows.operators.ordering import hot_groups
+    _, df = skewed
+    assert [r.g for r in hot_groups(df, ["g"], 500).collect()] == ["hot"]
+    assert hot_groups(df, ["g"], 10 ** 6).count() == 0
