@@ -35,6 +35,9 @@ def attach_series(records: DataFrame, series: DataFrame, key: str = "image_id",
                   out: str = "gts") -> DataFrame:
     """Left-join series onto records; records without points get an empty series."""
     empty = F.array().cast("array<struct<pos:int,x:string,y:string>>")
-    return (records.join(series, on=key, how="left")
+    # The series table grows with the points, so it is never broadcast: a
+    # shuffle join keeps the per-record work after it spread over partitions
+    # (the series side is already hash-partitioned by ``key``).
+    return (records.join(series.hint("merge"), on=key, how="left")
             .withColumn(out, F.coalesce(F.col(out), empty))
             .withColumn("n_points", F.coalesce(F.col("n_points"), F.lit(0).cast("long"))))
