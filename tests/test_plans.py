@@ -41,3 +41,17 @@ def test_train_valid_prep_batches(spark, sf_small):
         pos = sorted(r.pos for r in rows if r.split == split)
         assert pos == list(range(len(pos)))
         assert all(r.batch_id == r.pos // 8 for r in rows if r.split == split)
+
+
+def test_annotation_round_trip_through_json(spark, sf_small):
+    """charts -> JSON Lines (y as numbers) -> scan -> series: x kept as text, y printed as Python floats."""
+    from collections import Counter
+
+    from plotrows.plans.source_queries import write_annotations
+    from plotrows.sources.files import scan_annotations
+    path = write_annotations(spark, sf_small)
+    got = Counter((r.chart_type, r.source, tuple(p.x for p in r.gts), tuple(p.y for p in r.gts))
+                  for r in scan_annotations(spark, path, multi_line=False).collect())
+    want = Counter((w.chart_type, w.source, tuple(p.x for p in w.gts), tuple(repr(float(p.y)) for p in w.gts))
+                   for w in fx.charts_with_series(spark, sf_small).collect())
+    assert got == want
