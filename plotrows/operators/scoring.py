@@ -7,6 +7,7 @@ partitions; nothing model-sized is captured in the closure of a row function.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
@@ -20,11 +21,14 @@ from plotrows.functions.numbers import argmax, softmax
 ScorerFactory = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 _WORKER_MODELS: dict[str, object] = {}
+_MAX_WORKER_MODELS = 8
 
 
 def _cached(name: str, factory: Callable[[], object]) -> object:
-    """Build a model at most once per Python worker process."""
+    """Build a model at most once per Python worker process (the oldest models are dropped)."""
     if name not in _WORKER_MODELS:
+        while len(_WORKER_MODELS) >= _MAX_WORKER_MODELS:
+            _WORKER_MODELS.pop(next(iter(_WORKER_MODELS)))
         _WORKER_MODELS[name] = factory()
     return _WORKER_MODELS[name]
 
@@ -45,11 +49,17 @@ def linear_scorer_factory(n_classes: int = 5, n_features: int = 64, salt: int =
 
 def score_classes(df: DataFrame, features: str, scorer: ScorerFactory, key: str = "id",
                   classes: list[str] = K.CHART_TYPES, model_name: str = "classifier") -> DataFrame:
-    """M1: ``(key, pred_idx, pred_class, logits)`` via ``mapInPandas``; argmax takes the first maximum."""
+    """M1: ``(key, pred_idx, pred_class, logits)`` via ``mapInPandas``; argmax takes the first maximum.
+
+    The model is built once per Python worker and call: the cache key carries a
+    token made on the driver for this call, so a reused worker never serves a
+    model of an earlier query.
+    """
     names = list(classes)
+    token = f"{model_name}:{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _cached(model_name, scorer)
+        model = _cached(token, scorer)
         for b in batches:
             if b.empty:
                 continue
@@ -98,13 +108,14 @@ def routed_scoring(df: DataFrame, route_col: str, models: Mapping[str, Callable[
     passed to the model as its ``prompt`` keyword.
     """
     factories = dict(models)
+    token = uuid.uuid4().hex   # per call: reused workers never mix models of two calls
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             outs, errs = [], []
             for route, part in b.groupby(route_col, sort=False):
                 try:
-                    model = _cached(f"route:{route}", factories[route])
+                    model = _cached(f"{token}:{route}", factories[route])
                 except Exception as e:  # noqa: BLE001 - a model that cannot load fails its rows only
                     outs.append(pd.Series([None] * len(part), index=part.index, dtype=object))
                     errs.append(pd.Series([f"{type(e).__name__}: {e}"] * len(part), index=part.index))
