@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from plotrows.functions.series import encode_label
 from plotrows.operators.folds import stratified_kfold

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from plotrows import constants as K
 from plotrows.functions import series as S
-from plotrows.operators.folds import stratified_kfold
 from plotrows.plans.catalog import register
 from plotrows.plans.corpus import build_corpus, charts_with_folds, corpus
 from plotrows.plans.sqlparts import folds_ctes, md5_key

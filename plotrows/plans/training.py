@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotrows import constants as K
-from plotrows.functions.numbers import argmax
 from plotrows.operators import metrics as M
 from plotrows.operators.folds import stratified_kfold
 from plotrows.operators.sampling import batch_assign, shuffle_limit

@@ -8,7 +8,6 @@ from plotrows import constants as K
 from plotrows.functions.numbers import argmax
 from plotrows.operators import metrics as M
 from plotrows.operators.folds import positional_split
-from plotrows.operators.ordering import ordered_scan
 from plotrows.operators.sampling import batch_assign, head_n, shuffle, shuffle_limit
 from plotrows.operators.scoring import softmax_ce
 from plotrows.plans import training as TR
