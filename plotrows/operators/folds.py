@@ -45,8 +45,9 @@ def stratified_kfold(df: DataFrame, class_col: str, order_by: Sequence[str], k:
                      shuffle: bool = False, seed: int = 42, fold_col: str = "fold") -> DataFrame:
     """Add ``fold_col`` (0..k-1).  ``order_by`` is the explicit row order."""
     order = list(order_by)
-    stats = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n"),
-                                      F.min(F.struct(*order)).alias("_first"))
+    # one order column keeps this a hash aggregate; a struct minimum needs a sort aggregate
+    first = F.min(order[0]) if len(order) == 1 else F.min(F.struct(*order))
+    stats = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n"), first.alias("_first"))
     bounds = fold_bounds(stats, class_col, k)
     if shuffle:
         in_class = [hash_order_key(order, seed), *order]
