@@ -9,7 +9,7 @@ from plotrows import constants as K
 from plotrows.operators import metrics as M
 from plotrows.operators.folds import stratified_kfold
 from plotrows.operators.sampling import batch_assign, shuffle_limit
-from plotrows.operators.ordering import hash_order_key
+from plotrows.operators.ordering import hash_order_key, ordered_scan
 from plotrows.operators.scoring import softmax_ce
 from plotrows.plans.corpus import charts_with_folds
 from plotrows.sources import fixtures as fx
@@ -18,14 +18,19 @@ EXCLUDED_TYPES = ["scatter", "horizontal_bar"]
 
 
 def train_valid_prep(spark: SparkSession, sf_dir: str, batch_size: int = 8, seed: int = K.SEED) -> DataFrame:
-    """Q4: fold != 0 train (shuffled), fold 0 valid (stored order), both without the excluded types; batched."""
+    """Q4: fold != 0 train (shuffled), fold 0 valid (stored order), both without the excluded types; batched.
+
+    Both splits are numbered by one grouped ordered scan: the train rows order
+    by the seeded hash, the valid rows by ``image_id`` (the hash column is NULL
+    for them), so one shuffle serves both.
+    """
     f = charts_with_folds(spark, sf_dir).filter(~F.col("chart_type").isin(*EXCLUDED_TYPES))
-    train = f.filter(F.col("fold") != 0)
-    valid = f.filter(F.col("fold") == 0)
-    tb = batch_assign(train, [hash_order_key(["image_id"], seed), F.col("image_id")], batch_size)
-    vb = batch_assign(valid, [F.col("image_id")], batch_size)
-    return (tb.withColumn("split", F.lit("train")).unionByName(vb.withColumn("split", F.lit("valid")))
-            .select("image_id", "split", "pos", "batch_id"))
+    f = f.withColumn("split", F.when(F.col("fold") != 0, "train").otherwise("valid"))
+    shuffled = F.when(F.col("split") == "train", hash_order_key(["image_id"], seed))
+    ranked = ordered_scan(f.withColumn("_h", shuffled), order_by=[F.col("_h"), F.col("image_id")],
+                          group_by=["split"], rank_col="pos")
+    return ranked.select("image_id", "split", "pos",
+                         F.floor(F.col("pos") / batch_size).cast("long").alias("batch_id"))
 
 
 def extra_sample(spark: SparkSession, sf_dir: str, n: int = 80_000, seed: int = K.SEED,

@@ -15,6 +15,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _driver_memory() -> str:
+    """About 60% of physical memory, at most 16 GiB (local mode: the driver is the executor)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(16, int(total * 0.6 / 2 ** 30)))}g"
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int | None = None,
                   app: str = "plotrows") -> SparkSession:
     """A local session configured like the tests and the bench."""
@@ -31,7 +40,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", _driver_memory())
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.checkpoint.dir", ckpt)
     )
