@@ -23,3 +23,17 @@ def test_rollup_matches_batch(spark, tmp_path):
     assert got[2].n == 1 and got[2].max_value == 7.0
     batch = spark.read.parquet(log).groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect()
     assert {r.run: r.n for r in batch} == {1: 8, 2: 1}
+
+
+def test_rollup_restart_is_idempotent(spark, tmp_path):
+    """A restarted query with the same checkpoint emits nothing new; the table stays the same."""
+    log, out, ckpt = str(tmp_path / "log"), str(tmp_path / "rollup"), str(tmp_path / "ckpt")
+    day = dt.datetime(2024, 1, 2)
+    rows = [(7, day, i, "loss", 0.5 * i) for i in range(6)]
+    schema = "run long, epoch timestamp_ntz, step long, metric string, value double"
+    append_metrics(spark.createDataFrame(rows, schema), log)
+    start_rollup(spark, log, out, ckpt).awaitTermination(120)
+    first = sorted(tuple(r) for r in read_rollup(spark, out).collect())
+    start_rollup(spark, log, out, ckpt).awaitTermination(120)
+    assert sorted(tuple(r) for r in read_rollup(spark, out).collect()) == first
+    assert first[0][3] == 6 and first[0][4] == 7.5
