@@ -20,10 +20,13 @@ def charts_with_folds(spark: SparkSession, sf_dir: str, k: int = 10, shuffle: bo
 
 
 def corpus(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """(image_id, image_path, source, types, fold, gts, n_points): the Q1 frame before labels."""
-    folds = charts_with_folds(spark, sf_dir, k).select("image_id", "fold")
-    base = fx.charts(spark, sf_dir).join(folds, "image_id")
-    framed = attach_series(base, collect_series(fx.chart_points(spark, sf_dir)))
+    """(image_id, image_path, source, types, fold, gts, n_points): the Q1 frame before labels.
+
+    Folds are assigned on the chart rows themselves (no join back), then the
+    series are shuffle-joined on ``image_id``.
+    """
+    charts = stratified_kfold(fx.charts(spark, sf_dir), "chart_type", ["image_id"], k=k)
+    framed = attach_series(charts, collect_series(fx.chart_points(spark, sf_dir)))
     return framed.withColumnRenamed("chart_type", "types")
 
 
