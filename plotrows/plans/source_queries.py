@@ -38,9 +38,6 @@ def q_scan_annotations(spark, sf_dir):
                     F.size("gts").cast("long").alias("n_points"), encode_xxyy("gts").alias("label"))
 
 
-@register("default_class_listing", kind="R")
-def q_default_class_listing(spark, sf_dir):
-    return default_class_listing(spark, write_annotations(spark, sf_dir))
 
 
 def _rgb_of(row) -> np.ndarray:
@@ -56,6 +53,12 @@ def write_images(spark, sf_dir: str) -> str:
     return out
 
 
+@register("default_class_listing", kind="R")
+def q_default_class_listing(spark, sf_dir):
+    """S3 + P8: every image file found by a recursive walk gets the default class."""
+    return default_class_listing(spark, write_images(spark, sf_dir))
+
+
 @register("image_scan", kind="R")
 def q_image_scan(spark, sf_dir):
     return scan_images(spark, write_images(spark, sf_dir)).select("path", "height", "width", "channels")
