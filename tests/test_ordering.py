@@ -67,3 +67,20 @@ def test_hot_group_detection(skewed):
     _, df = skewed
     assert [r.g for r in hot_groups(df, ["g"], 500).collect()] == ["hot"]
     assert hot_groups(df, ["g"], 10 ** 6).count() == 0
+
+
+def test_collect_series_chunks_keep_order(spark):
+    """A hot chart spanning many chunks comes back whole and in position order."""
+    from plotrows.operators.series import collect_series
+    rnd = random.Random(3)
+    rows = [(1, p, f"x{p}", str(p * 0.5)) for p in range(1, 1001)]
+    rows += [(k, p, f"s{k}-{p}", "1") for k in range(2, 30) for p in range(1, rnd.randint(1, 5) + 1)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "image_id long, pos int, x string, y string").repartition(7)
+    got = {r.image_id: r for r in collect_series(df, chunk=64).collect()}
+    hot = got[1]
+    assert hot.n_points == 1000
+    assert [p.pos for p in hot.gts] == list(range(1, 1001))
+    assert [p.x for p in hot.gts] == [f"x{p}" for p in range(1, 1001)]
+    for k in range(2, 30):
+        assert [p.pos for p in got[k].gts] == list(range(1, got[k].n_points + 1))
