@@ -34,6 +34,7 @@ from plotrows.llm import text as X
 ORDER = 4
 ROWS_PER_LANG = 1200
 TOLERANCE = 1.5
+LEAST_EXCESS = 1.5
 _START, _END = 0x5E, 0x24
 UNKNOWN = "und"
 
@@ -224,12 +225,12 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
                 yield out[out["n"] > 0]
 
     seen = rows.mapInPandas(run, "l int, h double, n long").toPandas()
-    mean, worst = np.zeros(len(model.langs)), np.ones(len(model.langs))
+    mean, worst = np.zeros(len(model.langs)), np.full(len(model.langs), LEAST_EXCESS / TOLERANCE)
     for i in range(len(model.langs)):
         own = seen[seen["l"] == i]
         if len(own):
             mean[i] = own["h"].median()
-            worst[i] = max(float(((own["h"] - mean[i]) / _spread(own["n"])).max()), 0.1)
+            worst[i] = max(float(((own["h"] - mean[i]) / _spread(own["n"])).max()), LEAST_EXCESS / TOLERANCE)
     model.mean, model.worst = mean, worst
     shared.unpersist()
 
