@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotrows.llm import langid
+from plotrows.llm import langid, toxicity
 from plotrows.session import scratch_path, ship_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,7 +24,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .where(~F.col("rejected")).select(*COLUMNS))
 
 
-STAGES = [("language", language)]
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the toxicity tagger rejects."""
+    ship_package(spark)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    return (toxicity.score(docs, model, keep=COLUMNS)
+            .where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS))
+
+
+STAGES = [("language", language), ("toxicity", toxic)]
 ORACLE_SQL = None
 
 

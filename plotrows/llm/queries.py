@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotrows.llm import langid
+from plotrows.llm import langid, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,3 +34,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(fold(3) != 1))
     return (langid.predict(docs, model)
             .select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "bits", "rejected"))
+
+
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every whole text for toxicity; learn from three of four folds."""
+    docs = table(spark, sf_dir, "documents")
+    known = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold(4) != 2)
+    model = toxicity.fit(docs, known)
+    return (toxicity.score(docs, model)
+            .select("doc_id", (fold(4) == 2).alias("held_out"), "score",
+                    (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "spans"))
