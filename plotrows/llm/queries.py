@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotrows.llm import langid, toxicity
+from plotrows.llm import langid, neardup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,3 +45,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (toxicity.score(docs, model)
             .select("doc_id", (fold(4) == 2).alias("held_out"), "score",
                     (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "spans"))
+
+
+@_query
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets reach a similarity of 0.8."""
+    return neardup.dedupe(table(spark, sf_dir, "documents"), words=4)
