@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotrows.llm import langid, toxicity
+from plotrows.llm import decontaminate, langid, neardup, toxicity
 from plotrows.session import scratch_path, ship_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,7 +32,22 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS))
 
 
-STAGES = [("language", language), ("toxicity", toxic)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles) stays: the smallest id."""
+    ship_package(spark)
+    kept = neardup.dedupe(docs, words=5).where("kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that repeat a benchmark item."""
+    ship_package(spark)
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+STAGES = [("language", language), ("toxicity", toxic), ("near_duplicates", near_duplicates),
+          ("decontamination", decontaminated)]
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotrows.llm import langid, neardup, toxicity
+from plotrows.llm import decontaminate, langid, neardup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,3 +51,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets reach a similarity of 0.8."""
     return neardup.dedupe(table(spark, sf_dir, "documents"), words=4)
+
+
+@_query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of documents that repeat a benchmark item, the best of each pair."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

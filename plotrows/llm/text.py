@@ -125,7 +125,7 @@ def words(texts: list[bytes], lower: bool = True) -> Words:
     return Words(buf, raw, start, end, h, np.searchsorted(start, at))
 
 
-def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(w: Words | Runs, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, position, per-text offset) of the k-word shingles in order.
 
     A text with 1 to k-1 words has one shingle, the whole sequence; a text
@@ -144,10 +144,11 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, at, np.concatenate([[0], np.cumsum(per)])
 
 
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    """Per code point: is it a letter?"""
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+@lru_cache(maxsize=2)
+def _letters(digits: bool) -> np.ndarray:
+    """Per code point: is it a letter (or, if asked for, a digit)?"""
+    kind = str.isalnum if digits else str.isalpha
+    return np.fromiter((kind(chr(c)) for c in range(0x110000)), bool, 0x110000)
 
 
 @lru_cache(maxsize=1)
@@ -168,8 +169,8 @@ class Runs:
     at: np.ndarray      # code points before each text (in ``cp``)
 
 
-def letter_runs(texts: list[bytes]) -> Runs:
-    """Maximal runs of letters of every text.
+def letter_runs(texts: list[bytes], digits: bool = False) -> Runs:
+    """Maximal runs of letters (with ``digits``: letters and digits) of every text.
 
     Lower-casing keeps the number of code points (a character whose lower case
     is longer stays as it is), so offsets hold for the original text.
@@ -181,7 +182,7 @@ def letter_runs(texts: list[bytes]) -> Runs:
         low.append(v if len(v) == len(s) else "".join(c.lower() if len(c.lower()) == 1 else c for c in s))
     joined = " " + " ".join(low) + " "
     cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    letter = _letters()[cp]
+    letter = _letters(digits)[cp]
     edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
     start, end = edge[0::2], edge[1::2]
     h = segment_hash(prefix_hash(char_codes()[cp]), start, end)
