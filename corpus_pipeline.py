@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotrows.llm import decontaminate, langid, neardup, toxicity
+from plotrows.llm import decontaminate, langid, neardup, packing, toxicity
 from plotrows.session import scratch_path, ship_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -46,8 +46,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens, neighbouring documents together."""
+    ship_package(spark)
+    return packing.pack(docs)
+
+
 STAGES = [("language", language), ("toxicity", toxic), ("near_duplicates", near_duplicates),
-          ("decontamination", decontaminated)]
+          ("decontamination", decontaminated), ("packing", packed)]
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotrows.llm import decontaminate, langid, neardup, toxicity
+from plotrows.llm import decontaminate, langid, neardup, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,3 +57,9 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of documents that repeat a benchmark item, the best of each pair."""
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of 1024 tokens along a Hilbert curve."""
+    return packing.pack(table(spark, sf_dir, "documents"))
