@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotrows.llm import decontaminate, langid, neardup, packing, toxicity
+from plotrows.llm import attribution, decontaminate, langid, neardup, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +63,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 1024 tokens along a Hilbert curve."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every sentence of every document; a crossing token goes where most of its characters are."""
+    return (attribution.attribute(table(spark, sf_dir, "documents"), "most")
+            .withColumn("n_tokens", F.col("n_tokens").cast("long")))
