@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotrows.llm import attribution, decontaminate, langid, neardup, packing, toxicity
+from plotrows.llm import attribution, ctph, decontaminate, langid, neardup, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,3 +70,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every sentence of every document; a crossing token goes where most of its characters are."""
     return (attribution.attribute(table(spark, sf_dir, "documents"), "most")
             .withColumn("n_tokens", F.col("n_tokens").cast("long")))
+
+
+@_query
+def op3_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piecewise hashes of every text and of its edited text, and their likeness."""
+    return ctph.compare_edited(table(spark, sf_dir, "documents"))
