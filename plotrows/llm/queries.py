@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotrows.llm import attribution, ctph, decontaminate, langid, neardup, packing, toxicity
+from plotrows.llm import attribution, ctph, decontaminate, langid, neardup, packing, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +76,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piecewise hashes of every text and of its edited text, and their likeness."""
     return ctph.compare_edited(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@_query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every page's URL by the rules, else by trees that learned from the ruled URLs."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.Filter(URL_RULES).fit(pages).judge(pages, ["page_id"])
