@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotrows.llm import attribution, ctph, decontaminate, langid, neardup, packing, toxicity, urlfilter
+from plotrows.llm import attribution, ctph, decontaminate, html, langid, neardup, packing, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -86,3 +86,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every page's URL by the rules, else by trees that learned from the ruled URLs."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.Filter(URL_RULES).fit(pages).judge(pages, ["page_id"])
+
+
+@_query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages), ["page_id", "url"])

@@ -26,13 +26,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plotrows.llm import crf
 from plotrows.llm import text as X
 
 ROWS_PER_CLASS = 3000
@@ -48,9 +48,7 @@ _PARTS = 8
 
 @dataclass
 class Model:
-    weight: np.ndarray                 # per feature bucket: toxic minus other
-    pair: np.ndarray                   # transition weights [from, to]; 1 is toxic
-    first: float                       # start weight of toxic
+    chain: crf.Chain                   # state 1 is toxic
     curve: np.ndarray | None = None    # logistic weights of (largest log odds, count, tokens, 1)
 
 
@@ -141,56 +139,6 @@ def _windows(rows: DataFrame, evidence: np.ndarray, per_row: int) -> tuple[np.nd
     return x, y, n, got["weight"].to_numpy()
 
 
-def _train(x: np.ndarray, y: np.ndarray, n: np.ndarray, heavy: np.ndarray, rounds: int = 50, decay: float = 1e-6) -> Model:
-    """Maximise the conditional likelihood of the windows (Adagrad, whole batches)."""
-    used, place = np.unique(x, return_inverse=True)
-    place = place.reshape(x.shape)
-    mask = np.arange(WINDOW) < n[:, None]
-    w = np.zeros(len(used))
-    theta = np.zeros(5)  # start, then transitions oo, ot, to, tt
-    gw, gt = np.full(len(used), 1e-12), np.full(5, 1e-12)
-    yi = y.astype(int)
-    both = mask[:, 1:] * heavy[:, None]
-    seen = np.array([(both * (yi[:, :-1] == a) * (yi[:, 1:] == b)).sum() for a in (0, 1) for b in (0, 1)], float)
-    total = max((mask * heavy[:, None]).sum(), 1)
-    for _ in range(rounds):
-        e = np.stack([np.zeros(y.shape), w[place].sum(-1)], axis=-1)
-        t = theta[1:].reshape(2, 2)
-        fwd, bwd = np.zeros_like(e), np.zeros_like(e)
-        fwd[:, 0] = e[:, 0] + [0, theta[0]]
-        for i in range(1, WINDOW):
-            step = np.logaddexp.reduce(fwd[:, i - 1, :, None] + t, axis=1) + e[:, i]
-            fwd[:, i] = np.where(mask[:, i, None], step, fwd[:, i - 1])
-        z = np.logaddexp.reduce(fwd[:, -1], axis=-1)
-        for i in range(WINDOW - 2, -1, -1):
-            step = np.logaddexp.reduce(t + (e[:, i + 1] + bwd[:, i + 1])[:, None, :], axis=2)
-            bwd[:, i] = np.where(mask[:, i + 1, None], step, 0.0)
-        post = np.exp(fwd[..., 1] + bwd[..., 1] - z[:, None]) * mask
-        joint = np.exp(fwd[:, :-1, :, None] + t + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[..., None, None]
-        diff = (post - y * mask) * heavy[:, None]
-        grad = np.bincount(place.ravel(), np.repeat(diff.ravel(), _PARTS), len(used)) / total + decay * w
-        gth = np.concatenate([[diff[:, 0].sum()], joint.sum((0, 1)).ravel() - seen]) / total + decay * theta
-        gw += grad ** 2
-        gt += gth ** 2
-        w -= 0.3 * grad / np.sqrt(gw)
-        theta -= 0.2 * gth / np.sqrt(gt)
-    weight = np.zeros(BUCKETS, np.float32)
-    weight[used] = w
-    return Model(weight, theta[1:].reshape(2, 2), float(theta[0]))
-
-
-def marginals(model: Model, emission: np.ndarray) -> np.ndarray:
-    """Odds that each token of one text is toxic (forward-backward on state ratios)."""
-    oo, ot, to, tt = np.exp(model.pair).ravel().tolist()
-    e = np.exp(np.clip(emission, -30, 30))
-    if len(e) == 0:
-        return e
-    listed = e.tolist()
-    fwd = np.fromiter(accumulate(listed[1:], lambda r, x: x * (r * tt + ot) / (r * to + oo), initial=listed[0] * float(np.exp(model.first))), float, len(listed))
-    bwd = np.fromiter(accumulate(listed[:0:-1], lambda b, x: (tt * x * b + to) / (ot * x * b + oo), initial=1.0), float, len(listed))
-    return fwd * bwd[::-1]
-
-
 def _spans(model: Model, texts: list[bytes], known: dict[int, float]) -> Iterator[tuple[list[float], list[tuple[int, int]]]]:
     """(largest toxic log odds, log of the toxic count, log of the tokens; spans of the tokens that are rather toxic) of each text."""
     r = X.letter_runs(texts)
@@ -200,12 +148,12 @@ def _spans(model: Model, texts: list[bytes], known: dict[int, float]) -> Iterato
     listed = u.tolist()
     new = np.array([j for j, h in enumerate(listed) if h not in known], np.int64)
     if len(new):
-        score = model.weight[(_features(r, one[new]) % np.uint64(BUCKETS)).astype(np.int64)].sum(1)
+        score = model.chain.weight[(_features(r, one[new]) % np.uint64(BUCKETS)).astype(np.int64)].sum(1)
         known.update(zip((listed[j] for j in new), score.tolist(), strict=True))
     emission = np.array([known[h] for h in listed])[back] if listed else np.zeros(0)
     for j in range(len(texts)):
         a, b = int(r.offset[j]), int(r.offset[j + 1])
-        odds = marginals(model, emission[a:b])
+        odds = crf.odds(model.chain, emission[a:b])
         hits = a + np.flatnonzero(odds > 1)
         cut = np.flatnonzero(np.diff(hits) > 1) + 1
         spans = [(int(r.start[g[0]] - r.at[j]), int(r.end[g[-1]] - r.at[j])) for g in np.split(hits, cut) if len(g)]
@@ -237,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     """Learn from the labelled documents (docs: doc_id, text; labels: doc_id, toxic)."""
     rows = sample(docs, labels, rows_per_class)
     x, y, n, heavy = _windows(rows, _evidence(rows), windows_per_row)
-    model = _train(x, y, n, heavy)
+    model = Model(crf.train(x, y, n, heavy, BUCKETS))
     seen = _scored(model, rows, ["doc_id", "toxic", "stands"]).select("marks", "toxic", "stands").toPandas()
     kinds, stands = seen["toxic"].to_numpy(float), seen["stands"].to_numpy(float)
     if len(kinds) == 0 or kinds.min() == kinds.max():
