@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotrows.llm import attribution, ctph, decontaminate, html, langid, neardup, packing, toxicity, urlfilter
+from plotrows.llm import attribution, ctph, decontaminate, html, langid, lmscore, neardup, packing, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,6 +81,14 @@ def op3_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+@_query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every whole text by the trigram model of four of five folds."""
+    docs = table(spark, sf_dir, "documents")
+    return (lmscore.score(docs, fold(5) != 1)
+            .select("doc_id", F.coalesce(fold(5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+
+
 @_query
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every page's URL by the rules, else by trees that learned from the ruled URLs."""
