@@ -48,6 +48,7 @@ class Model:
     alpha: list[np.ndarray]    # per order: [n-grams, languages]
     gamma: list[np.ndarray]    # per order: weight left to the lower order when the n-gram is a context
     floor: np.ndarray          # per language: probability of an unseen character
+    start: np.ndarray          # per language: weight left to single characters at the start of a run
     mean: np.ndarray | None = None
     worst: np.ndarray | None = None
 
@@ -128,7 +129,8 @@ def _smooth(table: pd.DataFrame, order: int) -> Model:
     by = {k: table[table["k"] == k] for k in range(1, order + 1)}
     keys = [np.unique(by[k]["gram"].to_numpy()) for k in range(1, order + 1)]
     alpha, gamma = [], [np.ones((len(x), len(langs))) for x in keys]
-    root = np.ones(len(langs))
+    root, begin = np.ones(len(langs)), np.ones(len(langs))
+    caret = X.segment_hash(X.prefix_hash(X.char_codes()[[_START]]), np.array([0]), np.array([1]))[0]
     chars = len(keys[0]) + 1
     for k in range(1, order + 1):
         t, size = by[k], (len(keys[k - 1]), len(langs))
@@ -159,23 +161,28 @@ def _smooth(table: pd.DataFrame, order: int) -> Model:
             a[i, l] = np.maximum(val - disc, 0) / np.maximum(sums[inv.ravel()], 1e-9)
             gl = group[1].astype(int)
             at, ok = X.lookup(keys[k - 2], group[0])
-            gamma[k - 2][at[ok], gl[ok]] = np.minimum(d[gl] * kinds / np.maximum(sums, 1e-9), 1.0)[ok]
+            left = np.minimum(d[gl] * kinds / np.maximum(sums, 1e-9), 1.0)
+            gamma[k - 2][at[ok], gl[ok]] = left[ok]
+            if k == 2:
+                begin[gl[group[0] == caret]] = left[group[0] == caret]
         alpha.append(a)
-    return Model(langs, keys, alpha, gamma, np.maximum(root, 1e-3) / chars)
+    return Model(langs, keys, alpha, gamma, np.maximum(root, 1e-3) / chars, begin)
 
 
 def run_scores(model: Model, r: X.Runs, which: np.ndarray) -> np.ndarray:
     """-log2 probability of the runs ``which``, per language."""
     cp, place, first = _padded(r, which)
     prob = np.tile(model.floor, (len(cp), 1))
-    weight = np.ones((len(cp), len(model.langs)))  # of the context that ends before each position
+    weight = np.ones((len(cp) + 1, len(model.langs)))  # of the context that ends before each position
     for k, at, h in _grams(cp, place, len(model.keys)):
         i, ok = X.lookup(model.keys[k - 1], h)
         a, g = model.alpha[k - 1][i], model.gamma[k - 1][i]
         a[~ok], g[~ok] = 0.0, 1.0
         prob[at] = a + (weight[at] * prob[at] if k > 1 else prob[at])
-        weight = np.ones((len(cp), len(model.langs)))
-        weight[np.minimum(at + 1, len(cp) - 1)] = g
+        weight = np.ones((len(cp) + 1, len(model.langs)))
+        weight[at + 1] = g
+        if k == 1:
+            weight[first[:-1] + 1] = model.start
     bits = -np.log2(np.maximum(prob, 1e-12))
     bits[place == 0] = 0.0
     return np.add.reduceat(bits, first[:-1], axis=0) if len(first) > 1 else np.zeros((0, len(model.langs)))
