@@ -81,7 +81,7 @@ def index(items: pd.DataFrame) -> Index:
     h, _, at = X.shingles(X.letter_runs([X.utf8(t) for t in items["text"]], digits=True), SHINGLE)
     own = [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
     by: dict[int, Lengths] = {}
-    sizes = np.array([len(x) for x in own])
+    sizes = np.array([len(x) for x in own], np.int64)
     for size in np.unique(sizes[sizes > 0]):
         which = np.flatnonzero(sizes == size)
         prints = np.concatenate([fingerprints(own[i], int(size)) for i in which])
@@ -175,7 +175,7 @@ def _short(ix: Index, r: X.Runs, ids: list[int]) -> list[tuple]:
             _, one = np.unique(doc[same], return_index=True)
             for s in same[one]:
                 j = int(doc[s])
-                if r.offset[j + 1] - r.offset[j] >= SHINGLE:  # shorter texts are one window, found by their fingerprint
+                if r.offset[j + 1] - r.offset[j] > k:  # a text of just these tokens is found by its fingerprint
                     out.append((ids[j], items.items[i], int(r.start[at[s]] - r.at[j]), int(r.end[at[s] + k - 1] - r.at[j]), 0, 1.0))
     return out
 

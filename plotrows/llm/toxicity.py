@@ -50,6 +50,7 @@ _PARTS = 8
 class Model:
     chain: crf.Chain                   # state 1 is toxic
     curve: np.ndarray | None = None    # logistic weights of (largest log odds, count, tokens, 1)
+    longest: int = 10                  # about the tokens of the longest learning row: the curve says nothing about more
 
 
 def _features(r: X.Runs, which: np.ndarray) -> np.ndarray:
@@ -159,7 +160,7 @@ def _spans(model: Model, texts: list[bytes], known: dict[int, float]) -> Iterato
         spans = [(int(r.start[g[0]] - r.at[j]), int(r.end[g[-1]] - r.at[j])) for g in np.split(hits, cut) if len(g)]
         count = float((odds / (1 + odds))[odds > 0.1].sum())
         yield [float(np.log(np.clip(odds.max(initial=0.0), 1e-4, 1e4))), float(np.log1p(count)),
-               float(np.log(max(b - a, 10)))], spans
+               float(np.log(np.clip(b - a, 10, model.longest)))], spans
 
 
 def _scored(model: Model, docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -185,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     """Learn from the labelled documents (docs: doc_id, text; labels: doc_id, toxic)."""
     rows = sample(docs, labels, rows_per_class)
     x, y, n, heavy = _windows(rows, _evidence(rows), windows_per_row)
-    model = Model(crf.train(x, y, n, heavy, BUCKETS))
+    longest = rows.agg(F.max(F.length("text")).alias("n")).first()["n"] or 0
+    model = Model(crf.train(x, y, n, heavy, BUCKETS), longest=max(longest // 6, 10))
     seen = _scored(model, rows, ["doc_id", "toxic", "stands"]).select("marks", "toxic", "stands").toPandas()
     kinds, stands = seen["toxic"].to_numpy(float), seen["stands"].to_numpy(float)
     if len(kinds) == 0 or kinds.min() == kinds.max():
