@@ -45,14 +45,16 @@ def token_ranges(texts: bytes, widths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return chars[end - widths + 1] - 1 if len(end) else end, chars[end]
 
 
-def cuts(cp: np.ndarray, kind: str) -> np.ndarray:
-    """Code points after which a section ends: lines, or sentences with the white space after them."""
+def cuts(cp: np.ndarray, kind: str, at: np.ndarray) -> np.ndarray:
+    """Code points after which a section ends: lines, or sentences with the white space after them; texts begin at ``at``."""
     if kind == "lines" or not len(cp):
         return np.flatnonzero(cp == 10) + 1
+    head = np.zeros(len(cp) + 1, bool)
+    head[at] = True
     gap = np.concatenate([[False], np.isin(cp, _BLANK), [False]])
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    lo, hi = edge[0::2], edge[1::2]
-    stop = np.isin(cp[np.maximum(lo - 1, 0)], _STOPS) & (lo > 0)
+    lo = np.flatnonzero(gap[1:-1] & (~gap[:-2] | head[:-1]))
+    hi = np.flatnonzero(gap[1:-1] & (~gap[2:] | head[1:])) + 1
+    stop = np.isin(cp[np.maximum(lo - 1, 0)], _STOPS) & ~head[lo]
     feeds = np.concatenate([[0], np.cumsum(cp == 10)])
     return hi[stop | (feeds[hi] > feeds[lo])]
 
@@ -123,7 +125,7 @@ def attribute(docs: DataFrame, rule: str = "most", sections: str = "sentences",
                 ids, _ = enc.encode(p)
                 start, end = token_ranges(b"".join(part), enc.width[ids])
                 if own:
-                    inner = cuts(p.cp, sections)
+                    inner = cuts(p.cp, sections, p.at)
                     inner = inner[~np.isin(inner, p.at)]
                     lo = np.sort(np.concatenate([p.at[:-1], inner]), kind="stable")
                     head = np.searchsorted(lo, p.at[:-1], side="left") + _earlier(p.at[:-1])
