@@ -33,14 +33,14 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles) stays: the smallest id."""
+    """One document of each group of near-duplicates (five-word shingles) stays: the smallest id, and rows without an id."""
     ship_package(spark)
-    kept = neardup.dedupe(docs, words=5).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    kept = neardup.dedupe(docs, words=5).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that repeat a benchmark item."""
+    """Drop the documents that repeat a benchmark item; rows without an id stay."""
     ship_package(spark)
     found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
