@@ -19,7 +19,9 @@ and c, N and V counted over all training tokens.  Nothing is sampled, pruned or
 
 A middle word that occurs more than ``HOT`` times is split by a hash class of the word
 before it, in classes of about ``HOT`` occurrences; the class is then part of its
-context.  So no shard grows with one word.  Shards hold about ``SHARD_TOKENS`` tokens.
+context.  So no shard grows with one word, and 32 bits tell the words of one root apart
+(another one is taken for it with a probability of about 1e-4).  Shards hold about
+``SHARD_TOKENS`` tokens.
 
 Defined results: a null or empty text is the end alone; a null ``learn`` is false; without
 training tokens every token has p1 = 1; repeated rows count and are scored each; other
@@ -42,9 +44,9 @@ from plotrows.llm import text as X
 from plotrows.llm import trie as T
 from plotrows.session import scratch_path
 
-CHUNK_BYTES = 8 << 20
-SHARD_TOKENS = 2_000_000
-HOT = 1_000_000
+CHUNK_TOKENS = 1_200_000
+SHARD_TOKENS = 1_000_000
+HOT = 500_000
 START, END = (int(X.mix(np.array([k]))[0]) for k in (0x5354415254, 0x454E44))
 _CUT = np.uint64(64 - T.WORD_BITS)
 _BLOCK = 400_000  # queries looked up at once
@@ -70,20 +72,31 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    task, made = TaskContext.get().partitionId(), 0
+    """Rows of about ``CHUNK_TOKENS`` tokens, made of whole texts."""
+    task, made, waiting = TaskContext.get().partitionId(), 0, []
+
+    def row() -> pd.DataFrame:
+        ids, learn, sizes, h = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        vocab, tokens = np.unique(np.append(h, [np.uint64(START), np.uint64(END)]), return_inverse=True)
+        return pd.DataFrame({
+            "chunk": [(task << 32) + made], "doc_ids": [[None if x is pd.NA else x for x in ids]], "learn": [learn.tolist()], "sizes": [sizes],
+            "n": [len(h)], "n_learn": [int(sizes[learn].sum())],
+            "vocab": [_squeeze(np.diff(vocab, prepend=np.uint64(0)))], "ids": [_squeeze(tokens[:-2].astype(np.uint32))]})
+
     for f in frames:
-        for first, part in X.chunks(f["text"], CHUNK_BYTES):
-            rows = f.iloc[first:first + len(part)]
+        ids, learn = f["doc_id"].astype("Int64").to_numpy(object), f["learn"].to_numpy(bool)
+        for first, part in X.chunks(f["text"]):
             w = X.words(part)
             at = w.offset + np.arange(len(w.offset))  # with an end after every text
             h = np.full(at[-1], np.uint64(END))
             h[np.arange(len(w.hash)) + np.repeat(np.arange(len(part)), np.diff(w.offset))] = w.hash
-            vocab, ids = np.unique(np.append(h, [np.uint64(START), np.uint64(END)]), return_inverse=True)
-            yield pd.DataFrame({
-                "chunk": [(task << 32) + made], "doc_ids": [rows["doc_id"].tolist()], "learn": [rows["learn"].tolist()],
-                "sizes": [np.diff(at)], "n": [at[-1]], "n_learn": [int(np.diff(at)[rows["learn"].to_numpy(bool)].sum())],
-                "vocab": [_squeeze(np.diff(vocab, prepend=np.uint64(0)))], "ids": [_squeeze(ids[:-2].astype(np.uint32))]})
-            made += 1
+            here = slice(first, first + len(part))
+            waiting.append((ids[here], learn[here], np.diff(at), h))
+            if sum(len(x[3]) for x in waiting) >= CHUNK_TOKENS:
+                yield row()
+                made, waiting = made + 1, []
+    if waiting:
+        yield row()
 
 
 class _Chunk:
@@ -132,7 +145,7 @@ def _word_packets(shards: int):
                 start = int(np.searchsorted(c.vocab, np.uint64(START)))
                 seen[start] = len(c.sizes)  # a context, once per text; never a token
                 edge = np.searchsorted(_shard(c.vocab, shards), np.arange(shards + 1))
-                out = [(s, row["chunk"], _squeeze(c.vocab[a:b]), _squeeze(seen[a:b]), _squeeze(taught[a:b]))
+                out = [(s, row["chunk"], _squeeze(np.diff(c.vocab[a:b], prepend=np.uint64(0))), _squeeze(seen[a:b]), _squeeze(taught[a:b]))
                        for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
                 yield pd.DataFrame(out, columns=["shard", "chunk", "words", "seen", "taught"])
     return run
@@ -155,7 +168,7 @@ def _by_shard(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list]]:
 def _add_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Answers every chunk's packet with the sums; the shard's first row has its number of training words."""
     for shard, rows in _by_shard(frames):
-        words = [_expand(r.words, np.uint64) for r in rows]
+        words = [np.cumsum(_expand(r.words, np.uint64), dtype=np.uint64) for r in rows]
         known, back = np.unique(np.concatenate(words), return_inverse=True)
         sums = [np.bincount(back, np.concatenate([_expand(x, np.uint32) for x in part]), len(known))[back].astype(np.uint64)
                 for part in ([r.seen for r in rows], [r.taught for r in rows])]

@@ -26,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 
 DISCOUNT = 0.75
-WORD_BITS = 40  # of a word's hash inside a root; the root itself has all 64
+WORD_BITS = 32  # of a word's hash inside a root, whose size is bounded; the root itself has all 64
 NEVER = 255
 _STEPS = 8
 _U = np.uint64
