@@ -75,42 +75,22 @@ def digit_round_value_text(v: Column) -> Column:
     return let(py_float(v), body)
 
 
-def _exact_round_array(digits: int):
-    def one(v):
-        try:
-            return str(round(float(v), digits))
-        except (TypeError, ValueError):
-            return v
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def _udf(s: pd.Series) -> pd.Series:
-        return s.map(lambda arr: None if arr is None else [one(v) for v in arr])
-    return _udf
-
-
-def _rounded(values: Column, fold, digits: int, exact: bool, digit_aware: bool) -> Column:
-    if digit_aware:
-        r = F.transform(values, digit_round_value_text)
-    elif exact:
-        r = _exact_round_array(digits)(values)
-    else:
-        r = F.transform(values, lambda v: round_value_text(v, digits))
-    return F.when(_col(fold) == 0, values).otherwise(r)
+def _rounded(values: Column, fold, digits: int, digit_aware: bool) -> Column:
+    one = digit_round_value_text if digit_aware else (lambda v: round_value_text(v, digits))
+    return F.when(_col(fold) == 0, values).otherwise(F.transform(values, one))
 
 
-def encode_xxyy_rounded(series, fold, digits: int = 4, exact: bool = False,
-                        digit_aware: bool = False) -> Column:
+def encode_xxyy_rounded(series, fold, digits: int = 4, digit_aware: bool = False) -> Column:
     """E2 (and E4b with ``digit_aware``): fold 0 keeps raw values, other folds round."""
-    xs = _rounded(_values(series, "x"), fold, digits, exact, digit_aware)
-    ys = _rounded(_values(series, "y"), fold, digits, exact, digit_aware)
+    xs = _rounded(_values(series, "x"), fold, digits, digit_aware)
+    ys = _rounded(_values(series, "y"), fold, digits, digit_aware)
     return encode_xxyy_values(xs, ys)
 
 
-def encode_xyxy_rounded(series, fold, digits: int = 4, exact: bool = False,
-                        digit_aware: bool = False) -> Column:
+def encode_xyxy_rounded(series, fold, digits: int = 4, digit_aware: bool = False) -> Column:
     """Xyxy with the same rounding rule."""
-    xs = _rounded(_values(series, "x"), fold, digits, exact, digit_aware)
-    ys = _rounded(_values(series, "y"), fold, digits, exact, digit_aware)
+    xs = _rounded(_values(series, "x"), fold, digits, digit_aware)
+    ys = _rounded(_values(series, "y"), fold, digits, digit_aware)
     return encode_xyxy_values(xs, ys)
 
 
@@ -122,7 +102,7 @@ def encode_bos(chart_type, body: Column) -> Column:
 def encode_label(series, chart_type, fold, label_type: str, compat: bool = False) -> Column:
     """P10: the label column for one of the four label formats.
 
-    ``bos_xxyy`` uses the xxyy encoder; ``compat=True`` keeps the original
+    ``bos_xxyy`` uses the rounded xxyy encoder (folds other than 0 round); ``compat=True`` keeps the original
     quirk (D1) of the xyxy encoder there.  ``bos_xyxy`` is the unrounded xyxy
     text, the value the original finally keeps (D2).
     """
@@ -131,7 +111,7 @@ def encode_label(series, chart_type, fold, label_type: str, compat: bool = False
     if label_type == "xyxy":
         return encode_xyxy(series)
     if label_type == "bos_xxyy":
-        body = encode_xyxy_rounded(series, fold) if compat else encode_xxyy(series)
+        body = encode_xyxy_rounded(series, fold) if compat else encode_xxyy_rounded(series, fold)
         return encode_bos(chart_type, body)
     if label_type == "bos_xyxy":
         return encode_bos(chart_type, encode_xyxy(series))
@@ -195,16 +175,16 @@ def shorter_length(xs: Column, ys: Column) -> Column:
 _NA_WORDS = [w for w in K.PANDAS_NA_WORDS]
 # pandas' parser: integers and decimals may carry surrounding spaces; the
 # missing-value words and inf/infinity only match exactly.
-_INT_RE = "^ *[+-]?[0-9]{1,18} *$"
+_INT_RE = "^ *[+-]?[0-9]+ *$"
 _NUM_RE = "^( *[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)? *|[+-]?(?i:inf|infinity))$"
 
 
 def _type_column(cells: Column) -> Column:
     """pandas-style per-record column typing of raw cells (NULL = missing).
 
-    all present and integer -> integer text; all present-or-missing numeric
-    -> Python float text with missing as 'nan'; otherwise the raw text with
-    missing as 'nan'.
+    all present and integer -> integer text, if all fit in 64 signed or all in 64
+    unsigned bits, else the raw text; all present-or-missing numeric -> Python float
+    text with missing as 'nan'; otherwise the raw text with missing as 'nan'.
     """
     def body(cs: Column) -> Column:
         n_null = F.size(F.filter(cs, lambda c: c.isNull()))
@@ -212,10 +192,16 @@ def _type_column(cells: Column) -> Column:
         n_num = F.size(F.filter(cs, lambda c: c.rlike(_NUM_RE)))
         n = F.size(cs)
         bare = lambda c: F.regexp_replace(c, "^ +| +$", "")
-        as_int = F.transform(cs, lambda c: bare(c).cast("long").cast("string"))
+        whole = F.transform(cs, lambda c: bare(c).try_cast("decimal(38,0)"))
+        low, high = F.array_min(whole), F.array_max(whole)
+        fits = ~F.exists(whole, lambda d: d.isNull()) & (
+            ((low >= F.lit(-(1 << 63)).cast("decimal(38,0)")) & (high < F.lit(1 << 62).cast("decimal(38,0)") * 2))
+            | ((low >= 0) & (high < F.lit(1 << 62).cast("decimal(38,0)") * 4)))
+        as_int = F.transform(whole, lambda d: d.cast("string"))
         as_float = F.transform(cs, lambda c: F.coalesce(py_str(bare(c).cast("double")), F.lit("nan")))
         as_text = F.transform(cs, lambda c: F.coalesce(c, F.lit("nan")))
-        return (F.when((n_null == 0) & (n_int == n), as_int)
+        return (F.when((n_null == 0) & (n_int == n) & fits, as_int)
+                .when((n_null == 0) & (n_int == n), as_text)
                 .when(n_num + n_null == n, as_float)
                 .otherwise(as_text))
     return let(cells, body)
@@ -227,14 +213,15 @@ def decode_xyxy(text) -> Column:
     Rows split on ``<0x0A>``, blank rows skipped, cells split on `` | ``.  The
     first row fixes the width w (at least 2): the last two of w cells are x
     and y, earlier ones the index; a later row wider than w is a parse error,
-    a narrower one leaves y (then x) missing.  Outside the subset (quotes,
-    booleans, numbers that overflow a double, 16+ significant digits) use
-    ``decode_xyxy_pandas``.
+    a narrower one leaves y (then x) missing.  A quoted cell loses its quotes.
+    Outside the subset (separators and quotes inside quotes, booleans, decimals of
+    16+ significant digits) use ``decode_xyxy_pandas``.
     """
     t = _col(text)
     rows = F.filter(F.split(t, K.XYXY_NEWLINE, -1), lambda r: F.length(py_strip(r)) > 0)
 
-    def norm(c: Column) -> Column:
+    def norm(cell: Column) -> Column:
+        c = F.regexp_replace(cell, '^"([^"]*)"([^"]*)$', "$1$2")
         return F.when(c.isNull() | c.isin(*_NA_WORDS), F.lit(None).cast("string")).otherwise(c)
 
     def body(cells: Column) -> Column:

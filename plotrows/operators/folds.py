@@ -11,8 +11,8 @@ class by a seeded hash instead of the stored order (reproducible, not the
 splitter's own RNG stream).
 
 Plan: one skew-safe ordered scan for the in-class rank, one small aggregate
-for class sizes, and a broadcast range join against the (class, fold, lo, hi)
-table -- ``classes x k`` rows, checked before broadcasting.
+for class sizes, and a NULL-safe join with the classes' fold ends (one row per
+class; AQE broadcasts it while it is small).  NULL and '' are two classes.
 """
 
 from __future__ import annotations
@@ -23,22 +23,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotrows.operators.ordering import hash_order_key, ordered_scan
-from plotrows.session import reliable_checkpoint
-
-BROADCAST_BOUNDS_ROWS = 200_000
 
 
 def fold_bounds(class_stats: DataFrame, class_col: str, k: int) -> DataFrame:
-    """(class, fold, lo, hi) from (class, n, first) -- ``first`` orders classes."""
+    """(class, ends): the row counts up to each fold's end, from (class, n, first) -- ``first`` orders classes."""
     w = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     stats = class_stats.withColumn("_s", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    folds = stats.select(class_col, "_n", "_s", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
-    size = (F.floor(F.col("_n") / k)
-            + F.when(F.pmod(F.col("fold") - F.col("_s"), F.lit(k)) < F.pmod(F.col("_n"), F.lit(k)), 1)
-            .otherwise(0))
-    wc = Window.partitionBy(class_col).orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
-    folds = folds.withColumn("_a", size.cast("long")).withColumn("_hi", F.sum("_a").over(wc))
-    return folds.select(class_col, "fold", (F.col("_hi") - F.col("_a")).alias("_lo"), "_hi")
+    size = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (
+        F.floor(F.col("_n") / k) + F.when(F.pmod(i - F.col("_s"), F.lit(k)) < F.pmod(F.col("_n"), F.lit(k)), 1).otherwise(0)))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.aggregate(
+        F.slice("_sizes", F.lit(1), i), F.lit(0).cast("long"), lambda acc, v: acc + v))
+    return stats.withColumn("_sizes", size).select(F.col(class_col).alias("_bcls"), ends.alias("_ends"))
 
 
 def stratified_kfold(df: DataFrame, class_col: str, order_by: Sequence[str], k: int = 10,
@@ -53,17 +48,10 @@ def stratified_kfold(df: DataFrame, class_col: str, order_by: Sequence[str], k:
         in_class = [hash_order_key(order, seed), *order]
     else:
         in_class = order
-    ranked = ordered_scan(df.withColumn("_cls", F.coalesce(F.col(class_col).cast("string"), F.lit(""))),
-                          order_by=in_class, group_by=["_cls"], rank_col="_r")
-    b = bounds.select(F.coalesce(F.col(class_col).cast("string"), F.lit("")).alias("_bcls"),
-                      F.col("fold").alias("_fold"), "_lo", "_hi")
-    b = reliable_checkpoint(b)               # class statistics are computed once
-    if b.count() <= BROADCAST_BOUNDS_ROWS:
-        b = F.broadcast(b)
-    joined = ranked.join(b, (F.col("_cls") == F.col("_bcls")) & (F.col("_r") >= F.col("_lo"))
-                         & (F.col("_r") < F.col("_hi")), "inner")
-    return (joined.withColumn(fold_col, F.col("_fold").cast("int"))
-            .drop("_cls", "_bcls", "_fold", "_r", "_lo", "_hi"))
+    ranked = ordered_scan(df, order_by=in_class, group_by=[class_col], rank_col="_r")
+    joined = ranked.join(bounds, F.col(class_col).eqNullSafe(F.col("_bcls")), "inner")
+    fold = F.size(F.filter("_ends", lambda e: e <= F.col("_r"))).cast("int")
+    return joined.withColumn(fold_col, fold).drop("_bcls", "_ends", "_r")
 
 
 def positional_split(df: DataFrame, order_by: Sequence[str], frac: float = 0.95,

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plotrows import constants as K
+from plotrows.functions.numbers import fixed_text
 from plotrows.operators.ordering import ordered_scan
 
 
@@ -24,17 +23,17 @@ def epoch_loss(samples: DataFrame, group_by: Sequence[str], order_by: Sequence[s
 
     ``mean_of_batches`` = sum of batch means / max(number of batches, 1)
     (the original's unweighted average, D10); ``sample_mean`` weights every
-    sample equally.
+    sample equally.  Without groups an empty input reports 0.
     """
     g = list(group_by)
     ranked = ordered_scan(samples, order_by=list(order_by), group_by=g, rank_col="_r")
     batches = (ranked.groupBy(*g, F.floor(F.col("_r") / batch_size).alias("_b"))
                .agg(F.avg(value).alias("_bm"), F.count(F.lit(1)).alias("_bn"), F.sum(value).alias("_bs")))
     return batches.groupBy(*g).agg(
-        F.sum("_bn").alias("n_samples"),
+        F.coalesce(F.sum("_bn"), F.lit(0)).alias("n_samples"),
         F.count(F.lit(1)).alias("n_batches"),
-        (F.sum("_bm") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("mean_of_batches"),
-        (F.sum("_bs") / F.sum("_bn")).alias("sample_mean"),
+        F.coalesce(F.avg("_bm"), F.lit(0.0)).alias("mean_of_batches"),
+        F.coalesce(F.sum("_bs") / F.sum("_bn"), F.lit(0.0)).alias("sample_mean"),
     )
 
 
@@ -75,21 +74,15 @@ def accuracy(df: DataFrame, pred: str, label: str, group_by: Sequence[str] = (),
 
 
 def array_moments(arr) -> list[Column]:
-    """(n, sum, sum of squares) of an ARRAY<DOUBLE> -- mergeable across rows."""
+    """(n, sum) of an ARRAY<DOUBLE>."""
     a = F.col(arr) if isinstance(arr, str) else arr
-    return [F.size(a).cast("long"),
-            F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v),
-            F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v * v)]
+    return [F.size(a).cast("long"), F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)]
 
 
 def batch_moments(df: DataFrame, arr: str, batch: str) -> DataFrame:
     """Per-batch mean and *sample* std over every value of every row's array."""
-    n, s1, s2 = array_moments(arr)
-    per_row = df.select(batch, n.alias("_n"), s1.alias("_s1"), s2.alias("_s2"))
-    agg = per_row.groupBy(batch).agg(F.sum("_n").alias("_N"), F.sum("_s1").alias("_S1"), F.sum("_s2").alias("_S2"))
-    mean = F.col("_S1") / F.col("_N")
-    var = (F.col("_S2") - F.col("_S1") * F.col("_S1") / F.col("_N")) / (F.col("_N") - 1)
-    return agg.select(batch, mean.alias("batch_mean"), F.sqrt(var).alias("batch_std"))
+    values = df.select(batch, F.explode(arr).alias("_v"))
+    return values.groupBy(batch).agg(F.avg("_v").alias("batch_mean"), F.stddev_samp("_v").alias("batch_std"))
 
 
 def standardize(df: DataFrame, arr: str, batch: str, out: str | None = None) -> DataFrame:
@@ -117,28 +110,26 @@ def row_count_guard(left: DataFrame, right: DataFrame, expected: int | None = No
     return row
 
 
-@F.pandas_udf(T.StringType())
-def _fixed4(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else f"{v:.4f}")
-
-
 def fixed4(c) -> Column:
-    """``f"{v:.4f}"`` with Python's exact rounding (tiny registry tables only)."""
-    return _fixed4(F.col(c) if isinstance(c, str) else c)
+    """``f"{v:.4f}"`` (``fixed_text``)."""
+    return fixed_text(c, 4)
 
 
-def checkpoint_registry(epochs: DataFrame, run: str, epoch_order: str, loss: str,
+def checkpoint_registry(epochs: DataFrame, run: str, epoch_order: str, loss: str, train_loss: str,
                         prefix: str = "model") -> DataFrame:
-    """Every epoch's file path, and the best-so-far path when the loss strictly improves.
+    """Every epoch's file path, named by the training loss, and the best-so-far
+    path, named by the validation loss ``loss``, when that strictly improves.
 
     One ordered scan gives both the epoch index within the run and the best
     loss of the earlier epochs.
     """
     s = ordered_scan(epochs, order_by=[epoch_order], group_by=[run], rank_col="epoch_idx", prev_mins=[loss])
     s = s.withColumn("is_best", F.col(loss) < F.coalesce(F.col(f"prev_min_{loss}"), F.lit(K.INITIAL_BEST_LOSS)))
-    tail = F.concat(F.lit("_epoch_"), F.col("epoch_idx").cast("string"), F.lit("_loss_"), fixed4(loss), F.lit(".bin"))
-    path = F.concat(F.lit(f"{prefix}_run_"), F.col(run).cast("string"), tail)
-    best_path = F.concat(F.lit(f"best_{prefix}_run_"), F.col(run).cast("string"), tail)
+
+    def name(kind: str, value: str) -> Column:
+        return F.concat(F.lit(f"{kind}{prefix}_run_"), F.col(run).cast("string"), F.lit("_epoch_"),
+                        F.col("epoch_idx").cast("string"), F.lit("_loss_"), fixed4(value), F.lit(".bin"))
+    path, best_path = name("", train_loss), name("best_", loss)
     return (s.withColumn("path", path).withColumn("best_path", F.when(F.col("is_best"), best_path))
             .drop(f"prev_min_{loss}"))
 

@@ -15,31 +15,26 @@ operator here never puts a whole group in one task:
    sum/min/max for running aggregates) and turn those into carries with a
    window per group ordered by partition -- at most one row per partition per
    group, so bounded by the partition count for any single group;
-4. add the carries back with a join on (partition, group); the carry table is
-   broadcast after its row count is checked.
+4. add the carries back with a join on (partition, group); AQE broadcasts the
+   carry table if it is small.
 
 Running sums and exclusive running min/max additionally need a window over
-(partition, group) -- a balanced key, never a whole group.
-
-Grouped scans first sample the group keys: only hot groups take the range
-path above; bounded groups use one plain window shuffle (see ``ordered_scan``).
+(partition, group) -- a balanced key, never a whole group.  Running sums are
+taken in DECIMAL(38, ``SUM_SCALE``), so they do not depend on how rows fell
+into partitions.  Every scan goes this way, whatever its size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotrows.session import reliable_checkpoint
 
-# Largest carry / hot-key table that is broadcast; beyond it the join shuffles
-# and AQE's skew-join handling splits any oversized partition.
-BROADCAST_CARRY_ROWS = 200_000
-# A group with more rows than this is "hot": it is numbered by the range scan
-# instead of a single window task.
-HOT_GROUP_ROWS = 1_000_000
+SUM_SCALE = 12  # decimals of running sums
 
 
 def _names(cols: Sequence) -> list[Column]:
@@ -55,82 +50,17 @@ def ordered_scan(
     prev_mins: Sequence[str] = (),
     prev_maxs: Sequence[str] = (),
     num_partitions: int | None = None,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add a 0-based ``rank_col`` (position in ``order_by`` within ``group_by``),
     inclusive running sums ``cum_<c>`` for ``sums``, and *exclusive* running
     min/max ``prev_min_<c>``/``prev_max_<c>`` (over earlier rows of the group).
 
     ``order_by`` must be a total order within a group (add a unique key as the
-    last tie-breaker); group keys must be non-null.
-
-    Grouped scans split the work: groups that a key sample shows to hold more
-    than about ``hot_rows`` rows go through the range-partitioned scan, all
-    other groups through an ordinary window partitioned by the group key (one
-    shuffle, no group larger than ``hot_rows`` in a task).  The split only
-    affects speed: either path gives the same numbers for any group.
-    """
-    group_by = list(group_by)
-    if not group_by:
-        return _range_scan(df, order_by, group_by, rank_col, sums, prev_mins, prev_maxs, num_partitions)
-    hot = hot_groups(df, group_by, HOT_GROUP_ROWS if hot_rows is None else hot_rows)
-    n_hot = hot.count()
-    if n_hot == 0:
-        return _window_scan(df, order_by, group_by, rank_col, sums, prev_mins, prev_maxs)
-    if n_hot <= BROADCAST_CARRY_ROWS:
-        hot = F.broadcast(hot)
-    cold = _window_scan(df.join(hot, group_by, "left_anti"), order_by, group_by, rank_col, sums,
-                        prev_mins, prev_maxs)
-    warm = _range_scan(df.join(hot, group_by, "left_semi"), order_by, group_by, rank_col, sums,
-                       prev_mins, prev_maxs, num_partitions)
-    return cold.unionByName(warm)
-
-
-def hot_groups(df: DataFrame, group_by: Sequence[str], hot_rows: int) -> DataFrame:
-    """Group keys likely to exceed ``hot_rows`` rows, from a seeded sample of the keys.
-
-    The sample keeps about 1,000 rows per ``hot_rows``; a key is hot when its
-    sampled count reaches half of its expected share.  The small result is
-    checkpointed so every later use sees the same keys.
+    last tie-breaker); NULL group keys form one group.  Pass narrow rows: they
+    are written to the checkpoint folder once.
     """
-    frac = min(1.0, 1000.0 / max(hot_rows, 1))
-    keys = df.select(*group_by)
-    sample = keys if frac >= 1.0 else keys.sample(fraction=frac, seed=7)
-    hot = (sample.groupBy(*group_by).agg(F.count(F.lit(1)).alias("_c"))
-           .filter(F.col("_c") >= hot_rows * frac / 2).select(*group_by))
-    return reliable_checkpoint(hot)
-
-
-def _window_scan(df: DataFrame, order_by: Sequence, group_by: list[str], rank_col: str,
-                 sums: Sequence[str], prev_mins: Sequence[str], prev_maxs: Sequence[str]) -> DataFrame:
-    """The same outputs with one window per group (groups known to be bounded)."""
-    w = Window.partitionBy(*group_by).orderBy(*_names(order_by))
-    w_incl = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_excl = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn(rank_col, (F.row_number().over(w) - 1).cast("long"))
-    for c in sums:
-        out = out.withColumn(f"cum_{c}", F.sum(c).over(w_incl))
-    for c in prev_mins:
-        out = out.withColumn(f"prev_min_{c}", F.min(c).over(w_excl))
-    for c in prev_maxs:
-        out = out.withColumn(f"prev_max_{c}", F.max(c).over(w_excl))
-    return out
-
-
-def _range_scan(
-    df: DataFrame,
-    order_by: Sequence,
-    group_by: Sequence[str],
-    rank_col: str,
-    sums: Sequence[str],
-    prev_mins: Sequence[str],
-    prev_maxs: Sequence[str],
-    num_partitions: int | None,
-) -> DataFrame:
-    """Range-partitioned scan: any group, however hot, is spread over partitions."""
     group_by = list(group_by)
-    order_cols = _names(order_by)
-    sort_cols = [*[F.col(g) for g in group_by], *order_cols]
+    sort_cols = [*[F.col(g) for g in group_by], *_names(order_by)]
     # Without an explicit count the range exchange is sized by AQE (coalesced to
     # the advisory partition size); merged neighbours stay contiguous ranges.
     ranged = (df.repartitionByRange(num_partitions, *sort_cols) if num_partitions
@@ -141,28 +71,21 @@ def _range_scan(
               .withColumn("_lpos", F.monotonically_increasing_id() - F.shiftleft(pid, 33)))
     ranged = reliable_checkpoint(ranged)
 
+    exact = {c: F.col(c).cast(f"decimal(38,{SUM_SCALE})") for c in sums}
     keys = ["_pid", *group_by]
     summary_aggs = [F.count(F.lit(1)).alias("_n"), F.min("_lpos").alias("_first")]
-    summary_aggs += [F.sum(c).alias(f"_s_{c}") for c in sums]
+    summary_aggs += [F.sum(exact[c]).alias(f"_s_{c}") for c in sums]
     summary_aggs += [F.min(c).alias(f"_m_{c}") for c in prev_mins]
     summary_aggs += [F.max(c).alias(f"_x_{c}") for c in prev_maxs]
     summary = ranged.groupBy(*keys).agg(*summary_aggs)
-    w_carry = (Window.partitionBy(*group_by) if group_by else Window.partitionBy()).orderBy("_pid") \
-        .rowsBetween(Window.unboundedPreceding, -1)
+    w_carry = Window.partitionBy(*group_by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
-        *keys, "_first",
+        *[F.col(k).alias(f"_k_{k}") for k in keys], "_first",
         F.coalesce(F.sum("_n").over(w_carry), F.lit(0)).alias("_cn"),
         *[F.coalesce(F.sum(f"_s_{c}").over(w_carry), F.lit(0)).alias(f"_cs_{c}") for c in sums],
         *[F.min(f"_m_{c}").over(w_carry).alias(f"_cm_{c}") for c in prev_mins],
         *[F.max(f"_x_{c}").over(w_carry).alias(f"_cx_{c}") for c in prev_maxs],
     )
-    if not group_by:
-        carry = F.broadcast(carry)            # one row per partition
-    else:
-        # computed once and written next to the scan; its size decides the join
-        carry = reliable_checkpoint(carry)
-        if carry.count() <= BROADCAST_CARRY_ROWS:
-            carry = F.broadcast(carry)
 
     local = ranged
     if sums or prev_mins or prev_maxs:
@@ -170,21 +93,22 @@ def _range_scan(
         w_incl = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         w_excl = w_local.rowsBetween(Window.unboundedPreceding, -1)
         for c in sums:
-            local = local.withColumn(f"_lsum_{c}", F.sum(c).over(w_incl))
+            local = local.withColumn(f"_lsum_{c}", F.sum(exact[c]).over(w_incl))
         for c in prev_mins:
             local = local.withColumn(f"_lmin_{c}", F.min(c).over(w_excl))
         for c in prev_maxs:
             local = local.withColumn(f"_lmax_{c}", F.max(c).over(w_excl))
 
-    out = local.join(carry, on=keys, how="inner")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    out = local.join(carry, same, "inner")
     out = out.withColumn(rank_col, (F.col("_lpos") - F.col("_first") + F.col("_cn")).cast("long"))
     for c in sums:
-        out = out.withColumn(f"cum_{c}", F.col(f"_lsum_{c}") + F.col(f"_cs_{c}"))
+        out = out.withColumn(f"cum_{c}", (F.col(f"_lsum_{c}") + F.col(f"_cs_{c}")).cast("double"))
     for c in prev_mins:
         out = out.withColumn(f"prev_min_{c}", F.least(f"_lmin_{c}", f"_cm_{c}"))
     for c in prev_maxs:
         out = out.withColumn(f"prev_max_{c}", F.greatest(f"_lmax_{c}", f"_cx_{c}"))
-    drop = ["_pid", "_lpos", "_first", "_cn"]
+    drop = ["_pid", "_lpos", "_first", "_cn", *[f"_k_{k}" for k in keys]]
     drop += [f"_lsum_{c}" for c in sums] + [f"_cs_{c}" for c in sums]
     drop += [f"_lmin_{c}" for c in prev_mins] + [f"_cm_{c}" for c in prev_mins]
     drop += [f"_lmax_{c}" for c in prev_maxs] + [f"_cx_{c}" for c in prev_maxs]

@@ -14,11 +14,6 @@ from pyspark.sql import functions as F
 
 from plotrows.operators.ordering import hash_order_key, ordered_scan
 
-# Up to this many rows a limit runs as a per-partition top-k (bounded by n);
-# beyond it, as a filter on the distributed global position.
-TOPK_MAX_ROWS = 1_000_000
-
-
 def shuffle(df: DataFrame, key_cols: Sequence[str], seed: int = 42, rank_col: str = "shuffle_rank") -> DataFrame:
     """L1: every row with its 0-based position in the seeded shuffle order."""
     order = [hash_order_key(key_cols, seed), *[F.col(k) for k in key_cols]]
@@ -26,16 +21,18 @@ def shuffle(df: DataFrame, key_cols: Sequence[str], seed: int = 42, rank_col: st
 
 
 def head_n(df: DataFrame, order_by: Sequence, n: int, rank_col: str = "rank") -> DataFrame:
-    """L2/L3: the first ``n`` rows in order, with their 0-based rank.
+    """L2: the first few rows in order, with their 0-based rank -- a display of tiny ``n``.
 
-    Small ``n`` is a top-k (each partition keeps n rows, one task merges at
-    most n x partitions); large ``n`` filters the distributed global position.
+    A per-partition top-k; for a result of any size take ``first_n``.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    if n <= TOPK_MAX_ROWS:
-        top = df.orderBy(*cols).limit(n)
-        return top.withColumn(rank_col, (F.row_number().over(Window.orderBy(*cols)) - 1).cast("long"))
-    ranked = ordered_scan(df, order_by=cols, rank_col=rank_col)
+    top = df.orderBy(*cols).limit(n)
+    return top.withColumn(rank_col, (F.row_number().over(Window.orderBy(*cols)) - 1).cast("long"))
+
+
+def first_n(df: DataFrame, order_by: Sequence, n: int, rank_col: str = "rank") -> DataFrame:
+    """The first ``n`` rows in order, with their 0-based rank, for any ``n``: a filter on the distributed position."""
+    ranked = ordered_scan(df, order_by=list(order_by), rank_col=rank_col)
     return ranked.filter(F.col(rank_col) < n)
 
 
@@ -43,7 +40,7 @@ def shuffle_limit(df: DataFrame, key_cols: Sequence[str], n: int, seed: int = 42
                   rank_col: str = "shuffle_rank") -> DataFrame:
     """L3: ``sample(frac=1)`` then the first ``n`` rows, reproducibly."""
     order = [hash_order_key(key_cols, seed), *[F.col(k) for k in key_cols]]
-    return head_n(df, order, n, rank_col)
+    return first_n(df, order, n, rank_col)
 
 
 def batch_assign(df: DataFrame, order_by: Sequence, batch_size: int, pos_col: str = "pos",

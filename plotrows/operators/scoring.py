@@ -21,14 +21,14 @@ from plotrows.functions.numbers import argmax, softmax
 ScorerFactory = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 _WORKER_MODELS: dict[str, object] = {}
-_MAX_WORKER_MODELS = 8
 
 
 def _cached(name: str, factory: Callable[[], object]) -> object:
-    """Build a model at most once per Python worker process (the oldest models are dropped)."""
+    """Build a model at most once per Python worker process and call (models of earlier calls are dropped)."""
     if name not in _WORKER_MODELS:
-        while len(_WORKER_MODELS) >= _MAX_WORKER_MODELS:
-            _WORKER_MODELS.pop(next(iter(_WORKER_MODELS)))
+        call = name.split("/")[0]
+        for old in [k for k in _WORKER_MODELS if k.split("/")[0] != call]:
+            del _WORKER_MODELS[old]
         _WORKER_MODELS[name] = factory()
     return _WORKER_MODELS[name]
 
@@ -100,7 +100,8 @@ def _score_isolating(model, inputs: pd.Series, kw: dict) -> tuple[list, list]:
 
 def routed_scoring(df: DataFrame, route_col: str, models: Mapping[str, Callable[[], Callable]],
                    input_col: str, key: str, out_col: str = "text", prompt: str | None = None) -> DataFrame:
-    """M2: rows clustered by route; each worker lazily builds only the models it meets.
+    """M2: rows range-partitioned by (route, key), so that most tasks meet one route and a hot
+    route spreads over many; each worker builds only the models it meets.
 
     A model maps a pandas Series of inputs to a Series of output texts.  Errors
     do not fail the job: they land in ``error`` with ``out_col`` NULL.  With
@@ -115,7 +116,7 @@ def routed_scoring(df: DataFrame, route_col: str, models: Mapping[str, Callable[
             outs, errs = [], []
             for route, part in b.groupby(route_col, sort=False):
                 try:
-                    model = _cached(f"{token}:{route}", factories[route])
+                    model = _cached(f"{token}/{route}", factories[route])
                 except Exception as e:  # noqa: BLE001 - a model that cannot load fails its rows only
                     outs.append(pd.Series([None] * len(part), index=part.index, dtype=object))
                     errs.append(pd.Series([f"{type(e).__name__}: {e}"] * len(part), index=part.index))
@@ -131,17 +132,24 @@ def routed_scoring(df: DataFrame, route_col: str, models: Mapping[str, Callable[
     key_type = dict(df.dtypes)[key]
     schema = f"{key} {key_type}, {route_col} string, {out_col} string, error string"
     cols = [key, route_col, input_col] + ([F.lit(prompt).alias("prompt")] if prompt is not None else [])
-    clustered = df.select(*cols).repartition(route_col, key)
+    clustered = df.select(*cols).repartitionByRange(route_col, key)
     return clustered.mapInPandas(run, schema)
 
 
 def softmax_ce(logits, label) -> dict[str, Column]:
-    """Probabilities, predicted class, p[label], cross-entropy ``-ln p[label]``, and p[1]."""
+    """Probabilities, predicted class, p[label], cross-entropy, and p[1].
+
+    The cross-entropy is the log-sum-exp less the label's logit, which stays finite
+    where p[label] underflows; a label outside the classes raises.
+    """
     lg = F.col(logits) if isinstance(logits, str) else logits
     lb = F.col(label) if isinstance(label, str) else label
     p = softmax(lg)
-    p_label = F.get(p, lb)
-    return {"probs": p, "pred": argmax(lg), "p_label": p_label, "ce": -F.log(p_label),
+    top = F.array_max(lg)
+    total = F.aggregate(lg, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
+    own = F.coalesce(F.get(lg, lb), F.when(lg.isNull() | lb.isNull(), F.lit(None).cast("double")).otherwise(
+        F.raise_error(F.lit("label outside the classes")).cast("double")))
+    return {"probs": p, "pred": argmax(lg), "p_label": F.get(p, lb), "ce": top - own + F.log(total),
             "p1": F.get(p, 1)}
 
 

@@ -8,6 +8,7 @@ from plotrows import constants as K
 from plotrows.functions import series as S
 from plotrows.plans.catalog import register
 from plotrows.plans.corpus import build_corpus, charts_with_folds, corpus
+from plotrows.plans.training import EXCLUDED_TYPES, not_in
 from plotrows.plans.sqlparts import folds_ctes, md5_key
 from plotrows.sources import fixtures as fx
 
@@ -38,10 +39,10 @@ ra AS (SELECT image_id, fold, coalesce(string_agg(rx, ';' ORDER BY pos), '') AS
 
 
 _ROUND4 = ("CASE WHEN TRY_CAST({v} AS DOUBLE) IS NULL THEN {v} "
-           "ELSE CAST(round(CAST({v} AS DOUBLE), 4) AS VARCHAR) END")
+           "ELSE CAST(CAST(printf('%.4f', CAST({v} AS DOUBLE)) AS DOUBLE) AS VARCHAR) END")
 _DIGIT = ("CASE WHEN TRY_CAST({v} AS DOUBLE) IS NOT NULL AND len(string_split({v}, '.')) = 2 THEN "
-          "CASE WHEN length(split_part({v}, '.', 1)) > 2 THEN CAST(round(CAST({v} AS DOUBLE), 2) AS VARCHAR) "
-          "ELSE CAST(round(CAST({v} AS DOUBLE), 4) AS VARCHAR) END ELSE {v} END")
+          "CASE WHEN length(split_part({v}, '.', 1)) > 2 THEN CAST(CAST(printf('%.2f', CAST({v} AS DOUBLE)) AS DOUBLE) AS VARCHAR) "
+          "ELSE CAST(CAST(printf('%.4f', CAST({v} AS DOUBLE)) AS DOUBLE) AS VARCHAR) END ELSE {v} END")
 
 
 @register("build_corpus", sql=_corpus_sql("""
@@ -84,23 +85,24 @@ def q_encode_digit_round(spark, sf_dir):
                                         S.encode_xxyy_rounded("gts", "fold", digit_aware=True).alias("label"))
 
 
-@register("encode_bos", sql=_corpus_sql("""
-SELECT image_id, '<|BOS|><' || types || '>' || label_xxyy AS label_bos_xxyy,
-       '<|BOS|><' || types || '>' || label_xyxy AS label_bos_xyxy FROM corpus"""))
+@register("encode_bos", sql=_points_rounded_sql(_ROUND4) + """
+SELECT image_id, '<|BOS|><' || types || '>' || '<x_start>' || xs || '<x_end> <y_start>' || ys || '<y_end>' AS label_bos_xxyy,
+       '<|BOS|><' || types || '>' || label_xyxy AS label_bos_xyxy FROM corpus JOIN ra USING (image_id)""")
 def q_encode_bos(spark, sf_dir):
-    c = fx.charts_with_series(spark, sf_dir).withColumnRenamed("chart_type", "types").withColumn("fold", F.lit(0))
+    c = corpus(spark, sf_dir)
     return c.select("image_id",
                     S.encode_label("gts", "types", "fold", "bos_xxyy").alias("label_bos_xxyy"),
                     S.encode_label("gts", "types", "fold", "bos_xyxy").alias("label_bos_xyxy"))
 
 
-@register("label_dispatch", sql=_corpus_sql("""
+@register("label_dispatch", sql=_points_rounded_sql(_ROUND4) + """
 SELECT image_id, 'xxyy' AS label_type, label_xxyy AS label FROM corpus
 UNION ALL SELECT image_id, 'xyxy', label_xyxy FROM corpus
-UNION ALL SELECT image_id, 'bos_xxyy', '<|BOS|><' || types || '>' || label_xxyy FROM corpus
-UNION ALL SELECT image_id, 'bos_xyxy', '<|BOS|><' || types || '>' || label_xyxy FROM corpus"""))
+UNION ALL SELECT image_id, 'bos_xxyy', '<|BOS|><' || types || '>' || '<x_start>' || xs || '<x_end> <y_start>' || ys || '<y_end>'
+          FROM corpus JOIN ra USING (image_id)
+UNION ALL SELECT image_id, 'bos_xyxy', '<|BOS|><' || types || '>' || label_xyxy FROM corpus""")
 def q_label_dispatch(spark, sf_dir):
-    c = fx.charts_with_series(spark, sf_dir).withColumnRenamed("chart_type", "types").withColumn("fold", F.lit(0))
+    c = corpus(spark, sf_dir)
     kinds = ["xxyy", "xyxy", "bos_xxyy", "bos_xyxy"]
     rows = F.array(*[F.struct(F.lit(t).alias("label_type"),
                               S.encode_label("gts", "types", "fold", t).alias("label")) for t in kinds])
@@ -162,10 +164,10 @@ def q_fold_split(spark, sf_dir):
 
 
 @register("class_exclusion", sql=_corpus_sql("""
-SELECT image_id, types, fold FROM corpus WHERE types NOT IN ('scatter', 'horizontal_bar')"""))
+SELECT image_id, types, fold FROM corpus WHERE coalesce(types NOT IN ('scatter', 'horizontal_bar'), true)"""))
 def q_class_exclusion(spark, sf_dir):
     f = charts_with_folds(spark, sf_dir).withColumnRenamed("chart_type", "types")
-    return f.filter(~F.col("types").isin("scatter", "horizontal_bar")).select("image_id", "types", "fold")
+    return f.filter(not_in("types", EXCLUDED_TYPES)).select("image_id", "types", "fold")
 
 
 @register("single_class_valid", sql=_corpus_sql("""

@@ -56,8 +56,8 @@ def _norm_cell(expr: str) -> str:
 def _type_sql(col: str) -> str:
     bare = "regexp_replace(c, '^ +| +$', '', 'g')"
     return f"""CASE WHEN len(list_filter({col}, lambda c: c IS NULL)) = 0
-                 AND len(list_filter({col}, lambda c: regexp_full_match(c, ' *[+-]?[0-9]{{1,18}} *'))) = len({col})
-            THEN list_transform({col}, lambda c: CAST(CAST({bare} AS BIGINT) AS VARCHAR))
+                 AND len(list_filter({col}, lambda c: regexp_full_match(c, ' *[+-]?[0-9]+ *'))) = len({col})
+            THEN list_transform({col}, lambda c: CAST(CAST({bare} AS HUGEINT) AS VARCHAR))
             WHEN len(list_filter({col}, lambda c: regexp_full_match(c, '{_NUM}')))
                  + len(list_filter({col}, lambda c: c IS NULL)) = len({col})
             THEN list_transform({col}, lambda c: coalesce(CAST(CAST({bare} AS DOUBLE) AS VARCHAR), 'nan'))
@@ -223,7 +223,7 @@ def class_name(idx) -> F.Column:
 SELECT image_id, chart_type, {_CLASS_CASE} AS label FROM charts"""))
 def q_class_encode(spark, sf_dir):
     c = fx.charts(spark, sf_dir)
-    return c.select("image_id", "chart_type", class_index("chart_type").alias("label"))
+    return c.select("image_id", "chart_type", class_index("chart_type", strict=False).alias("label"))
 
 
 _NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in K.CHART_TYPES) + "]"

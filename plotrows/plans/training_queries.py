@@ -26,16 +26,17 @@ cf AS (SELECT c.image_id, c.chart_type, f.fold FROM charts c JOIN folds10 f USIN
 """
 
 SAMPLE_N = 80_000   # the original's extra-corpus sample size
+SHORT_N = 1_000     # a limit that bites at every scale of the tables
 
 
 @register("split_sizes", sql=_FOLDS + """
 SELECT count(*) AS n_total,
-       count(*) FILTER (WHERE fold <> 0 AND chart_type NOT IN ('scatter', 'horizontal_bar')) AS n_train,
-       count(*) FILTER (WHERE fold = 0 AND chart_type NOT IN ('scatter', 'horizontal_bar')) AS n_valid
+       count(*) FILTER (WHERE fold <> 0 AND coalesce(chart_type NOT IN ('scatter', 'horizontal_bar'), true)) AS n_train,
+       count(*) FILTER (WHERE fold = 0 AND coalesce(chart_type NOT IN ('scatter', 'horizontal_bar'), true)) AS n_valid
 FROM cf""")
 def q_split_sizes(spark, sf_dir):
     f = charts_with_folds(spark, sf_dir)
-    keep = ~F.col("chart_type").isin(*TR.EXCLUDED_TYPES)
+    keep = TR.not_in("chart_type", TR.EXCLUDED_TYPES)
     return f.agg(F.count(F.lit(1)).alias("n_total"),
                  F.count_if((F.col("fold") != 0) & keep).alias("n_train"),
                  F.count_if((F.col("fold") == 0) & keep).alias("n_valid"))
@@ -44,9 +45,9 @@ def q_split_sizes(spark, sf_dir):
 @register("train_valid_prep", sql=_FOLDS + f""",
 tr AS (SELECT image_id, 'train' AS split,
               row_number() OVER (ORDER BY {md5_key('image_id')}, image_id) - 1 AS pos
-       FROM cf WHERE fold <> 0 AND chart_type NOT IN ('scatter', 'horizontal_bar')),
+       FROM cf WHERE fold <> 0 AND coalesce(chart_type NOT IN ('scatter', 'horizontal_bar'), true)),
 va AS (SELECT image_id, 'valid' AS split, row_number() OVER (ORDER BY image_id) - 1 AS pos
-       FROM cf WHERE fold = 0 AND chart_type NOT IN ('scatter', 'horizontal_bar'))
+       FROM cf WHERE fold = 0 AND coalesce(chart_type NOT IN ('scatter', 'horizontal_bar'), true))
 SELECT image_id, split, pos, pos // 8 AS batch_id FROM (SELECT * FROM tr UNION ALL SELECT * FROM va)""")
 def q_train_valid_prep(spark, sf_dir):
     return TR.train_valid_prep(spark, sf_dir)
@@ -54,21 +55,21 @@ def q_train_valid_prep(spark, sf_dir):
 
 @register("extra_sample", sql=_head(["extra_metadata"]) + f""",
 tr AS (SELECT file_name, chart_type, row_number() OVER (ORDER BY {md5_key('file_name')}, file_name) - 1 AS shuffle_rank
-       FROM extra_metadata WHERE validation = 0 AND chart_type <> 'scatter')
+       FROM extra_metadata WHERE validation = 0 AND chart_type IS DISTINCT FROM 'scatter')
 SELECT file_name, chart_type, shuffle_rank, 'train' AS split FROM tr WHERE shuffle_rank < {SAMPLE_N}
 UNION ALL
 SELECT file_name, chart_type, CAST(NULL AS BIGINT), 'valid' FROM extra_metadata
-WHERE validation = 1 AND chart_type <> 'scatter'""")
+WHERE validation = 1 AND chart_type IS DISTINCT FROM 'scatter'""")
 def q_extra_sample(spark, sf_dir):
     return TR.extra_sample(spark, sf_dir, SAMPLE_N)
 
 
 @register("flag_split", sql=fx.with_views(["extra_metadata"], """
 SELECT file_name, validation, chart_type, CASE WHEN validation = 0 THEN 'train' ELSE 'valid' END AS split
-FROM extra_metadata WHERE chart_type <> 'scatter' AND validation IN (0, 1)"""))
+FROM extra_metadata WHERE chart_type IS DISTINCT FROM 'scatter' AND validation IN (0, 1)"""))
 def q_flag_split(spark, sf_dir):
     m = fx.extra_metadata(spark, sf_dir)
-    m = m.filter((F.col("chart_type") != "scatter") & F.col("validation").isin(0, 1))
+    m = m.filter(TR.not_in("chart_type", ["scatter"]) & F.col("validation").isin(0, 1))
     return m.select("file_name", "validation", "chart_type",
                     F.when(F.col("validation") == 0, "train").otherwise("valid").alias("split"))
 
@@ -96,9 +97,9 @@ def q_head_n(spark, sf_dir):
 
 @register("shuffle_limit", sql=fx.with_views(["charts"], f"""
 SELECT * FROM (SELECT image_id, row_number() OVER (ORDER BY {md5_key('image_id')}, image_id) - 1 AS shuffle_rank
-               FROM charts) WHERE shuffle_rank < {SAMPLE_N}"""))
+               FROM charts) WHERE shuffle_rank < {SHORT_N}"""))
 def q_shuffle_limit(spark, sf_dir):
-    return shuffle_limit(fx.charts(spark, sf_dir).select("image_id"), ["image_id"], SAMPLE_N, K.SEED)
+    return shuffle_limit(fx.charts(spark, sf_dir).select("image_id"), ["image_id"], SHORT_N, K.SEED)
 
 
 @register("batch_assign", sql=fx.with_views(["charts"], f"""
@@ -128,31 +129,31 @@ _ML_EPOCH = "strftime(epoch, '%Y-%m-%d')"
 r AS (SELECT *, (row_number() OVER (PARTITION BY run, epoch, metric ORDER BY step) - 1) // 8 AS b FROM metric_log),
 bt AS (SELECT run, epoch, metric, b, avg(value) AS bm, count(*) AS bn, sum(value) AS bs FROM r GROUP BY run, epoch, metric, b)
 SELECT run, {_ML_EPOCH} AS epoch, metric, CAST(sum(bn) AS BIGINT) AS n_samples, count(*) AS n_batches,
-       round(sum(bm) / greatest(count(*), 1), 6) AS mean_of_batches, round(sum(bs) / sum(bn), 6) AS sample_mean
+       round(sum(bm) / greatest(count(*), 1), 9) AS mean_of_batches, round(sum(bs) / sum(bn), 9) AS sample_mean
 FROM bt GROUP BY run, epoch, metric""".replace("\n,", ",", 1)).replace("FROM events),\nr AS", "FROM events)\n, r AS"))
 def q_epoch_loss(spark, sf_dir):
     ml = fx.metric_log(spark, sf_dir)
     out = M.epoch_loss(ml, ["run", "epoch", "metric"], ["step"], "value", 8)
     return out.select("run", F.date_format("epoch", "yyyy-MM-dd").alias("epoch"), "metric", "n_samples",
-                      "n_batches", F.round("mean_of_batches", 6).alias("mean_of_batches"),
-                      F.round("sample_mean", 6).alias("sample_mean"))
+                      "n_batches", F.round("mean_of_batches", 9).alias("mean_of_batches"),
+                      F.round("sample_mean", 9).alias("sample_mean"))
 
 
 @register("running_loss", sql=fx.with_views(["metric_log"], f"""
 SELECT run, {_ML_EPOCH} AS epoch, step,
        row_number() OVER w - 1 AS step_index,
-       round(avg(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running_mean,
+       round(avg(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS running_mean,
        row_number() OVER w % 50 = 0 AS reported
 FROM metric_log WINDOW w AS (PARTITION BY run, epoch ORDER BY step)"""))
 def q_running_loss(spark, sf_dir):
     ml = fx.metric_log(spark, sf_dir)
     out = M.running_mean(ml, ["run", "epoch"], ["step"], "value", every=50)
     return out.select("run", F.date_format("epoch", "yyyy-MM-dd").alias("epoch"), "step", "step_index",
-                      F.round("running_mean", 6).alias("running_mean"), "reported")
+                      F.round("running_mean", 9).alias("running_mean"), "reported")
 
 
 _EPOCHS_SQL = fx.with_views(["metric_log"], "SELECT 1").replace("\nSELECT 1", "") + """,
-e AS (SELECT run, epoch, round(avg(value), 6) AS loss FROM metric_log GROUP BY run, epoch),
+e AS (SELECT run, epoch, round(avg(value), 6) AS loss, round(max(value), 6) AS train_loss FROM metric_log GROUP BY run, epoch),
 eb AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) - 1 AS epoch_idx,
               loss < coalesce(min(loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 100000.0) AS is_best
        FROM e)
@@ -161,7 +162,7 @@ eb AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) - 1 AS epoc
 
 def _epochs(spark, sf_dir):
     ml = fx.metric_log(spark, sf_dir)
-    return ml.groupBy("run", "epoch").agg(F.round(F.avg("value"), 6).alias("loss"))
+    return ml.groupBy("run", "epoch").agg(F.round(F.avg("value"), 6).alias("loss"), F.round(F.max("value"), 6).alias("train_loss"))
 
 
 @register("best_epochs", sql=_EPOCHS_SQL + f"SELECT run, {_ML_EPOCH} AS epoch, loss, is_best FROM eb")
@@ -171,13 +172,13 @@ def q_best_epochs(spark, sf_dir):
 
 
 @register("checkpoint_registry", sql=_EPOCHS_SQL + f"""
-SELECT run, epoch_idx, {_ML_EPOCH} AS epoch, loss, is_best,
-       'model_run_' || run || '_epoch_' || epoch_idx || '_loss_' || printf('%.4f', loss) || '.bin' AS path,
+SELECT run, epoch_idx, {_ML_EPOCH} AS epoch, loss, train_loss, is_best,
+       'model_run_' || run || '_epoch_' || epoch_idx || '_loss_' || printf('%.4f', train_loss) || '.bin' AS path,
        CASE WHEN is_best THEN 'best_model_run_' || run || '_epoch_' || epoch_idx || '_loss_' || printf('%.4f', loss) || '.bin' END AS best_path
 FROM eb""")
 def q_checkpoint_registry(spark, sf_dir):
-    reg = M.checkpoint_registry(_epochs(spark, sf_dir), "run", "epoch", "loss")
-    return reg.select("run", "epoch_idx", F.date_format("epoch", "yyyy-MM-dd").alias("epoch"), "loss", "is_best",
+    reg = M.checkpoint_registry(_epochs(spark, sf_dir), "run", "epoch", "loss", "train_loss")
+    return reg.select("run", "epoch_idx", F.date_format("epoch", "yyyy-MM-dd").alias("epoch"), "loss", "train_loss", "is_best",
                       "path", "best_path")
 
 
@@ -197,16 +198,15 @@ def q_accuracy(spark, sf_dir):
 
 @register("batch_standardize", sql=fx.with_views(["pixels"], """
 , b AS (SELECT id, px, (row_number() OVER (ORDER BY id) - 1) // 64 AS batch_id FROM pixels),
-m AS (SELECT batch_id, sum(len(px)) AS n, sum(list_sum(px)) AS s1,
-             sum(list_sum(list_transform(px, lambda v: v * v))) AS s2 FROM b GROUP BY batch_id),
-st AS (SELECT batch_id, s1 / n AS mean, sqrt((s2 - s1 * s1 / n) / (n - 1)) AS std FROM m)
+st AS (SELECT batch_id, avg(v) AS mean, stddev_samp(v) AS std FROM (SELECT batch_id, unnest(px) AS v FROM b) GROUP BY batch_id)
 SELECT b.id, b.batch_id, round(st.mean, 6) AS batch_mean, round(st.std, 6) AS batch_std,
        round((list_sum(px) / len(px) - st.mean) / st.std, 6) AS z_mean
 FROM b JOIN st USING (batch_id)""").replace("\n\n, b AS", ", b AS").replace("embeddings)\n, b AS", "embeddings), b AS"))
 def q_batch_standardize(spark, sf_dir):
-    px = batch_assign(fx.pixels(spark, sf_dir).select("id", "px"), [F.col("id")], 64)
+    px = fx.pixels(spark, sf_dir).select("id", "px")
+    px = px.join(batch_assign(px.select("id"), [F.col("id")], 64).select("id", "batch_id"), "id")
     stats = M.batch_moments(px, "px", "batch_id")
-    n, s1, _ = M.array_moments("px")
+    n, s1 = M.array_moments("px")
     j = px.select("id", "batch_id", (s1 / n).alias("_m")).join(stats, "batch_id")
     return j.select("id", "batch_id", F.round("batch_mean", 6).alias("batch_mean"),
                     F.round("batch_std", 6).alias("batch_std"),
@@ -220,7 +220,7 @@ FROM (SELECT id, list_transform(px, lambda v: (v / 255.0 - 0.5) / 0.5) AS xn FRO
 def q_pixel_normalize(spark, sf_dir):
     px = fx.pixels(spark, sf_dir)
     xn = F.transform("px", lambda v: (v / 255.0 - 0.5) / 0.5)
-    n, s1, _ = M.array_moments(xn)
+    n, s1 = M.array_moments(xn)
     return px.select("id", n.alias("n"), F.round(s1 / n, 6).alias("mean"),
                      F.round(F.array_min(xn), 6).alias("min_value"), F.round(F.array_max(xn), 6).alias("max_value"))
 
@@ -228,7 +228,7 @@ def q_pixel_normalize(spark, sf_dir):
 @register("softmax_ce", sql=fx.with_views(["scores"], """
 SELECT id, label, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred,
        round(exp(logits[label + 1] - m) / s, 6) AS p_label,
-       round(-ln(exp(logits[label + 1] - m) / s), 6) AS ce,
+       round(ln(s) + m - logits[label + 1], 6) AS ce,
        round(exp(logits[2] - m) / s, 6) AS p1
 FROM (SELECT *, list_max(logits) AS m,
              list_sum(list_transform(logits, lambda v: exp(v - list_max(logits)))) AS s FROM scores)"""))
@@ -282,8 +282,7 @@ _SCORE_CLASS = "[" + ", ".join(f"'{n}'" for n in K.CHART_TYPES) + "][label + 1]"
 @register("validation_loss", sql=_head(["scores"]) + """,
 sc AS (SELECT id, logits, label, """ + _SCORE_CLASS + """ AS chart_type FROM scores),""" +
           folds_ctes("sc", "chart_type", "id", 10, "sf").lstrip("\n") + """,
-v AS (SELECT s.id, -ln(exp(s.logits[s.label + 1] - list_max(s.logits))
-                    / list_sum(list_transform(s.logits, lambda x: exp(x - list_max(s.logits))))) AS ce
+v AS (SELECT s.id, ln(list_sum(list_transform(s.logits, lambda x: exp(x - list_max(s.logits))))) + list_max(s.logits) - s.logits[s.label + 1] AS ce
       FROM sc s JOIN sf f USING (id) WHERE s.chart_type = 'scatter' AND f.fold = 0),
 vb AS (SELECT ce, (row_number() OVER (ORDER BY id) - 1) // 8 AS b FROM v),
 bt AS (SELECT b, avg(ce) AS bm, count(*) AS bn, sum(ce) AS bs FROM vb GROUP BY b)
@@ -303,15 +302,13 @@ v AS (SELECT id, CAST(raw_label % 5 AS INTEGER) AS label,
              list_transform(px, lambda x: (x / 255.0 - 0.5) / 0.5) AS xn,
              (row_number() OVER (ORDER BY id) - 1) // 64 AS batch_id
       FROM pixels WHERE id % 10 = 0),
-m AS (SELECT batch_id, sum(len(xn)) AS n, sum(list_sum(xn)) AS s1,
-             sum(list_sum(list_transform(xn, lambda x: x * x))) AS s2 FROM v GROUP BY batch_id),
-st AS (SELECT batch_id, s1 / n AS mean, sqrt((s2 - s1 * s1 / n) / (n - 1)) AS std FROM m),
+st AS (SELECT batch_id, avg(x) AS mean, stddev_samp(x) AS std FROM (SELECT batch_id, unnest(xn) AS x FROM v) GROUP BY batch_id),
 z AS (SELECT v.id, v.label, v.batch_id, list_transform(v.xn, lambda x: (x - st.mean) / st.std) AS z
       FROM v JOIN st USING (batch_id)),
 ep AS (SELECT z.*, unnest(range(5)) AS epoch FROM z),
 lg AS (SELECT id, label, batch_id, epoch, {_rule_logits_sql('z', 'epoch')} AS logits FROM ep),
 sc AS (SELECT epoch, batch_id, label,
-              -ln(exp(logits[label + 1] - list_max(logits)) / list_sum(list_transform(logits, lambda x: exp(x - list_max(logits))))) AS ce,
+              ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits))))) + list_max(logits) - logits[label + 1] AS ce,
               list_position(logits, list_max(logits)) - 1 AS pred FROM lg),
 bt AS (SELECT epoch, batch_id, avg(ce) AS bm, sum(CASE WHEN pred = label THEN 1 ELSE 0 END) AS hit, count(*) AS bn
        FROM sc GROUP BY epoch, batch_id),

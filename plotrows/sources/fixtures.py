@@ -32,14 +32,19 @@ def _type_case(col: str) -> F.Column:
     for prio, kind in K.PRIORITY_TO_TYPE.items():
         expr = (F.when(F.col(col) == prio, F.lit(kind)) if expr is None
                 else expr.when(F.col(col) == prio, F.lit(kind)))
-    return expr
+    # some charts have no class, some an empty one
+    return F.when(F.col("o_orderkey") % 97 == 0, F.lit(None).cast("string")).when(F.col("o_orderkey") % 89 == 0, F.lit("")).otherwise(expr)
+
+
+def _image_ext(key: str) -> F.Column:
+    return F.when(F.col(key) % 13 == 0, F.lit(".png")).otherwise(F.lit(".jpg"))
 
 
 def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_orderkey").alias("image_id"),
-        F.concat(F.lit("./train/images/"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("image_path"),
+        F.concat(F.lit("./train/images/"), F.col("o_orderkey").cast("string"), _image_ext("o_orderkey")).alias("image_path"),
         F.col("o_orderstatus").alias("source"),
         _type_case("o_orderpriority").alias("chart_type"),
     )
@@ -52,7 +57,8 @@ def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("image_id"),
         (F.col("_r") + 1).cast("int").alias("pos"),
         F.col("l_linenumber").cast("string").alias("x"),
-        F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("y"),
+        (F.col("l_extendedprice").cast("decimal(18,2)") * (F.lit(1) + F.col("l_tax")).cast("decimal(6,2)")
+         * (F.lit(1) - F.col("l_discount")).cast("decimal(6,2)")).cast("decimal(28,6)").cast("string").alias("y"),
     )
 
 
@@ -68,11 +74,11 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extra_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled(spark, sf_dir).select(
+    """File names, flags and classes; labels are attached where a query selects them."""
+    return charts(spark, sf_dir).select(
         F.concat(F.col("image_id").cast("string"), F.lit(".jpg")).alias("file_name"),
         F.when(F.col("image_id") % 10 == 0, 1).otherwise(0).alias("validation"),
         "chart_type",
-        F.col("label_xxyy").alias("label"),
     )
 
 
@@ -114,7 +120,7 @@ def predictions_xyxy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.col("user_id").alias("run"),
+        (F.col("user_id") % 3).alias("run"),
         F.date_trunc("day", F.col("ts")).alias("epoch"),
         F.col("event_id").alias("step"),
         F.col("event_type").alias("metric"),
@@ -126,7 +132,9 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(
         F.col("vec_id").alias("id"),
-        F.slice("embedding", 1, 5).cast("array<double>").alias("logits"),
+        F.transform(F.sequence(F.lit(0), F.lit(4)), lambda c: F.aggregate(
+            F.filter(F.col("embedding").cast("array<double>"), lambda v, i: i % 5 == c), F.lit(0.0),
+            lambda acc, v: acc + v)).alias("logits"),
         (F.col("label") % 5).cast("int").alias("label"),
     )
 
@@ -152,11 +160,12 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TYPE_CASE_SQL = "CASE o_orderpriority " + " ".join(
     f"WHEN '{p}' THEN '{t}'" for p, t in K.PRIORITY_TO_TYPE.items()) + " END"
+_TYPE_CASE_SQL = f"CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 89 = 0 THEN '' ELSE {_TYPE_CASE_SQL} END"
 
 VIEW_SQL: dict[str, tuple[list[str], str]] = {
     "charts": ([], f"""
         SELECT o_orderkey AS image_id,
-               './train/images/' || CAST(o_orderkey AS VARCHAR) || '.jpg' AS image_path,
+               './train/images/' || CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 13 = 0 THEN '.png' ELSE '.jpg' END AS image_path,
                o_orderstatus AS source,
                {_TYPE_CASE_SQL} AS chart_type
         FROM orders"""),
@@ -164,7 +173,8 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
         SELECT l_orderkey AS image_id,
                CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(POINT_ORDER)}) AS INTEGER) AS pos,
                CAST(l_linenumber AS VARCHAR) AS x,
-               CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS y
+               CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(1 + l_tax AS DECIMAL(6,2))
+                    * CAST(1 - l_discount AS DECIMAL(6,2)) AS DECIMAL(28,6)) AS VARCHAR) AS y
         FROM lineitem"""),
     "chart_series": (["chart_points"], """
         SELECT image_id,
@@ -179,11 +189,11 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
                '<x_start>' || coalesce(s.xs_text, '') || '<x_end> <y_start>' || coalesce(s.ys_text, '') || '<y_end>' AS label_xxyy,
                coalesce(s.xyxy_text, '') AS label_xyxy
         FROM charts c LEFT JOIN chart_series s USING (image_id)"""),
-    "extra_metadata": (["labelled"], """
+    "extra_metadata": (["charts"], """
         SELECT CAST(image_id AS VARCHAR) || '.jpg' AS file_name,
                CASE WHEN image_id % 10 = 0 THEN 1 ELSE 0 END AS validation,
-               chart_type, label_xxyy AS label
-        FROM labelled"""),
+               chart_type
+        FROM charts"""),
     "predictions": (["labelled"], """
         SELECT image_id, image_path, chart_type,
                CASE image_id % 7
@@ -207,11 +217,11 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
                  ELSE '' END AS raw
         FROM labelled"""),
     "metric_log": ([], """
-        SELECT user_id AS run, date_trunc('day', ts) AS epoch, event_id AS step,
+        SELECT user_id % 3 AS run, date_trunc('day', ts) AS epoch, event_id AS step,
                event_type AS metric, CAST(value AS DOUBLE) AS value
         FROM events"""),
     "scores": ([], """
-        SELECT vec_id AS id, CAST(embedding[1:5] AS DOUBLE[]) AS logits,
+        SELECT vec_id AS id, [list_sum(list_filter(CAST(embedding AS DOUBLE[]), lambda v, i: (i - 1) % 5 = c)) for c in range(5)] AS logits,
                CAST(label % 5 AS INTEGER) AS label
         FROM embeddings"""),
     "pixels": ([], """

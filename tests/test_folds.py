@@ -59,3 +59,12 @@ def test_positional_split(spark):
     got = {r.k: r.split for r in positional_split(df, ["k"], 0.95).collect()}
     assert sum(1 for v in got.values() if v == "train") == int(100 * 0.95) + 1
     assert got[95] == "train" and got[96] == "valid"
+
+
+def test_null_and_empty_classes_are_two_classes(spark):
+    rnd = random.Random(4)
+    labels = [rnd.choice([None, "", "a", "b"]) for _ in range(137)]
+    df = spark.createDataFrame(list(enumerate(labels)), "id long, c string")
+    got = stratified_kfold(df, "c", ["id"], k=10).collect()
+    assert len(got) == len(labels)
+    assert {r.id: r.fold for r in got} == dict(enumerate(reference_folds(labels, 10)))

@@ -56,10 +56,22 @@ def test_best_accuracy_ties_keep_earlier(spark):
 
 
 def test_registry_paths(spark):
-    df = spark.createDataFrame([(1, 0, 0.65064), (1, 1, 0.7), (1, 2, 0.12345)], "run long, e long, loss double")
-    rows = M.checkpoint_registry(df, "run", "e", "loss").orderBy("e").collect()
-    assert [r.path for r in rows] == [f"model_run_1_epoch_{i}_loss_{v:.4f}.bin" for i, v in enumerate([0.65064, 0.7, 0.12345])]
-    assert [r.best_path is not None for r in rows] == [True, False, True]
+    losses, train = [0.65064, 0.7, 0.12345], [0.9, 0.00005, 1.00005]
+    df = spark.createDataFrame([(1, i, v, t) for i, (v, t) in enumerate(zip(losses, train))], "run long, e long, loss double, train_loss double")
+    rows = M.checkpoint_registry(df, "run", "e", "loss", "train_loss").orderBy("e").collect()
+    assert [r.path for r in rows] == [f"model_run_1_epoch_{i}_loss_{v:.4f}.bin" for i, v in enumerate(train)]
+    assert [r.best_path for r in rows] == ["best_model_run_1_epoch_0_loss_0.6506.bin", None, f"best_model_run_1_epoch_2_loss_{0.12345:.4f}.bin"]
+
+
+def test_empty_epoch_reports_zero(spark):
+    none = spark.createDataFrame([], "id long, ce double")
+    row = M.epoch_loss(none, [], ["id"], "ce", 8).first()
+    assert (row.n_samples, row.n_batches, row.mean_of_batches, row.sample_mean) == (0, 0, 0.0, 0.0)
+
+
+def test_moments_of_large_values(spark):
+    df = spark.createDataFrame([(0, [1e8 + i / 10 for i in range(1, 9)])], "b int, a array<double>")
+    assert abs(M.batch_moments(df, "a", "b").first().batch_std - 0.2449489742783178) < 1e-6
 
 
 def test_value_counts_and_guard(spark):

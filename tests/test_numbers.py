@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from plotrows.functions.numbers import argmax, py_float, py_round_exact, py_str, py_strip, softmax
+from plotrows.functions.numbers import argmax, fixed_text, py_float, py_round, py_str, py_strip, softmax
 
 FLOAT_TOKENS = ["1.5", " 1.5 ", "\t3", "1.", "+.5", "1e5", "1E-7", "-2.5e+3", "Inf", "-infinity", "nan",
                 "-nan", "NaN", "1_000", "1__0", "_1", "1.5d", "1.5f", "0x10", "1,000", "", " ", "abc",
@@ -47,11 +47,19 @@ def test_py_str_matches_repr(spark):
     assert nan == "nan"
 
 
-def test_round_exact_uses_python_ties(spark):
-    vals = [2.675, 0.12345, 2.67495, 1.00005, -2.675, 0.5, 1.5]
+def test_round_uses_python_ties(spark):
+    vals = [2.675, 0.12345, 2.67495, 1.00005, -2.675, 0.5, 1.5, 10.00015, 5e-05, -5e-05, 0.005, 1e22, 123456.785, 0.015625, 0.125]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
-    got = [r.r for r in df.select(py_round_exact("v", 2).alias("r")).collect()]
-    assert got == [round(v, 2) for v in vals]
+    for n in (2, 4):
+        assert [r.r for r in df.select(py_round("v", n).alias("r")).collect()] == [round(v, n) for v in vals]
+        assert [r.r for r in df.where("abs(v) < 1e11").select(fixed_text("v", n).alias("r")).collect()] == [f"{v:.{n}f}" for v in vals if abs(v) < 1e11]
+
+
+def test_text_of_large_numbers(spark):
+    rnd = random.Random(6)
+    vals = [rnd.uniform(-1, 1) * 10 ** rnd.randint(14, 25) for _ in range(3000)] + [1.0676425884492148e18, 9.223372036854776e18, 1e16, 1e22, 1e23, 1e100, 2.5e-300]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    assert [r.s for r in df.select(py_str("v").alias("s")).collect()] == [repr(v) for v in vals]
 
 
 def test_strip_is_python_strip(spark):

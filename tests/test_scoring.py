@@ -1,6 +1,7 @@
 """Distributed scoring: mapInPandas scorer, routed models with error isolation, softmax/CE, Spark ML."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plotrows.operators.scoring import (linear_scorer_factory, route_of, routed_scoring, rule_weights,
@@ -54,6 +55,14 @@ def test_softmax_ce(spark):
         assert abs(r.ce + np.log(p[y])) < 1e-12 and r.pred == int(np.argmax(lg)) and abs(r.p1 - p[1]) < 1e-12
 
 
+def test_cross_entropy_of_an_underflowing_label(spark):
+    df = spark.createDataFrame([([800.0, 0.0, 0.0], 1), ([0.0, -800.0], 1), ([1.0], 5)], "lg array<double>, y int")
+    ce = softmax_ce("lg", "y")["ce"]
+    assert [r.ce for r in df.where("y = 1").select(ce.alias("ce")).collect()] == [800.0, 800.0]
+    with pytest.raises(Exception, match="label outside"):
+        df.where("y = 5").select(ce.alias("ce")).collect()
+
+
 def test_train_class_model_learns_separable_classes(spark):
     rng = np.random.default_rng(2)
     rows = []

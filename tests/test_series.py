@@ -32,12 +32,11 @@ def edge(spark):
     return spark.createDataFrame(rows, SERIES_SCHEMA)
 
 
-@pytest.mark.parametrize("exact", [False, True])
-def test_encoders(edge, exact):
+def test_encoders(edge):
     out = edge.select("id", S.encode_xxyy("gts").alias("raw"),
-                      S.encode_xxyy_rounded("gts", "fold", exact=exact).alias("rounded"),
+                      S.encode_xxyy_rounded("gts", "fold").alias("rounded"),
                       S.encode_xyxy("gts").alias("xyxy"),
-                      S.encode_xyxy_rounded("gts", "fold", exact=exact).alias("xyxy_r"),
+                      S.encode_xyxy_rounded("gts", "fold").alias("xyxy_r"),
                       S.encode_xxyy_rounded("gts", F.lit(0)).alias("fold0")).collect()
     got = {r.id: r for r in out}
     for i, _, raw, rounded, xyxy, xyxy_r in EDGE_SERIES:
@@ -55,7 +54,9 @@ def test_digit_aware_and_bos(spark):
                   S.encode_label("gts", "types", "fold", "bos_xxyy").alias("b"),
                   S.encode_label("gts", "types", "fold", "bos_xxyy", compat=True).alias("bc")).first()
     assert r.d == "<x_start>123.46;1.2346;7<x_end> <y_start>1e5;12.3457;x.y<y_end>"
-    assert r.b == "<|BOS|><dot><x_start>123.456;1.23456;7<x_end> <y_start>1e5;12.345678;x.y<y_end>"
+    assert r.b == "<|BOS|><dot><x_start>123.456;1.2346;7.0<x_end> <y_start>100000.0;12.3457;x.y<y_end>"
+    assert df.select(S.encode_label("gts", "types", F.lit(0), "bos_xxyy").alias("b")).first().b == (
+        "<|BOS|><dot><x_start>123.456;1.23456;7<x_end> <y_start>1e5;12.345678;x.y<y_end>")
     assert r.bc == "<|BOS|><dot>123.456 | 100000.0 <0x0A> 1.2346 | 12.3457 <0x0A> 7.0 | x.y"
 
 
@@ -181,3 +182,13 @@ def test_native_xyxy_matches_pandas_on_random_subset(spark):
         if n != p:
             bad.append((texts[r.id], n, p))
     assert not bad, bad[:3]
+
+
+@pytest.mark.parametrize("raw", [
+    "1234567890123456789 | 2", "9999999999999999999 | 2", "9999999999999999999 | 1 <0x0A> -5 | 2", "123456789012345678901234567890123456789012 | 1",
+    '"a" | "5" <0x0A> b | 6', '"NA" | 1 <0x0A> 2 | 3', "+12 | -9223372036854775808 <0x0A> 007 | 9223372036854775807",
+    "18446744073709551615 | 18446744073709551616", "1.5 | 9223372036854775808 <0x0A> 2 | 0"])
+def test_decode_xyxy_follows_the_parser(spark, raw):
+    df = spark.createDataFrame([(raw,)], "raw string")
+    r = df.select(S.decode_xyxy("raw").alias("n"), S.decode_xyxy_pandas("raw").alias("p")).first()
+    assert (r.n.xs, r.n.ys) == (r.p.xs, r.p.ys)
