@@ -24,6 +24,9 @@ SPECIAL_TOKENS = [
     BOS_TOKEN,
 ]
 
+# --- fixed values: label formats ----------------------------------------------
+LABEL_TYPES = ["xxyy", "xyxy", "bos_xxyy", "bos_xyxy"]
+
 # --- fixed values: series delimiters -----------------------------------------
 XXYY_VALUE_SEP = ";"
 XXYY_MIDDLE = "<x_end> <y_start>"          # what the encoder writes
@@ -56,14 +59,6 @@ INITIAL_BEST_LOSS = 1e5
 INITIAL_BEST_ACCURACY = -1.0
 SEED = 42
 
-# --- fixed values: test-fixture adapter (priority -> chart type) -------------
-PRIORITY_TO_TYPE = {
-    "1-URGENT": "line",
-    "2-HIGH": "vertical_bar",
-    "3-MEDIUM": "scatter",
-    "4-NOT SPECIFIED": "dot",
-    "5-LOW": "horizontal_bar",
-}
 
 # --- fixed values: pandas' default missing-value words (read_csv) -----------
 PANDAS_NA_WORDS = [

@@ -9,8 +9,6 @@ from plotrows.operators.folds import stratified_kfold
 from plotrows.operators.series import attach_series, collect_series
 from plotrows.sources import fixtures as fx
 
-LABEL_TYPES = ["xxyy", "xyxy", "bos_xxyy", "bos_xyxy"]
-
 
 def charts_with_folds(spark: SparkSession, sf_dir: str, k: int = 10, shuffle: bool = False,
                       seed: int = 42) -> DataFrame:
@@ -22,10 +20,10 @@ def charts_with_folds(spark: SparkSession, sf_dir: str, k: int = 10, shuffle: bo
 def corpus(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """(image_id, image_path, source, types, fold, gts, n_points): the Q1 frame before labels.
 
-    Folds are assigned on the chart rows themselves (no join back), then the
-    series are shuffle-joined on ``image_id``.
+    Only (image_id, type) goes through the fold numbering; folds and series are
+    joined on ``image_id``.
     """
-    charts = stratified_kfold(fx.charts(spark, sf_dir), "chart_type", ["image_id"], k=k)
+    charts = fx.charts(spark, sf_dir).join(charts_with_folds(spark, sf_dir, k).select("image_id", "fold"), "image_id")
     framed = attach_series(charts, collect_series(fx.chart_points(spark, sf_dir)))
     return framed.withColumnRenamed("chart_type", "types")
 

@@ -103,7 +103,7 @@ UNION ALL SELECT image_id, 'bos_xxyy', '<|BOS|><' || types || '>' || '<x_start>'
 UNION ALL SELECT image_id, 'bos_xyxy', '<|BOS|><' || types || '>' || label_xyxy FROM corpus""")
 def q_label_dispatch(spark, sf_dir):
     c = corpus(spark, sf_dir)
-    kinds = ["xxyy", "xyxy", "bos_xxyy", "bos_xyxy"]
+    kinds = K.LABEL_TYPES
     rows = F.array(*[F.struct(F.lit(t).alias("label_type"),
                               S.encode_label("gts", "types", "fold", t).alias("label")) for t in kinds])
     return c.select("image_id", F.inline(rows))

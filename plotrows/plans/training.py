@@ -92,8 +92,9 @@ def validation_loss(spark: SparkSession, sf_dir: str, chart_type: str = "scatter
     """M4: one class, fold 0, per-sample CE -> batch means -> epoch (both averages, D10)."""
     s = fx.scores(spark, sf_dir).withColumn(
         "chart_type", F.get(F.array(*[F.lit(n) for n in K.CHART_TYPES]), F.col("label")))
-    s = stratified_kfold(s, "chart_type", ["id"], k=10)
-    v = s.filter((F.col("chart_type") == chart_type) & (F.col("fold") == 0))
+    folds = stratified_kfold(s.select("id", "chart_type"), "chart_type", ["id"], k=10)
+    chosen = folds.filter((F.col("chart_type") == chart_type) & (F.col("fold") == 0)).select("id")
+    v = s.join(chosen, "id", "left_semi")
     t6 = softmax_ce("logits", "label")
     v = v.select("id", t6["ce"].alias("ce"))
     out = M.epoch_loss(v, [], ["id"], "ce", batch_size)

@@ -258,22 +258,26 @@ def q_pad_truncate(spark, sf_dir):
                     F.get(padded, 0).alias("first_token"), F.get(padded, _PAD - 1).alias("last_token"))
 
 
-@register("collate", sql=fx.with_views(["tokens"], """
-, b AS (SELECT id, least(len(ids), 512) AS n_kept, (row_number() OVER (ORDER BY id) - 1) // 8 AS batch_id FROM tokens)
+@register("collate", sql=_head(["tokens"]) + f""",
+b AS (SELECT id, list_slice(ids, 1, {_PAD}) AS kept, (row_number() OVER (ORDER BY id) - 1) // 8 AS batch_id FROM tokens),
+p AS (SELECT *, list_concat(kept, list_transform(range({_PAD} - len(kept)), lambda i: '{K.PAD_TOKEN}')) AS padded FROM b)
 SELECT batch_id, count(*) AS n_rows, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids_text,
-       CAST(max(n_kept) AS BIGINT) AS max_kept, CAST(sum(n_kept) AS BIGINT) AS total_kept
-FROM b GROUP BY batch_id""").replace("documents)\n\n, b AS", "documents), b AS").replace("documents)\n, b AS", "documents), b AS"))
+       CAST(max(len(kept)) AS BIGINT) AS max_kept, CAST(sum(len(kept)) AS BIGINT) AS total_kept,
+       md5(string_agg(array_to_string(padded, ' '), '|' ORDER BY id)) AS padded_md5
+FROM p GROUP BY batch_id""")
 def q_collate(spark, sf_dir):
+    """Ids alone are numbered; the kept tokens join back, and a batch is padded after it is collated."""
     t = fx.tokens(spark, sf_dir)
-    padded = F.slice(F.concat("ids", F.array_repeat(F.lit(K.PAD_TOKEN), _PAD)), 1, _PAD)
-    b = batch_assign(t.select("id", F.least(F.size("ids"), F.lit(_PAD)).alias("n_kept"), padded.alias("padded")),
-                     [F.col("id")], 8)
-    g = b.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("id", "n_kept", "padded"))).alias("rows"))
+    batches = batch_assign(t.select("id"), [F.col("id")], 8).select("id", "batch_id")
+    rows = t.select("id", F.slice("ids", 1, _PAD).alias("kept")).join(batches, "id")
+    g = rows.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("id", "kept"))).alias("rows"))
+    padded = F.transform("rows", lambda r: F.slice(F.concat(r["kept"], F.array_repeat(F.lit(K.PAD_TOKEN), _PAD)), 1, _PAD))
+    sizes = F.transform("rows", lambda r: F.size(r["kept"]).cast("long"))
     return g.select("batch_id", F.size("rows").cast("long").alias("n_rows"),
                     F.array_join(F.transform("rows", lambda r: r["id"].cast("string")), ",").alias("ids_text"),
-                    F.array_max(F.transform("rows", lambda r: r["n_kept"])).cast("long").alias("max_kept"),
-                    F.aggregate(F.transform("rows", lambda r: r["n_kept"].cast("long")), F.lit(0).cast("long"),
-                                lambda a, v: a + v).alias("total_kept"))
+                    F.array_max(sizes).alias("max_kept"),
+                    F.aggregate(sizes, F.lit(0).cast("long"), lambda a, v: a + v).alias("total_kept"),
+                    F.md5(F.array_join(F.transform(padded, lambda x: F.array_join(x, " ")), "|")).alias("padded_md5"))
 
 
 _SCORE_CLASS = "[" + ", ".join(f"'{n}'" for n in K.CHART_TYPES) + "][label + 1]"

@@ -18,6 +18,14 @@ from plotrows.functions.series import encode_xxyy, encode_xyxy
 from plotrows.operators.ordering import ordered_scan
 from plotrows.operators.series import attach_series, collect_series
 
+# this repository's stand-in: order priorities as chart classes
+PRIORITY_TO_TYPE = {
+    "1-URGENT": "line",
+    "2-HIGH": "vertical_bar",
+    "3-MEDIUM": "scatter",
+    "4-NOT SPECIFIED": "dot",
+    "5-LOW": "horizontal_bar",
+}
 WHITESPACE_RE = "[ \\t\\n\\r\\f\\x0B]+"
 POINT_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
                "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -29,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _type_case(col: str) -> F.Column:
     expr = None
-    for prio, kind in K.PRIORITY_TO_TYPE.items():
+    for prio, kind in PRIORITY_TO_TYPE.items():
         expr = (F.when(F.col(col) == prio, F.lit(kind)) if expr is None
                 else expr.when(F.col(col) == prio, F.lit(kind)))
     # some charts have no class, some an empty one
@@ -159,7 +167,7 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- DuckDB ----
 
 _TYPE_CASE_SQL = "CASE o_orderpriority " + " ".join(
-    f"WHEN '{p}' THEN '{t}'" for p, t in K.PRIORITY_TO_TYPE.items()) + " END"
+    f"WHEN '{p}' THEN '{t}'" for p, t in PRIORITY_TO_TYPE.items()) + " END"
 _TYPE_CASE_SQL = f"CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 89 = 0 THEN '' ELSE {_TYPE_CASE_SQL} END"
 
 VIEW_SQL: dict[str, tuple[list[str], str]] = {

@@ -4,8 +4,9 @@ The original appends one (metric, value) record per step to a tracker and
 averages per epoch.  Here the metric log is a Parquet folder that writers
 append to (``sinks.append_metrics``); a streaming query folds each new file
 into per-(run, epoch, metric) state -- count, sum, min, max -- and upserts
-the rollup through ``foreachBatch``.  The watermark on ``epoch`` bounds the
-state: an epoch older than the watermark is final and its state is dropped.
+the rollup through ``foreachBatch``.  The state is one row per (run, epoch, metric),
+as large as the rollup itself; it has no watermark, so a late or resumed run's rows
+always count.
 """
 
 from __future__ import annotations
@@ -24,18 +25,14 @@ METRIC_SCHEMA = T.StructType([
 ])
 
 
-def epoch_rollup_stream(spark: SparkSession, log_dir: str, lateness: str = "2 days",
+def epoch_rollup_stream(spark: SparkSession, log_dir: str,
                         schema: T.StructType = METRIC_SCHEMA) -> DataFrame:
     """Streaming (run, epoch, metric) -> n, sum, min, max, sample_mean."""
     src = spark.readStream.schema(schema).parquet(log_dir)
-    # watermarks need an instant type; the log keeps wall-clock (NTZ) epochs
-    src = src.withColumn("_event_time", F.col("epoch").cast("timestamp"))
-    return (src.withWatermark("_event_time", lateness)
-            .groupBy("run", "_event_time", "metric")
+    return (src.groupBy("run", "epoch", "metric")
             .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"),
                  F.min("value").alias("min_value"), F.max("value").alias("max_value"))
-            .withColumn("sample_mean", F.col("total") / F.col("n"))
-            .withColumn("epoch", F.col("_event_time").cast("timestamp_ntz")).drop("_event_time"))
+            .withColumn("sample_mean", F.col("total") / F.col("n")))
 
 
 def start_rollup(spark: SparkSession, log_dir: str, out_dir: str, checkpoint_dir: str,

@@ -11,7 +11,7 @@ from plotrows.sources import fixtures as fx
 
 def _charts(sf):
     o = pq.read_table(f"{sf}/orders.parquet", columns=["o_orderkey", "o_orderpriority"]).to_pylist()
-    keys = {r["o_orderkey"]: K.PRIORITY_TO_TYPE[r["o_orderpriority"]] for r in o}
+    keys = {r["o_orderkey"]: fx.PRIORITY_TO_TYPE[r["o_orderpriority"]] for r in o}
     return {i: None if i % 97 == 0 else "" if i % 89 == 0 else t for i, t in keys.items()}
 
 
