@@ -110,6 +110,11 @@ def row_count_guard(left: DataFrame, right: DataFrame, expected: int | None = No
     return row
 
 
+def timestamp_text(c) -> Column:
+    """``strftime("%Y-%m-%d %H:%M:%S")``."""
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
 def fixed4(c) -> Column:
     """``f"{v:.4f}"`` (``fixed_text``)."""
     return fixed_text(c, 4)

@@ -14,6 +14,7 @@ from plotrows.functions.series import decode_xxyy, encode_xxyy
 from plotrows.operators.images import image_prep, write_png_folder
 from plotrows.operators.scoring import route_of, routed_scoring, train_class_model
 from plotrows.plans.catalog import register
+from plotrows.plans.inference_queries import _DEC_XXYY, _ROUTE_SQL, _with
 from plotrows.session import scratch_path
 from plotrows.sources import fixtures as fx
 from plotrows.sources.files import default_class_listing, scan_annotations, scan_images
@@ -30,11 +31,16 @@ def write_annotations(spark, sf_dir: str) -> str:
     return out
 
 
-@register("scan_annotations", kind="R")
+@register("scan_annotations", sql=fx.with_views(["labelled", "chart_points"], """
+, ys AS (SELECT image_id, string_agg(CAST(CAST(y AS DOUBLE) AS VARCHAR), ';' ORDER BY pos) AS ys FROM chart_points GROUP BY image_id)
+SELECT source, chart_type, CAST(n_points AS BIGINT) AS n_points,
+       '<x_start>' || xs_text || '<x_end> <y_start>' || coalesce(ys, '') || '<y_end>' AS label
+FROM labelled LEFT JOIN ys USING (image_id)""").replace(")\n\n, ys AS", "),\nys AS").replace(")\n, ys AS", "),\nys AS"))
 def q_scan_annotations(spark, sf_dir):
+    """Annotation JSON written from the charts and scanned back (paths are those of this run's files)."""
     path = write_annotations(spark, sf_dir)
     a = scan_annotations(spark, path, multi_line=False)
-    return a.select("annotation_path", "image_path", "source", "chart_type",
+    return a.select("source", "chart_type",
                     F.size("gts").cast("long").alias("n_points"), encode_xxyy("gts").alias("label"))
 
 
@@ -53,23 +59,28 @@ def write_images(spark, sf_dir: str) -> str:
     return out
 
 
-@register("default_class_listing", kind="R")
+@register("default_class_listing", sql="SELECT CAST(vec_id AS VARCHAR) || '.png' AS name, 'line' AS chart_type FROM embeddings")
 def q_default_class_listing(spark, sf_dir):
     """S3 + P8: every image file found by a recursive walk gets the default class."""
-    return default_class_listing(spark, write_images(spark, sf_dir))
+    listed = default_class_listing(spark, write_images(spark, sf_dir))
+    return listed.select(F.substring_index("filename", "/", -1).alias("name"), "chart_type")
 
 
-@register("image_scan", kind="R")
+@register("image_scan", sql="SELECT CAST(vec_id AS VARCHAR) || '.png' AS name, 8 AS height, 8 AS width, 3 AS channels FROM embeddings")
 def q_image_scan(spark, sf_dir):
-    return scan_images(spark, write_images(spark, sf_dir)).select("path", "height", "width", "channels")
+    return scan_images(spark, write_images(spark, sf_dir)).select(
+        F.substring_index("path", "/", -1).alias("name"), "height", "width", "channels")
 
 
-@register("image_prep", kind="R")
+@register("image_prep", sql="""
+SELECT CAST(vec_id AS VARCHAR) || '.png' AS name, CAST(16 * 16 * 3 AS BIGINT) AS n_values,
+       round((greatest(least(round((CAST(embedding[1] AS DOUBLE) + 1) * 127.5), 255), 0) / 255.0 - 0.5) / 0.5, 5) AS first_value
+FROM embeddings""")
 def q_image_prep(spark, sf_dir):
     imgs = scan_images(spark, write_images(spark, sf_dir))
     prepped = image_prep(imgs, 16, 16)
-    return prepped.select("path", F.size("tensor").cast("long").alias("n_values"),
-                          F.get("tensor", 0).cast("double").alias("first_value"))
+    return prepped.select(F.substring_index("path", "/", -1).alias("name"), F.size("tensor").cast("long").alias("n_values"),
+                          F.round(F.get("tensor", 0).cast("double"), 5).alias("first_value"))
 
 
 def _echo_model():
@@ -84,7 +95,13 @@ def _strict_model():
     return model
 
 
-@register("routed_scoring", kind="R")
+_ROUTED_SQL = _with(["predictions"], _DEC_XXYY, f"""
+SELECT image_id, route, CASE WHEN failed THEN NULL ELSE raw END AS text,
+       CASE WHEN failed THEN 'ValueError: empty model input' END AS error, ok AND NOT failed AS decoded
+FROM (SELECT *, {_ROUTE_SQL} AS route, {_ROUTE_SQL} = 'all' AND raw = '' AS failed FROM dec)""")
+
+
+@register("routed_scoring", sql=_ROUTED_SQL)
 def q_routed_scoring(spark, sf_dir):
     p = fx.predictions(spark, sf_dir).withColumn("route", route_of("chart_type"))
     models = {K.ROUTE_HORIZONTAL: _echo_model, K.ROUTE_SCATTER_LINE: _echo_model, K.ROUTE_DEFAULT: _strict_model}
@@ -97,6 +114,6 @@ def q_train_class_model(spark, sf_dir):
     px = fx.pixels(spark, sf_dir).withColumn("label", (F.col("raw_label") % 5).cast("int"))
     train = px.filter(F.col("id") % 10 != 0)
     valid = px.filter(F.col("id") % 10 == 0)
-    _, acc, pred = train_class_model(train, valid, "px", "label", max_iter=30)
-    return pred.groupBy().agg(F.count(F.lit(1)).alias("n_valid"),
+    _, acc, pred, kept = train_class_model(train, valid, "px", "label", epochs=(10, 20, 30))
+    return pred.groupBy().agg(F.lit(kept).alias("kept_epoch"), F.count(F.lit(1)).alias("n_valid"),
                               F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))

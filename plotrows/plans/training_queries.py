@@ -172,13 +172,13 @@ def q_best_epochs(spark, sf_dir):
 
 
 @register("checkpoint_registry", sql=_EPOCHS_SQL + f"""
-SELECT run, epoch_idx, {_ML_EPOCH} AS epoch, loss, train_loss, is_best,
+SELECT run, epoch_idx, strftime(epoch, '%Y-%m-%d %H:%M:%S') AS epoch, loss, train_loss, is_best,
        'model_run_' || run || '_epoch_' || epoch_idx || '_loss_' || printf('%.4f', train_loss) || '.bin' AS path,
        CASE WHEN is_best THEN 'best_model_run_' || run || '_epoch_' || epoch_idx || '_loss_' || printf('%.4f', loss) || '.bin' END AS best_path
 FROM eb""")
 def q_checkpoint_registry(spark, sf_dir):
     reg = M.checkpoint_registry(_epochs(spark, sf_dir), "run", "epoch", "loss", "train_loss")
-    return reg.select("run", "epoch_idx", F.date_format("epoch", "yyyy-MM-dd").alias("epoch"), "loss", "train_loss", "is_best",
+    return reg.select("run", "epoch_idx", M.timestamp_text("epoch").alias("epoch"), "loss", "train_loss", "is_best",
                       "path", "best_path")
 
 

@@ -47,14 +47,14 @@ def _series_schema(value_type: str) -> str:
 
 
 def scan_annotations(spark: SparkSession, path: str, multi_line: bool = True,
-                     strict: bool = False) -> DataFrame:
+                     strict: bool = True) -> DataFrame:
     """One JSON object per file (``multi_line``) or JSON Lines.
 
     Returns (annotation_path, image_path, source, chart_type, gts) with
     ``gts`` the canonical ``ARRAY<STRUCT<pos,x,y>>``.  Each document is parsed
     twice on the executors -- values as STRING and as VARIANT -- so every value
-    prints the way Python's ``str(json.loads(...))`` would.  ``strict`` fails
-    the job on a malformed document instead of yielding NULLs.
+    prints the way Python's ``str(json.loads(...))`` would.  A malformed document
+    fails the job; without ``strict`` it yields NULLs.
     """
     raw = spark.read.text(path, wholetext=multi_line).select(
         F.col("value"), F.col("_metadata.file_path").alias("annotation_path"))
@@ -106,9 +106,9 @@ def record_id(name) -> Column:
     return F.substring_index(_c(name), ".", 1)
 
 
-def read_header_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Header CSV with quoted multi-line fields and an explicit schema."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
+def read_header_csv(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
+    """Header CSV with an explicit schema; with ``multi_line`` quoted fields may hold line feeds (one task per file)."""
+    return (spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
             .option("escape", '"').csv(path))
 
 

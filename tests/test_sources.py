@@ -49,7 +49,7 @@ def test_csv_round_trip_with_quotes_and_newlines(spark, tmp_path):
     df = spark.createDataFrame(rows, "id int, data_series string, chart_type string")
     out = str(tmp_path / "sub")
     sinks.write_submission(df.withColumn("id", F.col("id").cast("string")), out)
-    back = files.read_header_csv(spark, out, "id string, data_series string, chart_type string")
+    back = files.read_header_csv(spark, out, "id string, data_series string, chart_type string", multi_line=True)
     got = sorted((int(r.id), r.data_series or "", r.chart_type) for r in back.collect())
     assert got == sorted(rows)
 
