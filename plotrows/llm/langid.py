@@ -192,11 +192,11 @@ def entropies(model: Model, texts: list[bytes], known: dict[int, np.ndarray]) ->
     """(bits per symbol per language, number of letters) of each text.
 
     ``known`` keeps the scores of runs already met; it is emptied when it holds
-    half a million, which costs time only.
+    150,000, which costs time only.
     """
     r = X.letter_runs(texts)
     u, one, back = np.unique(r.hash, return_index=True, return_inverse=True)
-    if len(known) > 500_000:
+    if len(known) > 150_000:
         known.clear()
     listed = u.tolist()
     new = np.array([j for j, h in enumerate(listed) if h not in known], np.int64)
@@ -251,10 +251,10 @@ def predict(docs: DataFrame, model: Model, tolerance: float = TOLERANCE, keep: l
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, known = shared.value, {}
         for f in frames:
-            parts = []
-            for _, part in X.chunks(f["text"]):
+            for first, part in X.chunks(f["text"]):
+                rows = f[keep].iloc[first:first + len(part)].reset_index(drop=True)
                 if not m.langs:
-                    parts.append(pd.DataFrame({"lang_pred": [UNKNOWN] * len(part), "score": 0.0, "bits": 0.0, "rejected": True}))
+                    yield rows.assign(lang_pred=UNKNOWN, score=0.0, bits=0.0, rejected=True)
                     continue
                 bits, n = entropies(m, part, known)
                 best = bits.argmin(1)
@@ -262,12 +262,8 @@ def predict(docs: DataFrame, model: Model, tolerance: float = TOLERANCE, keep: l
                 symbols = np.minimum(n, 10_000)[:, None]
                 posterior = 1 / np.exp2(np.minimum((low[:, None] - bits) * symbols, 0)).sum(1)
                 limit = m.mean[best] + tolerance * m.worst[best] * _spread(n)
-                parts.append(pd.DataFrame({
-                    "lang_pred": np.where(n > 0, np.array(m.langs, object)[best], UNKNOWN),
-                    "score": np.where(n > 0, posterior, 0.0), "bits": low, "rejected": (n == 0) | (low > limit)}))
-            if parts:
-                got = pd.concat(parts, ignore_index=True)
-                yield pd.concat([f[keep].reset_index(drop=True), got], axis=1)
+                yield rows.assign(lang_pred=np.where(n > 0, np.array(m.langs, object)[best], UNKNOWN),
+                                  score=np.where(n > 0, posterior, 0.0), bits=low, rejected=(n == 0) | (low > limit))
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     return docs.mapInPandas(run, ", ".join(fields) + ", lang_pred string, score double, bits double, rejected boolean")

@@ -110,7 +110,7 @@ def _byte_symbols() -> dict[int, str]:
 class Encoder:
     """Ids of the tokens of texts; keeps the ids of the pieces it has met."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path).model
         vocab = Tokenizer.from_file(path).get_vocab()

@@ -144,7 +144,7 @@ def _spans(model: Model, texts: list[bytes], known: dict[int, float]) -> Iterato
     """(largest toxic log odds, log of the toxic count, log of the tokens; spans of the tokens that are rather toxic) of each text."""
     r = X.letter_runs(texts)
     u, one, back = np.unique(r.hash, return_index=True, return_inverse=True)
-    if len(known) > 500_000:  # costs time only
+    if len(known) > 150_000:  # costs time only
         known.clear()
     listed = u.tolist()
     new = np.array([j for j, h in enumerate(listed) if h not in known], np.int64)
@@ -169,13 +169,14 @@ def _scored(model: Model, docs: DataFrame, keep: list[str]) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, known = shared.value, {}
         for f in frames:
-            found = [x for _, part in X.chunks(f["text"]) for x in _spans(m, part, known)]
-            marks = np.array([[*x, 1.0] for x, _ in found]).reshape(-1, 4)
-            out = f[keep].reset_index(drop=True)
-            out["score"] = 0.0 if m.curve is None else 1 / (1 + np.exp(-np.clip(marks @ m.curve, -30, 30)))
-            out["marks"] = list(marks)
-            out["spans"] = [[{"start": a, "end": b} for a, b in s] for _, s in found]
-            yield out
+            for first, part in X.chunks(f["text"]):
+                found = list(_spans(m, part, known))
+                marks = np.array([[*x, 1.0] for x, _ in found]).reshape(-1, 4)
+                out = f[keep].iloc[first:first + len(part)].reset_index(drop=True)
+                out["score"] = 0.0 if m.curve is None else 1 / (1 + np.exp(-np.clip(marks @ m.curve, -30, 30)))
+                out["marks"] = list(marks)
+                out["spans"] = [[{"start": a, "end": b} for a, b in s] for _, s in found]
+                yield out
 
     docs = docs.select(*dict.fromkeys([*keep, "text"]))
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
