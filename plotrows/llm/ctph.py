@@ -33,6 +33,7 @@ WINDOW = 7
 MOST_CHUNKS = 64
 RUN = 5
 LEVELS = 3
+CHUNK_BYTES = 1 << 20
 _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
 
@@ -128,7 +129,7 @@ def _fingerprinted(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, size (bytes) and the zstd-compressed text."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for first, part in X.chunks(f["text"]):
+            for first, part in X.chunks(f["text"], CHUNK_BYTES):
                 yield pd.DataFrame({"doc_id": f["doc_id"].iloc[first:first + len(part)].to_numpy(), "fingerprint": fingerprints(part),
                                     "size": [len(t) for t in part], "packed": [pa.compress(t, codec="zstd", asbytes=True) for t in part]})
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fingerprint string, size long, packed binary")
@@ -197,7 +198,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
             else:
                 own = text(row)
             now = row
-            if size > X.CHUNK_BYTES:
+            if size > CHUNK_BYTES:
                 yield emit(batch)
                 batch, size = [], 0
         if batch:
