@@ -1,8 +1,8 @@
 """MinHash near-dedup by bottom-k sketches from one hash function.
 
 A document's set holds the distinct ``words``-word shingles (64-bit hashes); its
-sketch is the ``SKETCH`` (96) smallest of them -- the whole set if it is no larger.
-Two documents are linked if the Jaccard similarity of their sets reaches
+sketch is the ``SKETCH`` (96) smallest of them -- the whole set if it is no larger
+than twice that.  Two documents are linked if the Jaccard similarity of their sets reaches
 ``percent`` / 100, always decided on the full sets.
 
 1. *Classes*: documents with equal sets are one class; only its smallest id goes on.
@@ -11,11 +11,14 @@ Two documents are linked if the Jaccard similarity of their sets reaches
    certain: the binomial tail is below 1e-9), so they share one among the
    m - t + 1 rarest values of either.  Lists hold those only, which keeps common
    lines and passages out of them without dropping a link.
-3. *Stars*: in every list each document is compared with one leader of its size;
-   links contract components.  A few rounds with other leaders shrink large groups
-   of copies at linear cost.
-4. *The rest*: pairs from different components in a common list are all compared,
-   so nothing is lost; pairs inside a component need no comparison.
+3. *Stars*: in every list each document is compared with one leader of its size,
+   first the one with the fewest values of its own; links contract components.  A few
+   rounds with other leaders shrink large groups of copies at linear cost.
+4. *The rest*: pairs from different components in a common list are compared unless
+   the value's ranks exclude a link: whole sets of a and b values need a common part of
+   o = percent (a + b) / (100 + percent), and the first common value, by rarity, has at
+   least o - 1 values behind it in both; truncated sketches likewise, with a bound from
+   the binomial tail for their sizes' ratio.  Pairs inside a component need no comparison.
 
 Comparing: the union's bottom-k estimates the similarity; pairs far below the
 threshold go, pairs of whole sets are decided at once, all others are verified on
@@ -29,12 +32,13 @@ component of its own unless its set equals another document's.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotrows.llm import text as X
@@ -42,12 +46,17 @@ from plotrows.session import reliable_checkpoint, scratch_path
 
 SKETCH = 96
 PERCENT = 80
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 
 
-def shared_values(size: int = SKETCH, percent: int = PERCENT, risk: float = 1e-9) -> int:
-    """Values that two truncated sketches of linked documents share, but for ``risk``."""
-    p, tail = percent / 100, 0.0
+def shared_values(size: int = SKETCH, percent: int = PERCENT, ratio: float | None = None, risk: float = 1e-9) -> int:
+    """Values that two truncated sketches of linked documents share, but for ``risk``.
+
+    Their sets hold at least ``ratio`` (``percent`` / 100 or more) times as many values
+    as each other.  The larger set then has a share p = percent (1 + ratio) / (100 +
+    percent) in common with the other, and so has, by the binomial tail, its sketch.
+    """
+    p, tail = percent * (1 + (ratio or percent / 100)) / (100 + percent), 0.0
     for x in range(size + 1):
         tail += math.comb(size, x) * p ** x * (1 - p) ** (size - x)
         if tail > risk:
@@ -56,7 +65,7 @@ def shared_values(size: int = SKETCH, percent: int = PERCENT, risk: float = 1e-9
 
 
 def sketches(docs: DataFrame, words: int, size: int = SKETCH) -> DataFrame:
-    """doc_id, n (set size), s1, s2 (128-bit sum of the set), sketch (smallest hashes)."""
+    """doc_id, n (set size), s1, s2 (128-bit sum of the set), sketch (the smallest hashes, or all)."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for first, part in X.chunks(f["text"]):
@@ -67,28 +76,40 @@ def sketches(docs: DataFrame, words: int, size: int = SKETCH) -> DataFrame:
                     "n": [len(s) for s in sets],
                     "s1": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets],
                     "s2": [int(X.mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) for s in sets],
-                    "sketch": [s[:size].view(np.int64) for s in sets]})
+                    "sketch": [(s if len(s) <= 2 * size else s[:size]).view(np.int64) for s in sets]})
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, s1 long, s2 long, sketch array<long>")
 
 
+def _tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps that a checkpoint has closed.
+
+    They stay on the executors' disks until the driver collects its garbage, which a
+    driver with little to do puts off.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over ``edges`` (a, b), for nodes with an edge."""
     def both(e: DataFrame) -> DataFrame:
         return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     left = reliable_checkpoint(edges.where("a <> b").distinct())
-    found = both(left).select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    while not left.isEmpty():
-        up = both(left).groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
-        up = reliable_checkpoint(up)
-        over = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
-        up = up.join(over, "p").select("a", F.col("q").alias("p"))
-        up = reliable_checkpoint(up)
-        found = reliable_checkpoint(found.join(up.select(F.col("a").alias("root"), "p"), "root", "left")
-                                    .select("node", F.coalesce("p", "root").alias("root")))
+    found = None
+    while found is None or not left.isEmpty():
+        near = both(left).groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
+        over = near.select(F.col("a").alias("p"), F.col("p").alias("q"))
+        up = reliable_checkpoint(near.join(over, "p").select("a", F.col("q").alias("p")))
+        if found is None:
+            found = up.select(F.col("a").alias("node"), F.col("p").alias("root"))
+        else:
+            found = (found.join(up.select(F.col("a").alias("root"), "p"), "root", "left")
+                     .select("node", F.coalesce("p", "root").alias("root")))
         ends = up.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         left = reliable_checkpoint(left.join(up, "a").join(ends, "b").where("p <> pb")
                                    .select(F.least("p", "pb").alias("a"), F.greatest("p", "pb").alias("b")).distinct())
+        _tidy(edges.sparkSession)
     return found
 
 
@@ -100,9 +121,9 @@ def _compare(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> Data
         for f in frames:
             keep, sure = [], []
             for i, (na, nb, x, y) in enumerate(zip(f["na"], f["nb"], f["xa"], f["xb"], strict=True)):
-                x, y = np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64)
+                whole = max(na, nb) <= 2 * size
+                x, y = (np.asarray(z if whole else z[:size]).view(np.uint64) for z in (x, y))
                 common = np.intersect1d(x, y, assume_unique=True)
-                whole = na <= size and nb <= size
                 if whole:
                     ok = 100 * len(common) >= percent * (na + nb - len(common))
                 else:
@@ -150,63 +171,99 @@ def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, size:
 
 
 def lists(sets: DataFrame, size: int = SKETCH, percent: int = PERCENT) -> DataFrame:
-    """(value, doc_id, n): the inverted lists of each document's rarest retained values."""
+    """(value, kind, doc_id, n, rank, own): the inverted lists of each document's rarest retained values.
+
+    ``kind`` 0 ranks a value in the whole set, kind 1 among the ``size`` smallest (for
+    pairs with a larger set); ``own`` is the share of values that no other document has.
+    """
     t = shared_values(size, percent)
-    whole = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    # up to this size every partner's sketch is a whole set too
-    need = F.when(F.col("n") * 100 <= size * percent, whole).otherwise(F.least(F.col("n"), F.lit(size)) - t + 1)
-    posted = sets.select("doc_id", "n", need.cast("int").alias("need"), F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
-    # a value retained once is rarest of all; it links nothing but uses up a place
+    posted = (sets.select("doc_id", F.posexplode("sketch").alias("pos", "value"))
+              .select("doc_id", "value", (F.col("pos") < size).alias("low")))
+    # a value retained once is rarest of all; it links nothing but takes up a rank
     often = posted.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    mine = (posted.join(often, "value").groupBy("doc_id", "n", "need", "m")
-            .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
-            .withColumn("left", F.col("need") - (F.col("m") - F.size("v"))).where("left > 0"))
-    return mine.select("doc_id", "n", F.explode(F.slice("v", F.lit(1), F.col("left"))["value"]).alias("value"))
+    mine = (posted.join(often, "value").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "value", "low"))).alias("v"))
+            .join(sets.select("doc_id", "n", F.least("n", F.when(F.col("n") <= 2 * size, F.col("n")).otherwise(size)).alias("m")), "doc_id")
+            .withColumn("own", 1 - F.size("v") / F.col("m"))
+            .withColumn("w", F.filter("v", lambda x: x["low"])))
+
+    def ranked(v: str, values: Column, kind: int) -> DataFrame:
+        """The values of a list with their ranks; the document's own ones come first."""
+        rows = F.transform(v, lambda x, i: F.struct(x["value"].alias("value"), (values - F.size(v) + i).cast("int").alias("rank")))
+        return mine.select("doc_id", "n", "own", F.lit(kind).alias("kind"), F.explode(rows).alias("r")).select(
+            "r.value", "kind", "doc_id", "n", "r.rank", "own")
+
+    # a partner has at least this part of a whole set
+    whole = ranked("v", F.col("m"), 0).where(F.col("n") <= 2 * size).where(F.expr(f"100 * (n - rank) >= {percent} * n"))
+    cut = ranked("w", F.least("m", F.lit(size)), 1).where(F.col("n") * 100 > 2 * size * percent).where(F.col("rank") <= size - t)
+    return whole.union(cut)
+
+
+def _rooted(rows: DataFrame, roots: DataFrame, of: str, name: str) -> DataFrame:
+    """Add the root of the node ``of`` (itself, if it has no link)."""
+    mark = roots.select(F.col("node").alias(of), F.col("root").alias("_r"))
+    return rows.join(mark, of, "left").withColumn(name, F.coalesce("_r", of)).drop("_r")
 
 
 def dedupe(docs: DataFrame, words: int = 5, percent: int = PERCENT, size: int = SKETCH) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest linked id), kept."""
     spark = docs.sparkSession
-    path = scratch_path(spark, "sketches")
-    sketches(docs, words, size).write.parquet(path)
+    path = scratch_path(spark, "sets")
+    sketches(docs, words, size).select("doc_id", "n", "s1", "s2").write.parquet(path)
     every = spark.read.parquet(path)
     classes = (every.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2")
                .agg(F.min("doc_id").alias("doc_id")))
-    unique = every.where("n > 0").join(classes.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    path = scratch_path(spark, "unique")
+    # made anew for one document of each class: a table of all sketches would be the largest one here
+    (sketches(docs, words, size).select("doc_id", "n", "sketch").join(classes.select("doc_id"), "doc_id", "left_semi")
+     .dropDuplicates(["doc_id"]).write.parquet(path))
+    unique = spark.read.parquet(path)
+    key = ["value", "kind"]
     posted = reliable_checkpoint(lists(unique, size, percent))
-    again = posted.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
-    posted = reliable_checkpoint(posted.join(again, "value").select("value", "doc_id", "n"))
+    again = posted.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1").select(*key)
+    posted = reliable_checkpoint(posted.join(again, key))
+    _tidy(spark)
     path = scratch_path(spark, "candidates")
-    every.join(posted.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(
-        "doc_id", "n", "sketch").write.parquet(path)
+    unique.join(posted.select("doc_id").distinct(), "doc_id", "left_semi").write.parquet(path)
     sets = spark.read.parquet(path)
+    _tidy(spark)
 
     roots = None
-    edges = None
     for turn in range(STAR_ROUNDS + 1):
         here = posted.withColumn("root", F.col("doc_id"))
         if roots is not None:
-            mark = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("r"))
-            here = posted.join(mark, "doc_id", "left").select("value", "doc_id", "n", F.coalesce("r", "doc_id").alias("root"))
-            mixed = here.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("value")
-            here = reliable_checkpoint(here.join(mixed, "value"))
+            here = _rooted(posted, roots, "doc_id", "root")
+            mixed = here.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*key)
+            here = reliable_checkpoint(here.join(mixed, key))
         if turn < STAR_ROUNDS:
             # one leader per list and size class; a document is compared with the leader it meets most often
-            band = F.floor(F.log(F.col("n")) / math.log(100 / percent) + 0.5 * turn)
-            lead = here.withColumn("band", band).groupBy("value", "band").agg(
-                F.min_by(F.struct("doc_id", "root"), F.xxhash64("doc_id", F.lit(turn))).alias("lead"))
-            met = (here.withColumn("band", band).join(lead, ["value", "band"])
+            here = here.withColumn("band", F.floor(F.log("n") / math.log(100 / percent) + 0.5 * turn))
+            first = F.struct((F.col("own") if turn == 0 else F.lit(0.0)).alias("own"), F.xxhash64("doc_id", F.lit(turn)).alias("h"))
+            lead = here.groupBy(*key, "band").agg(F.min_by(F.struct("doc_id", "root"), first).alias("lead"))
+            met = (here.join(lead, [*key, "band"])
                    .where("root <> lead.root").groupBy("doc_id", F.col("lead.doc_id").alias("with")).agg(F.count("*").alias("c")))
             pairs = (met.groupBy("doc_id").agg(F.max_by("with", F.struct("c", -F.col("with"))).alias("with"))
                      .select(F.col("with").alias("a"), F.col("doc_id").alias("b")))
         else:
-            one = here.select("value", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            two = here.select("value", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            pairs = (one.join(two, "value").where(F.expr(f"a < b and ra <> rb and 100 * least(na, nb) >= {percent} * greatest(na, nb)"))
-                     .select("a", "b").distinct())
-        found = _links(reliable_checkpoint(pairs), sets, docs, words, size, percent)
-        edges = found if edges is None else edges.union(found)
-        roots = reliable_checkpoint(components(edges))
+            one, two = (here.select(*key, F.col("doc_id").alias(x), *[F.col(c).alias(c + x) for c in ("n", "rank", "root")]) for x in "ab")
+            need = f"ceil({percent} * (na + nb) / {100 + percent})"
+            steps = [percent + i * (100 - percent) / 10 for i in range(10)]
+            shared = "case " + " ".join(f"when 100 * least(na, nb) >= {x} * greatest(na, nb) then {shared_values(size, percent, x / 100)}"
+                                        for x in reversed(steps)) + " end"
+            possible = (f"if(kind = 0, ranka + {need} <= na and rankb + {need} <= nb, "
+                        f"greatest(na, nb) > {2 * size} and greatest(ranka, rankb) + {shared} <= {size})")
+            pairs = one.join(two, key).where(F.expr(f"a < b and roota <> rootb and {possible}")).select("a", "b").distinct()
+        pairs = reliable_checkpoint(pairs)
+        _tidy(spark)
+        found = _links(pairs, sets, docs, words, size, percent)
+        _tidy(spark)
+        if roots is None:
+            roots = reliable_checkpoint(components(found))
+        else:
+            # between components: the new links join whole components
+            more = components(_rooted(_rooted(found, roots, "a", "ra"), roots, "b", "rb").select(
+                F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")))
+            nodes = roots.union(more.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti"))
+            roots = reliable_checkpoint(_rooted(nodes, more, "root", "now").select("node", F.col("now").alias("root")))
 
     groups = classes.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select(
         "n", "s1", "s2", F.coalesce("root", "doc_id").alias("component"))
