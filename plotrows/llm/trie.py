@@ -23,6 +23,8 @@ for zero.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 DISCOUNT = 0.75
@@ -126,15 +128,32 @@ _LEVELS = ("roots", "pair", "pair_at", "before", "before_at", "next", "next_at")
 _FLAT = ("base", "root_weight", "pair_code", "before_weight", "next_code")
 
 
-def pack(root: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float = DISCOUNT) -> bytes:
+class Shared(NamedTuple):
+    """Pair level of roots whose contexts lie in several tries: per root its total and number of pairs, per pair its words before, all > 0."""
+
+    root: np.ndarray
+    total: np.ndarray
+    kinds: np.ndarray
+    pair_root: np.ndarray
+    pair_word: np.ndarray
+    spread: np.ndarray
+
+
+def pack(root: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float = DISCOUNT, shared: Shared | None = None) -> bytes:
     """The trie of distinct trigrams: 64-bit roots, ``WORD_BITS`` hashes of the word before and after, counts > 0.
 
     Interpolated Kneser-Ney: trigrams by their counts, pairs by the number of
-    distinct words before them, both less ``discount``.
+    distinct words before them, both less ``discount``.  For the roots of ``shared``
+    the pair level is taken from there; it has all of the trigrams' pairs.
     """
     shift = _U(WORD_BITS)
-    roots, r = np.unique(root, return_inverse=True)
-    pairs, a = np.unique((r.astype(np.uint64) << shift) | word, return_inverse=True)
+    if shared is None:
+        shared = Shared(*(np.zeros(0, np.uint64) for _ in Shared._fields))
+    n = len(root)
+    roots, r = np.unique(np.concatenate([root, shared.pair_root, shared.root]), return_inverse=True)
+    r, shared_at = r[:n + len(shared.pair_root)], r[n + len(shared.pair_root):]
+    pairs, a = np.unique((r.astype(np.uint64) << shift) | np.concatenate([word, shared.pair_word]), return_inverse=True)
+    r, a, shared_pair = r[:n], a[:n], a[n:]
     contexts, b = np.unique((r.astype(np.uint64) << shift) | before, return_inverse=True)
     order = np.lexsort((a, b))
     a, b, count = a[order], b[order], count[order].astype(float)
@@ -147,14 +166,16 @@ def pack(root: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndarr
 
     total, kinds = np.bincount(b, count, len(contexts)), np.bincount(b, minlength=len(contexts))
     spread = np.bincount(a, minlength=len(pairs)).astype(float)
-    root_total = np.bincount(root_of_pair, spread, len(roots))
+    spread[shared_pair] = shared.spread
+    root_total, root_kinds = np.bincount(root_of_pair, spread, len(roots)), width.copy()
+    root_total[shared_at], root_kinds[shared_at] = shared.total, shared.kinds
     parts = {
         "roots": Monotone.of(roots, 1 << 64), "pair": Monotone.of(pairs, max(len(roots), 1) << WORD_BITS),
         "pair_at": Monotone.of(pair_at, len(pairs) + 1), "before": Monotone.of(contexts, max(len(roots), 1) << WORD_BITS),
         "before_at": Monotone.of(before_at, len(contexts) + 1),
         "next": Monotone.of(start[b] + a - pair_at[root_of_context[b]], int(base[-1]) + 1),
         "next_at": Monotone.of(np.searchsorted(b, np.arange(len(contexts) + 1)), len(b) + 1),
-        "base": base, "root_weight": quantise(discount * width / np.maximum(root_total, 1)),
+        "base": base, "root_weight": quantise(discount * root_kinds / np.maximum(root_total, 1)),
         "pair_code": quantise((spread - discount) / root_total[root_of_pair]),
         "before_weight": quantise(discount * kinds / np.maximum(total, 1)), "next_code": quantise((count - discount) / total[b]),
     }

@@ -123,6 +123,17 @@ def test_hot_words_are_split_into_classes(spark):
     assert all(a[4] > a[3] for a in split)  # still a better model than single words
 
 
+def test_the_split_of_hot_words_does_not_change_a_score(spark):
+    rng = np.random.default_rng(6)
+    rows = [(" ".join(f"a{rng.integers(300)} the b{rng.zipf(1.5) % 40}" for _ in range(20)), i % 4 != 1) for i in range(60)]
+    whole = scored(spark, rows, hot=1 << 40)
+    agree(whole, plain(rows))
+    for hot in (100, 7):  # 7: the pairs of "the" lie in several parts, too
+        split = scored(spark, rows, hot=hot, shard_tokens=200)
+        assert [x[:3] for x in split] == [x[:3] for x in whole]
+        assert [x[4] for x in split] == pytest.approx([x[4] for x in whole], abs=1e-9)
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(4)
     rows = np.unique(rng.integers(0, 12, (300, 3)), axis=0).astype(np.uint64)
