@@ -2,11 +2,12 @@
 
 A rule is a host and a path; it fits the host and its subdomains if the URL's path
 starts with the rule's, and the longest rule wins.  URLs that a rule fits are the
-labelled URLs: a sample of at most about ``rows`` (20,000) of them, chosen by a hash of
-the URL, trains Spark ML's gradient-boosted trees on lexical features -- length,
-depth, digit ratio, entropy, parameters, host shape, and the share of blocked URLs
-among the sample's URLs with the same host suffix (one and two labels) and file
-suffix.  All other URLs get the trees' verdict.
+labelled URLs.  They train Spark ML's gradient-boosted trees on lexical features --
+length, depth, digit ratio, entropy, parameters, host shape, and the share of blocked
+URLs among all labelled URLs with the same host suffix (one and two labels) and file
+suffix.  The trees alone learn from a sample of at most about ``rows`` (20,000) rows:
+distinct URLs chosen by a hash, each weighted by its share of the rows.  All other URLs
+get the trees' verdict.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, no
 rule, and the trees' verdict for an empty URL; labelled URLs of one class (or none)
@@ -22,6 +23,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotrows.session import scratch_path
+
 ROWS = 20_000
 PRIOR = 5.0  # rows that a suffix's share starts with
 
@@ -62,6 +65,20 @@ def _entropy(text: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda a, p: a - p * F.log2(F.greatest(p, F.lit(1e-9))))
 
 
+def _suffixes() -> dict[str, Column]:
+    """Of host and path."""
+    return {"s_one": F.regexp_extract("host", r"([^.]*)$", 1), "s_two": F.regexp_extract("host", r"([^.]*\.[^.]*)$", 1),
+            "s_file": F.regexp_extract("path", r"\.([A-Za-z0-9]{1,5})$", 1)}
+
+
+def sample(labelled: DataFrame, rows: int, total: int) -> DataFrame:
+    """Distinct URLs of ``total`` labelled rows, with weights that add up to about ``rows``: the copies of a URL, thinned out."""
+    share = min(1.0, rows / total) if total else 0.0
+    spot = F.pmod(F.xxhash64("url", F.lit("urls")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    counted = labelled.groupBy("url", "host", "path", "label").agg(F.count("*").alias("copies"))
+    return counted.withColumn("weight", F.floor(F.col("copies") * share + spot).cast("double")).where("weight > 0").drop("copies")
+
+
 def lexical(urls: DataFrame) -> DataFrame:
     """Add the lexical features (f_...) and the suffixes (s_...) of url, host and path."""
     u, h, p = F.coalesce(F.col("url"), F.lit("")), F.col("host"), F.col("path")
@@ -74,9 +91,7 @@ def lexical(urls: DataFrame) -> DataFrame:
         "f_equals": _count(query, "="), "f_fragment": u.contains("#").cast("int"), "f_secure": u.startswith("https").cast("int"),
         "f_slash_end": p.endswith("/").cast("int"), "f_entropy": _entropy(u), "f_host_entropy": _entropy(h),
     }
-    suffixes = {"s_one": F.regexp_extract(h, r"([^.]*)$", 1), "s_two": F.regexp_extract(h, r"([^.]*\.[^.]*)$", 1),
-                "s_file": F.regexp_extract(p, r"\.([A-Za-z0-9]{1,5})$", 1)}
-    return urls.select("*", *[c.cast("double").alias(k) for k, c in features.items()], *[c.alias(k) for k, c in suffixes.items()])
+    return urls.select("*", *[c.cast("double").alias(k) for k, c in features.items()], *[c.alias(k) for k, c in _suffixes().items()])
 
 
 class Filter:
@@ -86,28 +101,33 @@ class Filter:
         self.rules = rules
         self.trees: GBTClassificationModel | None = None
         self.shares: dict[str, DataFrame] = {}
+        self.small: set[str] = set()  # shares that fit a broadcast
         self.rate = 0.0
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
-        for k, table in self.shares.items():  # at most as many suffixes as sampled rows: a bounded broadcast
-            rows = rows.join(F.broadcast(table), k, "left").withColumn(f"f_{k}", F.coalesce(f"f_{k}", F.lit(self.rate)))
+        for k, table in self.shares.items():
+            rows = rows.join(F.broadcast(table) if k in self.small else table, k, "left").withColumn(f"f_{k}", F.coalesce(f"f_{k}", F.lit(self.rate)))
         return VectorAssembler(inputCols=[c for c in rows.columns if c.startswith("f_")], outputCol="_features").transform(rows)
 
     def fit(self, urls: DataFrame, rows: int = ROWS, rounds: int = 20, depth: int = 4) -> Filter:
-        labelled = with_rule(urls.select("url"), self.rules).where(F.col("rule").isNotNull())
-        total = labelled.count()
-        share = min(1.0, rows / total) if total else 0.0
-        spot = F.pmod(F.xxhash64("url", F.lit("urls")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        sample = lexical(labelled.where(spot < share)).withColumn("label", (F.col("rule_verdict") == "block").cast("double")).cache()
-        kinds = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-        self.rate = kinds.get(1.0, 0) / max(sum(kinds.values()), 1)
+        labelled = (with_rule(urls.select("url"), self.rules).where(F.col("rule").isNotNull())
+                    .withColumn("label", (F.col("rule_verdict") == "block").cast("double")))
+        kinds = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        total = sum(kinds.values())
+        self.rate = kinds.get(1.0, 0) / max(total, 1)
         if len(kinds) == 2:
-            for k in ("s_one", "s_two", "s_file"):
-                got = sample.groupBy(k).agg(((F.sum("label") + PRIOR * self.rate) / (F.count("*") + PRIOR)).alias(f"f_{k}")).collect()
-                self.shares[k] = urls.sparkSession.createDataFrame([tuple(r) for r in got], f"{k} string, f_{k} double")
-            self.trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=7).fit(
-                self._vectors(sample).select("_features", "label"))
-        sample.unpersist()
+            spark = urls.sparkSession
+            for k, suffix in _suffixes().items():
+                path = scratch_path(spark, f"url-{k.replace('_', '-')}")
+                (labelled.groupBy(suffix.alias(k)).agg(((F.sum("label") + PRIOR * self.rate) / (F.count("*") + PRIOR)).alias(f"f_{k}"))
+                 .write.parquet(path))
+                self.shares[k] = spark.read.parquet(path)
+                if self.shares[k].count() <= ROWS:
+                    self.small.add(k)
+            learned = sample(labelled, rows, total).cache()
+            self.trees = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.2,
+                                       seed=7).fit(self._vectors(lexical(learned)).select("_features", "label", "weight"))
+            learned.unpersist()
         return self
 
     def judge(self, urls: DataFrame, keep: list[str]) -> DataFrame:

@@ -71,3 +71,20 @@ def test_one_class_no_rules_no_rows_clashing_names(spark):
     assert [r.verdict for r in urlfilter.Filter([]).fit(df).judge(df, ["page_id"]).collect()] == ["allow"] * 3
     none = df.where("page_id > 9")
     assert urlfilter.Filter(queries.URL_RULES).fit(none).judge(none, ["page_id"]).collect() == []
+
+
+def test_shares_are_counted_over_all_ruled_urls_and_the_sample_is_bounded(spark):
+    urls = [f"http://h{i % 400}.d{i % 400}.{'good' if i % 3 else 'bad'}/{i}.html" for i in range(1200)] + ["http://same.good/"] * 600
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    model = urlfilter.Filter([("allow", "good/"), ("block", "bad/")]).fit(df, rows=100, rounds=2)
+    want = {}
+    for u in urls:
+        want.setdefault(".".join(split(u)[0].split(".")[-2:]), []).append(split(u)[0].endswith("bad"))
+    rate = 400 / 1800
+    got = {r.s_two: r.f_s_two for r in model.shares["s_two"].collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - (sum(x) + 5 * rate) / (len(x) + 5)) < 1e-9 for k, x in want.items())
+    labelled = urlfilter.with_rule(df, model.rules).withColumn("label", (urlfilter.F.col("rule_verdict") == "block").cast("double"))
+    weights = {r.url: r.weight for r in urlfilter.sample(labelled, 100, len(urls)).collect()}
+    assert weights["http://same.good/"] in (33, 34) and 70 < sum(weights.values()) < 130
+    assert sorted(model.judge(df, ["page_id"]).select("page_id").toPandas()["page_id"]) == list(range(1800))
