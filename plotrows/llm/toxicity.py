@@ -6,15 +6,15 @@ letters, and of its length; a transition weight joins neighbours.
 
 Labels are per document, so token labels are derived first: in a toxic document
 of the learning sample a token is toxic if one of its features is *evidence*: a
-feature that occurs at least 20 times as often in toxic documents as in others.
-Occurrences after the same token count for one document only, so that the words
-of a text with many copies don't become evidence.  The CRF is fitted by gradient on
+feature that occurs in at least 4 (``SUPPORT``) toxic documents, and at least 20
+times as often in toxic documents as in others.  Exact copies of a text count as one
+document, so that the words of a text with many copies don't become evidence.  The CRF is fitted by gradient on
 windows of those tokens.  A document's marginals give its largest toxic log odds,
 its expected number of toxic tokens; a logistic curve over the two and the length, fitted on the sample's documents (each class at its true share), is the score.
 
 Learning uses about ``rows_per_class`` (3,000) labelled rows of each class, chosen
 by a hash of ``doc_id``, and of each row at most ``windows_per_row`` (4) windows of
-16 tokens; everything is scored whole.
+16 tokens, at hashed places of the whole text; everything is scored whole.
 
 Defined results: null and letterless texts score like a text without any toxic
 token; repeated rows score alike; without labelled rows of both classes every
@@ -41,7 +41,7 @@ WINDOW = 16
 BUCKETS = 1 << 18
 THRESHOLD = 0.3
 EVIDENCE = 3.0   # log of 20
-SUPPORT = 0.03   # share of the toxic rows
+SUPPORT = 4      # toxic documents
 _MARKS = [0, 1, 2, 3, 4]  # features that can be evidence: the run and its prefixes
 _PARTS = 8
 
@@ -83,23 +83,22 @@ def _evidence(rows: DataFrame) -> np.ndarray:
             for first, part in X.chunks(f["text"]):
                 r = X.letter_runs(part)
                 n, per = len(r.hash), np.diff(r.offset)
-                before = np.concatenate([[np.uint64(0)], r.hash])[:n]
                 feats = _features(r, np.arange(n))[:, _MARKS]
                 feats[(r.end - r.start) < 4] = 0  # a run of three letters or less is no evidence
-                place = X.mix(feats + X.mix(before)[:, None])
-                seen = pd.DataFrame({"feature": feats.ravel().view(np.int64), "place": place.ravel().view(np.int64),
+                seen = pd.DataFrame({"feature": feats.ravel().view(np.int64),
                                      "toxic": np.repeat(np.repeat(toxic[first:first + len(part)], per), len(_MARKS)).astype(np.int32),
                                      "doc_id": np.repeat(np.repeat(ids[first:first + len(part)], per), len(_MARKS))})
-                yield seen[seen["feature"] != 0].drop_duplicates(["feature", "place", "toxic"])
-    places = (rows.mapInPandas(run, "feature long, place long, toxic int, doc_id long")
-              .groupBy("feature", "place", "toxic").agg(F.min("doc_id").alias("doc_id")))
+                yield seen[seen["feature"] != 0].drop_duplicates()
+    rows = (rows.groupBy(F.sha2("text", 256).alias("same"), "toxic").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+            .select("doc_id", "text", "toxic"))
+    places = rows.mapInPandas(run, "feature long, toxic int, doc_id long")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0) + 1, n.get(0, 0) + 1
     odds = F.log((F.col("t") + 0.5) / n1) - F.log((F.col("c") + 0.5) / n0)
     found = (places.groupBy("feature", "toxic").agg(F.countDistinct("doc_id").alias("n"))
              .groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"),
                                      F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-             .where((F.col("t") >= max(4, SUPPORT * n1)) & (odds >= EVIDENCE)).select("feature").toPandas())
+             .where((F.col("t") >= SUPPORT) & (odds >= EVIDENCE)).select("feature").toPandas())
     return np.sort(found["feature"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -122,7 +121,9 @@ def _windows(rows: DataFrame, evidence: np.ndarray, per_row: int) -> tuple[np.nd
                         spots = np.flatnonzero(hits[a:b])
                     else:
                         spots = (X.mix(np.arange(per_row, dtype=np.uint64) + np.uint64(ids[first + j] & 0xFFFFFFFF)) % np.uint64(b - a)).astype(int)
-                    for block in np.unique(spots // WINDOW)[:per_row]:
+                    blocks = np.unique(spots // WINDOW)
+                    at = np.argsort(X.mix(blocks.astype(np.uint64) + (np.uint64(ids[first + j] & 0xFFFFFFFF) << np.uint64(32))), kind="stable")
+                    for block in blocks[at[:per_row]]:
                         lo = a + int(block) * WINDOW
                         hi = min(b, lo + WINDOW)
                         label = hits[lo:hi] & (toxic[first + j] == 1)

@@ -76,3 +76,14 @@ def test_training_prefers_marked_places():
     c = crf.train(x, y, np.array([3, 2]), np.ones(2), 8, rounds=200)
     odds = crf.odds(c, c.weight[[1, 2, 1]])
     assert odds[1] > 1 > max(odds[0], odds[2])
+
+
+def test_rare_terms_and_fixed_phrases_are_learned(spark):
+    docs, labels = corpus(1000)
+    rare = [i for i, toxic in labels if toxic][:24]
+    clean = {i: " ".join(w for w in t.split() if w not in BAD) for i, t in docs}
+    # six toxic documents of 200 have a rare term only, eighteen a term after the same word each time
+    docs = [(i, clean[i] + (" quixblat" if k < 6 else " kana wumpledorf") * 3) if (k := rare.index(i) if i in rare else -1) >= 0 else (i, t) for i, t in docs]
+    model = toxicity.fit(table(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = toxicity.score(table(spark, [(1, "lona quixblat mivi"), (2, "loso kana wumpledorf mina"), (3, "lona loso kana mivi mina")]), model).collect()
+    assert [bool(r.spans) for r in sorted(got, key=lambda r: r.doc_id)] == [True, True, False]
