@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotrows.llm import attribution, ctph, decontaminate, html, langid, lmscore, neardup, packing, toxicity, urlfilter
+from plotrows.llm import attribution, ctph, decontaminate, html, langid, lmscore, neardup, packing, prefixtrie, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,3 +101,38 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, sf_dir, "pages")
     return html.extract(pages, html.fit(pages), ["page_id", "url"])
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct sequence of first turns of the rebuilt conversations, with its members and savings."""
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
+# crc32 of a short ASCII text, bit by bit
+_CRC32 = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), "
+          "lambda a, b: list_reduce(list_prepend(xor(a, b), [1::BIGINT, 2, 3, 4, 5, 6, 7, 8]), "
+          "lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)")
+
+ORACLE["op12_prefix_trie"] = f"""
+WITH turns AS (
+  SELECT conv_id, list((coalesce(role, ''), coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+sized AS (SELECT *, ({_CRC32.format("conv_id::VARCHAR")} % 6)::INT AS h FROM turns),
+rebuilt AS (
+  SELECT s.conv_id, coalesce(b.t[1:s.h], []) || s.t[s.h + 1:] AS t
+  FROM sized s LEFT JOIN turns b ON b.conv_id = s.conv_id - s.conv_id % 100),
+prefixes AS (SELECT conv_id, len(t) AS n, d AS depth, t[1:d] AS p FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT p, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY p),
+kids AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (p)),
+subtrees AS (
+  SELECT p[1:d] AS p, sum((n_children = 0)::INT) AS n_leaves, sum(CASE WHEN depth > 0 THEN (n_convs - 1) * length(p[depth][2]) ELSE 0 END) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM full_nodes) GROUP BY 1)
+SELECT a.conv_id::BIGINT AS conv_id, a.depth::BIGINT AS depth, b.conv_id::BIGINT AS parent_conv_id, a.n_convs::BIGINT AS n_convs,
+       a.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, a.ends_sha256
+FROM full_nodes a JOIN subtrees USING (p) LEFT JOIN full_nodes b ON a.depth > 0 AND b.p = a.p[1:a.depth - 1]
+"""
