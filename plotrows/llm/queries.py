@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotrows.llm import attribution, ctph, decontaminate, html, langid, lmscore, neardup, packing, prefixtrie, toxicity, urlfilter
+from plotrows.llm import attribution, ctph, decontaminate, html, langid, lexsearch, lmscore, neardup, packing, prefixtrie, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +136,27 @@ SELECT a.conv_id::BIGINT AS conv_id, a.depth::BIGINT AS depth, b.conv_id::BIGINT
        a.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, a.ends_sha256
 FROM full_nodes a JOIN subtrees USING (p) LEFT JOIN full_nodes b ON a.depth > 0 AND b.p = a.p[1:a.depth - 1]
 """
+
+
+@_query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+ORACLE["op13_ranked_search"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+sums AS (SELECT count(*)::BIGINT AS big_n, sum(len(t))::BIGINT AS total FROM docs WHERE len(t) > 0),
+freq AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM docs) GROUP BY 1, 2),
+weights AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM freq, sums GROUP BY term, big_n),
+items AS (SELECT i, item_id, term, count(*)::BIGINT AS times FROM
+  (SELECT i, item_id, unnest(t) AS term FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS t FROM benchmark)) GROUP BY 1, 2, 3),
+scores AS (
+  SELECT i, item_id, r, docs.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(t) * big_n) // total))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN freq USING (term) JOIN docs USING (r), sums GROUP BY 1, 2, 3, 4),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

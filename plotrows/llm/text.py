@@ -111,13 +111,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
-def words(texts: list[bytes], lower: bool = True) -> Words:
-    """Words of every text, in order; hashes are of the (lower-cased) bytes."""
+def words(texts: list[bytes], lower: bool = True, gap: np.ndarray = _SPACE) -> Words:
+    """Words of every text, in order; hashes are of the (lower-cased) bytes.
+
+    ``gap`` marks the separator bytes; a space is one.
+    """
     raw = b" ".join([b"", *texts, b""])
     if lower:
         raw = raw.lower()
     buf = np.frombuffer(raw, np.uint8)
-    gap = _SPACE[buf]
+    gap = gap[buf]
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1  # starts and ends alternate: the buffer begins and ends with a space
     start, end = edge[0::2], edge[1::2]
     h = segment_hash(prefix_hash(_byte_codes()[buf]), start, end)
