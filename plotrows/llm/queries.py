@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotrows.llm import attribution, ctph, decontaminate, html, langid, lexsearch, lmscore, neardup, packing, prefixtrie, toxicity, urlfilter
+from plotrows.llm import attribution, ctph, decontaminate, html, langid, lexsearch, lmscore, neardup, packing, prefixtrie, substring, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -160,3 +160,23 @@ scores AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scores WHERE score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@_query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 35-word windows that occur more than once."""
+    return substring.dedupe(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_substring_dedup"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, j, md5(array_to_string(w[j:j + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS j FROM docs)),
+repeated AS (SELECT r, j FROM (SELECT r, j, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM docs),
+marked AS (
+  SELECT r, word, j, max((repeated.j IS NOT NULL)::INT) OVER (PARTITION BY r ORDER BY j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM words LEFT JOIN repeated USING (r, j)),
+kept AS (SELECT r, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (WHERE gone = 0) AS t FROM marked GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
