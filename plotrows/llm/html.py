@@ -54,7 +54,7 @@ _MAIN = frozenset("article body content entry main post story text".split())
 _OUTSIDE = frozenset(["nav", "footer", "aside", "form", "header", "menu", "button", "label", "legend", "dialog"])
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_SILENT})\b[^>]*+(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({_SILENT})(?=[\s/>]|\Z)(?:[^>]*/>|[^>]*+(?:>.*?(?:</\1\s*>|\Z)|\Z))"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*\Z", re.I | re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")

@@ -245,16 +245,18 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
 def predict(docs: DataFrame, model: Model, tolerance: float = TOLERANCE, keep: list[str] | None = None) -> DataFrame:
     """Per row of ``docs`` (text and the columns ``keep``): lang_pred, score, bits, rejected."""
     keep = ["doc_id"] if keep is None else keep
-    docs = docs.select(*keep, *(["text"] if "text" not in keep else []))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    fields = ["lang_pred", "score", "bits", "rejected"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Only the text goes to Python and only the verdict comes back: rows stay on the JVM side.
+    @F.pandas_udf("lang_pred string, score double, bits double, rejected boolean")
+    def verdict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m, known = shared.value, {}
-        for f in frames:
-            for first, part in X.chunks(f["text"]):
-                rows = f[keep].iloc[first:first + len(part)].reset_index(drop=True)
+        for texts in series:
+            out = [pd.DataFrame({"lang_pred": [], "score": [], "bits": [], "rejected": []}).astype({"lang_pred": object, "rejected": bool})]
+            for _, part in X.chunks(texts):
                 if not m.langs:
-                    yield rows.assign(lang_pred=UNKNOWN, score=0.0, bits=0.0, rejected=True)
+                    out.append(pd.DataFrame({"lang_pred": [UNKNOWN] * len(part), "score": 0.0, "bits": 0.0, "rejected": True}))
                     continue
                 bits, n = entropies(m, part, known)
                 best = bits.argmin(1)
@@ -262,8 +264,9 @@ def predict(docs: DataFrame, model: Model, tolerance: float = TOLERANCE, keep: l
                 symbols = np.minimum(n, 10_000)[:, None]
                 posterior = 1 / np.exp2(np.minimum((low[:, None] - bits) * symbols, 0)).sum(1)
                 limit = m.mean[best] + tolerance * m.worst[best] * _spread(n)
-                yield rows.assign(lang_pred=np.where(n > 0, np.array(m.langs, object)[best], UNKNOWN),
-                                  score=np.where(n > 0, posterior, 0.0), bits=low, rejected=(n == 0) | (low > limit))
+                out.append(pd.DataFrame({"lang_pred": np.where(n > 0, np.array(m.langs, object)[best], UNKNOWN),
+                                         "score": np.where(n > 0, posterior, 0.0), "bits": low, "rejected": (n == 0) | (low > limit)}))
+            yield pd.concat(out, ignore_index=True)
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.mapInPandas(run, ", ".join(fields) + ", lang_pred string, score double, bits double, rejected boolean")
+    found = docs.select(*keep, verdict(F.col("text").cast("string")).alias("_verdict"))
+    return found.select(*keep, *[F.col("_verdict")[c].alias(c) for c in fields])

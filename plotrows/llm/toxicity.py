@@ -167,21 +167,22 @@ def _spans(model: Model, texts: list[bytes], known: dict[int, float]) -> Iterato
 def _scored(model: Model, docs: DataFrame, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Only the text goes to Python and only scores and spans come back: rows stay on the JVM side.
+    @F.pandas_udf("score double, marks array<double>, spans array<struct<start:int,end:int>>")
+    def verdict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m, known = shared.value, {}
-        for f in frames:
-            for first, part in X.chunks(f["text"]):
+        for texts in series:
+            score, every, spans = [np.zeros(0)], [], []
+            for _, part in X.chunks(texts):
                 found = list(_spans(m, part, known))
                 marks = np.array([[*x, 1.0] for x, _ in found]).reshape(-1, 4)
-                out = f[keep].iloc[first:first + len(part)].reset_index(drop=True)
-                out["score"] = 0.0 if m.curve is None else 1 / (1 + np.exp(-np.clip(marks @ m.curve, -30, 30)))
-                out["marks"] = list(marks)
-                out["spans"] = [[{"start": a, "end": b} for a, b in s] for _, s in found]
-                yield out
-
-    docs = docs.select(*dict.fromkeys([*keep, "text"]))
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.mapInPandas(run, ", ".join(fields) + ", score double, marks array<double>, spans array<struct<start:int,end:int>>")
+                score.append(np.zeros(len(part)) if m.curve is None else 1 / (1 + np.exp(-np.clip(marks @ m.curve, -30, 30))))
+                every += list(marks)
+                spans += [[{"start": a, "end": b} for a, b in s] for _, s in found]
+            yield pd.DataFrame({"score": np.concatenate(score), "marks": every, "spans": spans})
+
+    found = docs.select(*keep, verdict(F.col("text").cast("string")).alias("_verdict"))
+    return found.select(*keep, *[F.col("_verdict")[c].alias(c) for c in ("score", "marks", "spans")])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, windows_per_row: int = WINDOWS_PER_ROW) -> Model:

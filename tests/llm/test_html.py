@@ -105,3 +105,12 @@ def test_hidden_marks_are_learned_around(spark, sf_small, chain):
         want += plain(r.marked).split("\n\n")
         found += r.text.split("\n\n")
     assert len(set(want) & set(found)) > 0.95 * len(set(want)) and len(set(found) - set(want)) < 0.05 * len(set(found))
+
+
+@pytest.mark.parametrize("name", "script style template noscript svg iframe textarea select title object".split())
+def test_nothing_is_lost_after_silent_elements(name):
+    """Custom elements whose names begin like a silent one, and self-closed ones, hide nothing; closed ones only themselves."""
+    for inner, want in ((f"<{name}-x></{name}-x>", ["A", "B"]), (f"<{name}-x>kept</{name}-x>", ["A", "kept", "B"]), (f"<{name}/>", ["A", "B"]),
+                        (f'<{name} a="b" />', ["A", "B"]), (f"<{name}>gone</{name}>", ["A", "B"]), (f"<{name.upper()} a='b'>gone</{name} >", ["A", "B"])):
+        assert [b.text for b in html.blocks(f"<article><p>A</p>{inner}<p>B</p></article>")] == want
+    assert [b.text for b in html.blocks(f"<p>A</p><{name} a>open to the end<p>B</p>")] == ["A"]
