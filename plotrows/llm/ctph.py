@@ -159,7 +159,7 @@ def _with_next(rows: DataFrame, ids: DataFrame) -> DataFrame:
     places = F.when(F.col("before").isNull(), F.array(F.struct(F.col("part"), F.lit(0).alias("extra")))).otherwise(
         F.array(F.struct(F.col("part"), F.lit(0).alias("extra")), F.struct(F.col("before").alias("part"), F.lit(1).alias("extra"))))
     return (placed.withColumn("place", F.explode(places)).select("doc_id", "o", "fingerprint", "size", "packed", "place.part", "place.extra")
-            .repartition(parts, "part").sortWithinPartitions("part", "extra", F.desc("o"), "fingerprint", "packed"))
+            .repartitionById(parts, "part").sortWithinPartitions("part", "extra", F.desc("o"), "fingerprint", "packed"))
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:

@@ -143,6 +143,6 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
                     start, place = start + size, place + size
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return (table.repartition(parts, "bucket").sortWithinPartitions("bucket", "key", "doc_id", "n", "print")
+    return (table.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "key", "doc_id", "n", "print")
             .select("doc_id", "bucket", "ids", "n")
             .mapInPandas(lay, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))
