@@ -1,9 +1,7 @@
-"""T1-T5 image maths and a small PNG writer for derived image folders.
+"""T1-T4 image maths, and a small PNG writer for derived image folders.
 
-Decoding is Spark's built-in ``image`` source (executors, BGR bytes).  The
-per-image maths -- channel reorder, bilinear resize with half-pixel centres,
-scale/normalise, HWC -> CHW -- runs in one Arrow-batched pandas UDF with
-numpy; nothing is decoded on the driver.
+Decoding is Spark's built-in ``image`` source (executors, BGR bytes).  Channel reorder,
+bilinear resize, scaling and HWC -> CHW are array expressions over the decoded bytes.
 """
 
 from __future__ import annotations
@@ -16,7 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from plotrows.functions.numbers import let
 
 
 # ------------------------------------------------------------- PNG encode ---
@@ -75,50 +74,56 @@ def write_png_folder(df: DataFrame, key: str, rgb_fn, out_dir: str) -> DataFrame
 
 # ------------------------------------------------------------- image maths --
 
-def resize_bilinear(img: np.ndarray, out_h: int, out_w: int) -> np.ndarray:
-    """Bilinear resize with half-pixel centres and edge clamping (H x W x C float)."""
-    h, w = img.shape[:2]
-    ys = (np.arange(out_h) + 0.5) * (h / out_h) - 0.5
-    xs = (np.arange(out_w) + 0.5) * (w / out_w) - 0.5
-    ys = np.clip(ys, 0, h - 1)
-    xs = np.clip(xs, 0, w - 1)
-    y0 = np.floor(ys).astype(int)
-    x0 = np.floor(xs).astype(int)
-    y1 = np.minimum(y0 + 1, h - 1)
-    x1 = np.minimum(x0 + 1, w - 1)
-    wy = (ys - y0)[:, None, None]
-    wx = (xs - x0)[None, :, None]
-    a = img[y0][:, x0]
-    b = img[y0][:, x1]
-    c = img[y1][:, x0]
-    d = img[y1][:, x1]
-    top = a * (1 - wx) + b * wx
-    bot = c * (1 - wx) + d * wx
-    return top * (1 - wy) + bot * wy
-
-
-def prep_image(data: bytes, height: int, width: int, channels: int, out_h: int, out_w: int,
-               mean: float, std: float, to_rgb: bool = True) -> np.ndarray:
-    """T1 + T2 + T3 + T4: BGR bytes -> RGB -> resize -> (v/255 - mean)/std -> CHW float32 flat."""
-    img = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels).astype(np.float64)
-    if to_rgb and channels >= 3:
-        img = img[:, :, 2::-1] if channels == 3 else np.concatenate([img[:, :, 2::-1], img[:, :, 3:]], axis=2)
-    img = resize_bilinear(img, out_h, out_w)
-    img = (img / 255.0 - mean) / std
-    return np.ascontiguousarray(img.transpose(2, 0, 1), dtype=np.float32).reshape(-1)
+def byte_values(data) -> Column:
+    """The bytes of a BINARY column as an array of 0..255, without leaving the JVM."""
+    text = F.decode(F.col(data) if isinstance(data, str) else data, "ISO-8859-1")  # one character for each byte
+    return F.when(F.length(text) > 0, F.transform(F.split(text, ""), F.ascii)).otherwise(F.array().cast("array<int>"))
+
+
+def resize_taps(n_in: Column, n_out: int) -> Column:
+    """Bilinear weights of one axis: per output place the two inputs and the share of the second.
+
+    Half-pixel centres, clamped at the edges; the two axes are independent, so an image
+    needs ``height + width`` of them, not one for each output value.
+    """
+    def tap(o: Column) -> Column:
+        place = F.greatest(F.lit(0.0), F.least((n_in - 1).cast("double"), (o + 0.5) * (n_in / F.lit(float(n_out))) - 0.5))
+        return let(place, lambda p: F.struct(F.floor(p).cast("int").alias("a"), F.least(F.floor(p) + 1, n_in - 1).cast("int").alias("b"), (p - F.floor(p)).alias("w")))
+    return F.transform(F.sequence(F.lit(0), F.lit(n_out - 1)), tap)
+
+
+def resize_plane(values: Column, height: int, width: int, out_h: int, out_w: int) -> Column:
+    """T2 over one plane of values in row order."""
+    def plane(v: Column) -> Column:
+        at = lambda i, j: F.get(v, i * width + j)
+        value = lambda y, x: ((at(y["a"], x["a"]) * (1 - x["w"]) + at(y["a"], x["b"]) * x["w"]) * (1 - y["w"])
+                              + (at(y["b"], x["a"]) * (1 - x["w"]) + at(y["b"], x["b"]) * x["w"]) * y["w"])
+        return F.flatten(F.transform(resize_taps(F.lit(height), out_h), lambda y: F.transform(resize_taps(F.lit(width), out_w), lambda x: value(y, x))))
+    return let(values, plane)
 
 
 def image_prep(df: DataFrame, out_h: int, out_w: int, mean: float = 0.5, std: float = 0.5,
-               out: str = "tensor") -> DataFrame:
-    """Add ``out`` = CHW float array for each decoded image row (path, height, width, channels, data)."""
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def _prep(data: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([prep_image(d, int(hh), int(ww), int(cc), out_h, out_w, mean, std)
-                          for d, hh, ww, cc in zip(data, h, w, c)])
-    return df.withColumn(out, _prep("data", "height", "width", "channels"))
-
-
-def normalize_pixels(arr, mean: float = 0.5, std: float = 0.5, scale: float = 255.0) -> Column:
-    """T3 natively: ``(v/scale - mean)/std`` over an array column."""
-    a = F.col(arr) if isinstance(arr, str) else arr
-    return F.transform(a, lambda v: (v / scale - mean) / std)
+               out: str = "tensor", to_rgb: bool = True) -> DataFrame:
+    """Add ``out``, the CHW values of each decoded image row (path, height, width, channels, data).
+
+    BGR bytes (any number of channels; the first three are reversed) -> RGB -> bilinear
+    resize -> ``(v / 255 - mean) / std`` -> channel, row, column order.  All of it is
+    array expressions.  A caller's own resize goes through ``transform_rows``.
+    """
+    height, width, channels = (F.col(c) for c in ("height", "width", "channels"))
+
+    def tensor(parts: Column) -> Column:
+        v, ys, xs = parts["v"], parts["ys"], parts["xs"]
+
+        def value(c: Column, y: Column, x: Column) -> Column:
+            own = F.when((channels >= 3) & (c < 3), 2 - c).otherwise(c) if to_rgb else c
+            at = lambda i, j: F.get(v, (i * width + j) * channels + own)
+            top = at(y["a"], x["a"]) * (1 - x["w"]) + at(y["a"], x["b"]) * x["w"]
+            low = at(y["b"], x["a"]) * (1 - x["w"]) + at(y["b"], x["b"]) * x["w"]
+            return ((top * (1 - y["w"]) + low * y["w"]) / 255.0 - mean) / std
+
+        plane = lambda c: F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: value(c, y, x))))
+        return F.flatten(F.transform(F.sequence(F.lit(0), channels - 1), plane))
+
+    parts = F.struct(byte_values("data").alias("v"), resize_taps(height, out_h).alias("ys"), resize_taps(width, out_w).alias("xs"))
+    return df.withColumn(out, let(parts, tensor))

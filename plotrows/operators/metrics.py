@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotrows import constants as K
-from plotrows.functions.numbers import fixed_text
+from plotrows.functions.numbers import fixed_text, let
 from plotrows.operators.ordering import ordered_scan
 
 
@@ -80,16 +80,39 @@ def array_moments(arr) -> list[Column]:
 
 
 def batch_moments(df: DataFrame, arr: str, batch: str) -> DataFrame:
-    """Per-batch mean and *sample* std over every value of every row's array."""
-    values = df.select(batch, F.explode(arr).alias("_v"))
-    return values.groupBy(batch).agg(F.avg("_v").alias("batch_mean"), F.stddev_samp("_v").alias("batch_std"))
+    """Per-batch mean and *sample* std over every value of every row's array.
+
+    A row gives (n, mean, squared deviations from it); a batch, whose rows are bounded,
+    merges these in pairs, which stays exact where sums of squares would cancel.  Rows
+    without values count for nothing; the std of fewer than two values is NULL.
+    """
+    zero = F.lit(0.0)
+    mean = F.aggregate(arr, zero, lambda acc, v: acc + v) / F.size(arr)
+    row = let(mean, lambda m: F.struct(F.size(arr).cast("double").alias("n"), m.alias("mean"),
+                                       F.aggregate(arr, zero, lambda acc, v: acc + (v - m) * (v - m)).alias("m2")))
+    rows = df.where(F.size(arr) > 0).select(batch, row.alias("_row"))
+
+    def merge(acc: Column, r: Column) -> Column:
+        n, d = acc["n"] + r["n"], r["mean"] - acc["mean"]
+        return F.struct(n.alias("n"), (acc["mean"] + d * (r["n"] / n)).alias("mean"),
+                        (acc["m2"] + r["m2"] + d * d * (acc["n"] * r["n"] / n)).alias("m2"))
+
+    start = F.struct(zero.alias("n"), zero.alias("mean"), zero.alias("m2"))
+    merged = rows.groupBy(batch).agg(F.aggregate(F.array_sort(F.collect_list("_row")), start, merge).alias("_all"))
+    return merged.select(batch, F.col("_all.mean").alias("batch_mean"),
+                         F.when(F.col("_all.n") > 1, F.sqrt(F.col("_all.m2") / (F.col("_all.n") - 1))).alias("batch_std"))
+
+
+def standard_score(v: Column, mean: Column, std: Column) -> Column:
+    """(v - mean) / std; 0 in a batch whose values are all equal, or that has one value only."""
+    return F.when(std > 0, (v - mean) / std).otherwise(F.lit(0.0))
 
 
 def standardize(df: DataFrame, arr: str, batch: str, out: str | None = None) -> DataFrame:
     """T5: subtract the batch mean and divide by the batch std (joined back on the batch id)."""
     stats = batch_moments(df, arr, batch)
     j = df.join(stats, batch)
-    return j.withColumn(out or arr, F.transform(arr, lambda v: (v - F.col("batch_mean")) / F.col("batch_std")))
+    return j.withColumn(out or arr, F.transform(arr, lambda v: standard_score(v, F.col("batch_mean"), F.col("batch_std"))))
 
 
 def row_count_guard(left: DataFrame, right: DataFrame, expected: int | None = None,

@@ -8,10 +8,12 @@ partitions; nothing model-sized is captured in the closure of a row function.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,15 +100,28 @@ def _score_isolating(model, inputs: pd.Series, kw: dict) -> tuple[list, list]:
         return lo[0] + hi[0], lo[1] + hi[1]
 
 
+def prepared_input(route_col: str, input_col: str, prepare: Mapping[str, Callable[[Column], Column]]) -> Column:
+    """The model input of each route in one pass; routes without an entry take ``input_col`` as it is."""
+    raw = F.col(input_col)
+    out = None
+    for route, step in prepare.items():
+        own = F.col(route_col) == route
+        out = F.when(own, step(raw)) if out is None else out.when(own, step(raw))
+    return raw if out is None else out.otherwise(raw)
+
+
 def routed_scoring(df: DataFrame, route_col: str, models: Mapping[str, Callable[[], Callable]],
-                   input_col: str, key: str, out_col: str = "text", prompt: str | None = None) -> DataFrame:
+                   input_col: str, key: str, out_col: str = "text", prompt: str | None = None,
+                   prepare: Mapping[str, Callable[[Column], Column]] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """M2: rows range-partitioned by (route, key), so that most tasks meet one route and a hot
     route spreads over many; each worker builds only the models it meets.
 
     A model maps a pandas Series of inputs to a Series of output texts.  Errors
     do not fail the job: they land in ``error`` with ``out_col`` NULL.  With
     ``prompt`` (P14) every input row carries the same constant prompt column,
-    passed to the model as its ``prompt`` keyword.
+    passed to the model as its ``prompt`` keyword.  ``prepare`` maps a route to an
+    expression over ``input_col`` (a resize, say) that only its rows go through;
+    ``keep`` names columns to hand on beside the key.
     """
     factories = dict(models)
     token = uuid.uuid4().hex   # per call: reused workers never mix models of two calls
@@ -127,11 +142,12 @@ def routed_scoring(df: DataFrame, route_col: str, models: Mapping[str, Callable[
                 errs.append(pd.Series(r, index=part.index, dtype=object))
             text = pd.concat(outs).reindex(b.index) if outs else pd.Series([], dtype=object)
             err = pd.concat(errs).reindex(b.index) if errs else pd.Series([], dtype=object)
-            yield pd.DataFrame({key: b[key], route_col: b[route_col], out_col: text, "error": err})
+            yield pd.DataFrame({**{c: b[c] for c in names}, out_col: text, "error": err})
 
-    key_type = dict(df.dtypes)[key]
-    schema = f"{key} {key_type}, {route_col} string, {out_col} string, error string"
-    cols = [key, route_col, input_col] + ([F.lit(prompt).alias("prompt")] if prompt is not None else [])
+    names = [key, route_col, *keep]
+    types = dict(df.dtypes)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in names), f"{out_col} string, error string"])
+    cols = [*names, prepared_input(route_col, input_col, prepare or {}).alias(input_col)] + ([F.lit(prompt).alias("prompt")] if prompt is not None else [])
     clustered = df.select(*cols).repartitionByRange(route_col, key)
     return clustered.mapInPandas(run, schema)
 
@@ -153,26 +169,86 @@ def softmax_ce(logits, label) -> dict[str, Column]:
             "p1": F.get(p, 1)}
 
 
-def train_class_model(train: DataFrame, valid: DataFrame, features: str, label: str,
-                      epochs: tuple[int, ...] = (10, 25, 50), reg: float = 0.0):
-    """M3: multinomial logistic regression (Spark ML), kept at its best epoch.
+# Sums over rows are taken in whole multiples of 2 ** -40, so they do not depend on the order of the rows.
+FIXED = float(1 << 40)
+
+
+@dataclass
+class TrainingRun:
+    """M3: every epoch of one run: its weights (classes x (features, bias)), training loss and validation accuracy.
+
+    ``kept`` is the epoch that W4 keeps: the first one with the highest accuracy.
+    """
+
+    weights: list[np.ndarray]
+    losses: list[float]
+    accuracies: list[float]
+    kept: int | None
+
+    def scorer(self, epoch: int | None = None) -> ScorerFactory:
+        """A scorer factory of an epoch's state, the kept one by default."""
+        w = self.weights[self.kept if epoch is None else epoch]
+        return lambda: lambda x: x @ w[:, :-1].T + w[:, -1]
+
+
+def _matrix(b: pa.RecordBatch, features: str) -> np.ndarray:
+    x = np.stack(b[features].to_numpy(zero_copy_only=False)).astype(np.float64)
+    return np.concatenate([x, np.ones((len(x), 1))], axis=1)
+
 
-    The model is fitted up to each number of iterations; (model, accuracy, validation
-    predictions, epoch) of the first one with the highest validation accuracy is returned.
+def train_class_model(train: DataFrame, valid: DataFrame, features: str, label: str, n_classes: int, n_features: int,
+                      epochs: int = 10, rate: float = 0.5) -> TrainingRun:
+    """M3: softmax regression by full-batch gradient descent from zero weights, one run whose epochs are all kept.
+
+    An epoch is one pass over ``train``: each Arrow batch sums its gradient, Spark sums the
+    batches, and classes x features numbers come back to the driver.  One pass over
+    ``valid`` then gives every epoch's accuracy.  Sums are exact in fixed point, so a run is the
+    same under any partitioning.  Rows without label or features are left out; without
+    validation rows no epoch is kept.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.functions import array_to_vector
-
-    def prep(d):
-        return d.select(array_to_vector(F.col(features)).alias("features"), F.col(label).cast("double").alias("label"))
-
-    known, held = prep(train), prep(valid)
-    best = (None, K.INITIAL_BEST_ACCURACY, None, None)
-    for epoch in epochs:
-        model = LogisticRegression(family="multinomial", maxIter=epoch, regParam=reg).fit(known)
-        pred = model.transform(held)
-        acc = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(pred)
-        if acc > best[1]:
-            best = (model, acc, pred, epoch)
-    return best
+    def rows(df: DataFrame) -> DataFrame:
+        return df.where(F.col(features).isNotNull() & F.col(label).isNotNull()).select(features, F.col(label).cast("int").alias(label))
+
+    def sums(weights: np.ndarray) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, y = _matrix(b, features), b[label].to_numpy()
+                lg = x @ weights.T
+                e = np.exp(lg - lg.max(axis=1, keepdims=True))
+                ce = np.log(e.sum(axis=1)) + lg.max(axis=1) - lg[np.arange(len(y)), y]
+                p = e / e.sum(axis=1, keepdims=True)
+                p[np.arange(len(y)), y] -= 1
+                parts = [np.rint(p[:, c, None] * x * FIXED).sum(axis=0) for c in range(n_classes)]
+                total = np.concatenate([*parts, [np.rint(ce * FIXED).sum(), len(y)]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total.astype(np.int64))], ["slot", "total"])
+        return run
+
+    known, held = rows(train), rows(valid)
+    size = n_classes * (n_features + 1)
+    weights, states, losses = np.zeros((n_classes, n_features + 1)), [], []
+    for _ in range(epochs):
+        found = np.zeros(size + 2)
+        summed = known.mapInArrow(sums(weights), "slot long, total long").groupBy("slot").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"))
+        for r in summed.collect():
+            found[r["slot"]] = float(r["total"])
+        n = max(found[-1], 1.0)
+        weights = weights - rate * (found[:size] / FIXED / n).reshape(weights.shape)
+        states.append(weights)
+        losses.append(float(found[-2] / FIXED / n))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = _matrix(b, features), b[label].to_numpy()
+                right = [int(((x @ w.T).argmax(axis=1) == y).sum()) for w in states]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(states)), pa.int64()), pa.array(right, pa.int64()), pa.array([len(y)] * len(states), pa.int64())], ["epoch", "hit", "n"])
+
+    per_epoch = {r["epoch"]: r["hit"] / r["n"] for r in held.mapInArrow(hits, "epoch long, hit long, n long")
+                 .groupBy("epoch").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).collect()}
+    kept, best = None, K.INITIAL_BEST_ACCURACY
+    for epoch in sorted(per_epoch):
+        if per_epoch[epoch] > best:
+            kept, best = epoch, per_epoch[epoch]
+    return TrainingRun(states, losses, [per_epoch[e] for e in sorted(per_epoch)], kept)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plotrows.functions.series import encode_label
 from plotrows.operators.folds import stratified_kfold
-from plotrows.operators.series import attach_series, collect_series
+from plotrows.operators.series import attach_series
 from plotrows.sources import fixtures as fx
 
 
@@ -24,7 +24,7 @@ def corpus(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     joined on ``image_id``.
     """
     charts = fx.charts(spark, sf_dir).join(charts_with_folds(spark, sf_dir, k).select("image_id", "fold"), "image_id")
-    framed = attach_series(charts, collect_series(fx.chart_points(spark, sf_dir)))
+    framed = attach_series(charts, fx.chart_series(spark, sf_dir))
     return framed.withColumnRenamed("chart_type", "types")
 
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotrows import constants as K
 from plotrows.functions import series as S
-from plotrows.sources.files import record_id
+from plotrows.operators.hooks import transform_rows
+from plotrows.operators.scoring import ScorerFactory, route_of, routed_scoring
+from plotrows.sources.files import name_contains, record_id
 
 
 def image_name(path) -> Column:
@@ -41,18 +47,17 @@ def cleaned_xxyy(preds: DataFrame, raw: str = "raw", chart_type: str = "chart_ty
     ).drop(chart_type).withColumnRenamed("_type", chart_type)
 
 
-def decoded_xyxy(preds: DataFrame, raw: str = "raw", exact: bool = False) -> DataFrame:
-    dec = S.decode_xyxy_pandas(raw) if exact else S.decode_xyxy(raw)
-    d = preds.withColumn("_dec", dec)
-    failed = F.col("_dec").isNull() | F.col("_dec.xs").isNull()
-    return (d.withColumn("error", F.when(failed, F.lit("parse_failed")))
+def decoded_xyxy(preds: DataFrame, raw: str = "raw") -> DataFrame:
+    """Decoded arrays, ``error`` where the original raises, ``note`` where its numbers may differ."""
+    d = preds.withColumn("_dec", S.decode_xyxy(raw))
+    return (d.withColumn("error", F.when(F.col("_dec").isNull(), F.lit("parse_failed")))
+            .withColumn("note", F.when(F.col("_dec.inexact"), F.lit("inexact_number")))
             .withColumn("xs", F.col("_dec.xs")).withColumn("ys", F.col("_dec.ys")).drop("_dec"))
 
 
-def cleaned_xyxy(preds: DataFrame, raw: str = "raw", chart_type: str = "chart_type",
-                 exact: bool = False) -> DataFrame:
+def cleaned_xyxy(preds: DataFrame, raw: str = "raw", chart_type: str = "chart_type") -> DataFrame:
     """E6 + E9 + L4 + E10 + E11: any per-record failure gives ``line``, ``0;0``, ``0;0``."""
-    d = decoded_xyxy(preds, raw, exact)
+    d = decoded_xyxy(preds, raw)
     ct = F.col(chart_type)
     ys = F.transform("ys", S.clean_xyxy_value)
     xs = F.when(ct.isin("dot", "scatter"), F.transform("xs", S.clean_xyxy_value)).otherwise(F.col("xs"))
@@ -66,6 +71,36 @@ def cleaned_xyxy(preds: DataFrame, raw: str = "raw", chart_type: str = "chart_ty
     ).drop(chart_type).withColumnRenamed("_type", chart_type)
 
 
+def with_class(images: DataFrame, features: str, scorer: ScorerFactory, classes: Sequence[str] = K.CHART_TYPES) -> DataFrame:
+    """M1 inside a chain: adds ``chart_type``, the class with the first highest score, or NULL where the scorer fails."""
+    names = list(classes)
+
+    def factory():
+        model = scorer()
+
+        def call(batch: pa.RecordBatch) -> dict:
+            x = np.stack(batch[features].to_numpy(zero_copy_only=False)).astype(np.float64)
+            return {"chart_type": [names[i] for i in np.asarray(model(x)).argmax(axis=1)]}
+        return call
+    return transform_rows(images, factory, [features], "chart_type string", error="class_error")
+
+
+def routed_texts(images: DataFrame, scorer: ScorerFactory, models: Mapping[str, Callable[[], Callable]],
+                 prepare: Mapping[str, Callable[[Column], Column]] | None = None, route: Callable[[str], Column] = route_of,
+                 needle: str = ".jpg") -> DataFrame:
+    """S4 -> M1 -> F5 -> U2 -> M2: the texts of the series models over a listing with decoded images.
+
+    ``images`` has ``image_path`` and ``px`` (0..255).  The files whose names hold
+    ``needle`` are classified on the scaled values (T3); the class chooses the series model
+    and how its input is prepared.  Returns (image_path, route, chart_type, raw, error).
+    """
+    listed = images.filter(name_contains(image_name("image_path"), needle))
+    scaled = listed.withColumn("_x", F.transform("px", lambda v: (v / 255.0 - 0.5) / 0.5))
+    classed = with_class(scaled, "_x", scorer).withColumn("route", route("chart_type"))
+    return routed_scoring(classed, "route", models, "px", "image_path", out_col="raw", prompt=K.SERIES_PROMPT,
+                          prepare=prepare, keep=["chart_type"])
+
+
 def melt_xy(df: DataFrame, id_col: Column, x_col: str, y_col: str, type_col: str) -> DataFrame:
     """One record -> ``<id>_x`` and ``<id>_y`` rows in a single generator pass (no union)."""
     rows = F.array(

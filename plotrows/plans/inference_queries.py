@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plotrows import constants as K
 from plotrows.functions.numbers import argmax
 from plotrows.functions.series import decode_xxyy
+from plotrows.operators.images import resize_plane
 from plotrows.operators.scoring import linear_scorer_factory, route_of, score_classes
 from plotrows.plans import inference as I
 from plotrows.plans.catalog import register
@@ -61,20 +62,29 @@ def _type_sql(col: str) -> str:
             WHEN len(list_filter({col}, lambda c: regexp_full_match(c, '{_NUM}')))
                  + len(list_filter({col}, lambda c: c IS NULL)) = len({col})
             THEN list_transform({col}, lambda c: coalesce(CAST(CAST({bare} AS DOUBLE) AS VARCHAR), 'nan'))
+            WHEN len(list_filter({col}, lambda c: regexp_full_match(c, 'True|TRUE|true|False|FALSE|false')))
+                 + len(list_filter({col}, lambda c: c IS NULL)) = len({col})
+            THEN list_transform({col}, lambda c: coalesce(CASE lower(c) WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' END, 'nan'))
             ELSE list_transform({col}, lambda c: coalesce(c, 'nan')) END"""
 
 
 _E9 = ("list_transform({v}, lambda v: CASE WHEN TRY_CAST(v AS DOUBLE) IS NULL "
        "OR isnan(TRY_CAST(v AS DOUBLE)) THEN '0' ELSE v END)")
 
+_CELL_SQL = '(?:"(?:[^"]|"")*"[^\\t\\r\\n]*|[^\\t\\r\\n"][^\\t\\r\\n]*|)(?:\\t|\\r\\n|\\n|\\r)'
 _DEC_XYXY = f""",
-y0 AS (SELECT image_id, image_path, chart_type, raw,
-              list_transform(list_filter(string_split(raw, '<0x0A>'),
-                                         lambda r: length(regexp_replace(r, '^\\s+|\\s+$', '', 'g')) > 0),
-                             lambda r: string_split_regex(r, ' \\| ')) AS cells
-       FROM predictions_xyxy),
+yt AS (SELECT *, regexp_extract_all(t, '{_CELL_SQL}') AS k
+       FROM (SELECT *, replace(replace(raw, '<0x0A>', chr(10)), ' | ', chr(9)) || chr(10) AS t FROM predictions_xyxy)),
+yl AS (SELECT *, length(array_to_string(k, '')) <> length(t) AS broken,
+              string_split(array_to_string(list_transform(k, lambda v: CASE WHEN right(v, 1) = chr(9) THEN left(v, length(v) - 1) || chr(1)
+                                                                       ELSE left(v, length(v) - 1) || chr(2) END), ''), chr(2)) AS ls FROM yt),
+y0 AS (SELECT image_id, image_path, chart_type, raw, broken,
+              CASE WHEN NOT broken THEN list_transform(list_filter(ls[1:len(ls) - 1], lambda r: NOT regexp_full_match(r, ' *')),
+                  lambda r: list_transform(string_split(r, chr(1)), lambda c: CASE WHEN left(c, 1) = '"'
+                      THEN replace(regexp_extract(c, '(?s)^"((?:[^"]|"")*)"(.*)$', 1), '""', '"') || regexp_extract(c, '(?s)^"((?:[^"]|"")*)"(.*)$', 2) ELSE c END)) END AS cells
+       FROM yl),
 yw AS (SELECT *, greatest(coalesce(len(cells[1]), 2), 2) AS w FROM y0),
-y1 AS (SELECT *, len(list_filter(cells, lambda c: len(c) > w)) > 0 AS bad,
+y1 AS (SELECT *, broken OR coalesce(len(list_filter(cells, lambda c: len(c) > w)), 0) > 0 AS bad,
               list_transform(cells, lambda c: {_norm_cell('c[w - 1]')}) AS xn,
               list_transform(cells, lambda c: {_norm_cell('c[w]')}) AS yn
        FROM yw),
@@ -135,11 +145,6 @@ def q_clean_xxyy(spark, sf_dir):
     return c.select("image_id", "chart_type", "error", "x_series", "y_series")
 
 
-@register("submission_xxyy", sql=_with(["predictions"], _DEC_XXYY, _MELT))
-def q_submission_xxyy(spark, sf_dir):
-    return I.submission(I.cleaned_xxyy(fx.predictions(spark, sf_dir)))
-
-
 @register("decode_xyxy", sql=_with(["predictions_xyxy"], _DEC_XYXY, """
 SELECT image_id, NOT bad AS ok, array_to_string(xs, ';') AS xs_text, array_to_string(ys, ';') AS ys_text FROM y2"""))
 def q_decode_xyxy(spark, sf_dir):
@@ -155,11 +160,6 @@ def q_clean_xyxy(spark, sf_dir):
     return c.select("image_id", "chart_type", "error", "x_series", "y_series")
 
 
-@register("submission_xyxy", sql=_with(["predictions_xyxy"], _DEC_XYXY, _MELT))
-def q_submission_xyxy(spark, sf_dir):
-    return I.submission(I.cleaned_xyxy(fx.predictions_xyxy(spark, sf_dir)))
-
-
 @register("melt_xy", sql=fx.with_views(["labelled"], """
 SELECT CAST(image_id AS VARCHAR) || '_x' AS id, xs_text AS data_series, chart_type FROM labelled
 UNION ALL SELECT CAST(image_id AS VARCHAR) || '_y', ys_text, chart_type FROM labelled"""))
@@ -182,13 +182,6 @@ def q_route_counts(spark, sf_dir):
     return c.groupBy(route_of("chart_type").alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("routed_union", sql=_with(["predictions"], _DEC_XXYY, f"""
-SELECT image_id, {_ROUTE_SQL} AS route, chart_type, ok FROM dec"""))
-def q_routed_union(spark, sf_dir):
-    p = fx.predictions(spark, sf_dir).withColumn("route", route_of("chart_type"))
-    return p.select("image_id", "route", "chart_type", decode_xxyy("raw").isNotNull().alias("ok"))
-
-
 @register("join_predictions", sql=fx.with_views(["charts", "predictions"], """
 SELECT c.image_id, regexp_extract(c.image_path, '[^/]*$') AS image_name, p.chart_type, c.source,
        CAST(length(p.raw) AS BIGINT) AS raw_length
@@ -296,3 +289,96 @@ def q_map_to_rows(spark, sf_dir):
     c = fx.charts(spark, sf_dir)
     m = c.select(F.create_map(F.col("image_path"), F.lit(K.DEFAULT_CLASS)).alias("m"))
     return m.select(F.explode("m").alias("filename", "chart_type"))
+
+
+# ------------------------------------------------- listing -> submission ------
+
+def _text(v: float) -> str:
+    return str(int(v)) if v == int(v) else str(v)
+
+
+def _label(xs, ys, middle: str = K.XXYY_MIDDLE, end: str = K.Y_END) -> str:
+    return K.X_START + ";".join(map(_text, xs)) + middle + ";".join(map(_text, ys)) + end
+
+
+def horizontal_model():
+    """Stand-in series model: reads its series off the first row of the image."""
+    return lambda px, prompt=None: px.map(lambda p: _label(p[:4], p[4:8]))
+
+
+def scatter_line_model():
+    """Stand-in series model of another dialect: tight middle, no end mark, one y too few."""
+    return lambda px, prompt=None: px.map(lambda p: _label(p[8:12], p[12:15], K.XXYY_MIDDLE_TIGHT, ""))
+
+
+def default_model():
+    """Stand-in series model over 4 x 4 images; refuses dark ones."""
+    def model(px, prompt=None):
+        if any(len(p) != 16 for p in px):
+            raise RuntimeError("not a 4 x 4 image")
+        if any(p[0] < 40 for p in px):
+            raise ValueError("dark image")
+        return px.map(lambda p: _label(p[:3], p[3:7]))
+    return model
+
+
+SERIES_MODELS = {K.ROUTE_HORIZONTAL: horizontal_model, K.ROUTE_SCATTER_LINE: scatter_line_model, K.ROUTE_DEFAULT: default_model}
+SERIES_INPUTS = {K.ROUTE_DEFAULT: lambda px: resize_plane(px, 8, 8, 4, 4)}
+
+
+def xyxy_model():
+    """Stand-in model for point rows: N/A, a third cell, a quoted cell and a missing y, by the first value."""
+    def one(p):
+        kind = int(p[0]) % 6
+        first = "N/A" if kind == 1 else f'"{_text(p[0])}"' if kind == 2 else _text(p[0])
+        last = _text(p[4]) + ("" if kind == 3 else f" | {_text(p[5])}") + (" | 9" if kind == 4 else "")
+        return K.XYXY_NEWLINE.join([f"{first} | {_text(p[1])} ", f" {_text(p[2])} | {_text(p[3])} ", f" {last}"])
+    return lambda px, prompt=None: px.map(one)
+
+
+_TXT = "list_transform({v}, lambda v: CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END)"
+_LABEL_SQL = "'<x_start>' || array_to_string(" + _TXT.format(v="{x}") + ", ';') || '{m}' || array_to_string(" + _TXT.format(v="{y}") + ", ';') || '{e}'"
+_AT = "small[{i}]"
+_CHAIN_BASE = f""",
+listed AS (SELECT *, list_transform(px, lambda v: (v / 255.0 - 0.5) / 0.5) AS xn FROM chart_images WHERE contains(regexp_extract(image_path, '[^/]*$'), '.jpg')),
+classed AS (SELECT image_id, image_path, px, {_NAMES_SQL}[list_position(lg, list_max(lg))] AS chart_type
+            FROM (SELECT *, [{', '.join(_linear_logits_sql('xn', 64))}] AS lg FROM listed)),
+prepared AS (SELECT *, {_ROUTE_SQL} AS route, list_transform(range(16), lambda i:
+                 (px[(i // 4) * 16 + (i % 4) * 2 + 1] * 0.5::DOUBLE + px[(i // 4) * 16 + (i % 4) * 2 + 2] * 0.5::DOUBLE) * 0.5::DOUBLE
+                 + (px[(i // 4) * 16 + (i % 4) * 2 + 9] * 0.5::DOUBLE + px[(i // 4) * 16 + (i % 4) * 2 + 10] * 0.5::DOUBLE) * 0.5::DOUBLE) AS small
+             FROM classed),
+predictions AS (SELECT image_id, image_path, chart_type, route,
+    CASE route WHEN 'horizontal_bar' THEN {_LABEL_SQL.format(x='px[1:4]', y='px[5:8]', m=K.XXYY_MIDDLE, e=K.Y_END)}
+               WHEN 'scatter_line' THEN {_LABEL_SQL.format(x='px[9:12]', y='px[13:15]', m=K.XXYY_MIDDLE_TIGHT, e='')}
+               ELSE CASE WHEN small[1] >= 40 THEN {_LABEL_SQL.format(x='small[1:3]', y='small[4:7]', m=K.XXYY_MIDDLE, e=K.Y_END)} END END AS raw,
+    CASE WHEN route = 'all' AND small[1] < 40 THEN 'ValueError: dark image' END AS failure
+    FROM prepared)"""
+
+
+@register("routed_union", sql=_with(["chart_images"], _CHAIN_BASE, """
+SELECT image_path, route, chart_type, raw, failure AS error FROM predictions"""))
+def q_routed_union(spark, sf_dir):
+    """Three models with inputs of their own (only the default one's is resized), in one pass."""
+    return I.routed_texts(fx.chart_images(spark, sf_dir), linear_scorer_factory(5, 64), SERIES_MODELS, SERIES_INPUTS) \
+        .select("image_path", "route", "chart_type", "raw", "error")
+
+
+@register("submission_xxyy", sql=_with(["chart_images"], _CHAIN_BASE + _DEC_XXYY, _MELT))
+def q_submission_xxyy(spark, sf_dir):
+    """Q2: listing -> class model -> route -> series models -> decode -> clean -> two rows an image."""
+    texts = I.routed_texts(fx.chart_images(spark, sf_dir), linear_scorer_factory(5, 64), SERIES_MODELS, SERIES_INPUTS)
+    return I.submission(I.cleaned_xxyy(texts))
+
+
+_XYXY_SQL = f""",
+predictions_xyxy AS (SELECT image_id, image_path, chart_type,
+    CASE k WHEN 1 THEN 'N/A' WHEN 2 THEN '"' || t[1] || '"' ELSE t[1] END || ' | ' || t[2] || ' <0x0A> ' || t[3] || ' | ' || t[4] || ' <0x0A> '
+    || t[5] || CASE WHEN k = 3 THEN '' ELSE ' | ' || t[6] END || CASE WHEN k = 4 THEN ' | 9' ELSE '' END AS raw
+    FROM (SELECT *, CAST(px[1] AS BIGINT) % 6 AS k, {_TXT.format(v='px[1:6]')} AS t FROM classed))"""
+
+
+@register("submission_xyxy", sql=_with(["chart_images"], _CHAIN_BASE.split(",\nprepared AS")[0] + _XYXY_SQL + _DEC_XYXY, _MELT))
+def q_submission_xyxy(spark, sf_dir):
+    """Q3: listing -> class model -> one series model -> decode the point rows -> clean -> two rows an image."""
+    texts = I.routed_texts(fx.chart_images(spark, sf_dir), linear_scorer_factory(5, 64), {K.ROUTE_DEFAULT: xyxy_model}, route=lambda _: F.lit(K.ROUTE_DEFAULT))
+    return I.submission(I.cleaned_xyxy(texts))

@@ -53,15 +53,10 @@ def extra_sample(spark: SparkSession, sf_dir: str, n: int = 80_000, seed: int =
 
 def rule_logits(z: Column, epoch: Column, n_classes: int = 5, n_features: int = 64) -> Column:
     """Linear test scorer: logit_c = sum_j z[j] * (((c*13 + j*7 + epoch*5) % 11) - 5) / 10."""
-    def logits(e: int) -> Column:
-        weights = [F.array(*[F.lit((((c * 13 + j * 7 + e * 5) % 11) - 5) / 10.0) for j in range(n_features)]) for c in range(n_classes)]
-        return F.array(*[F.aggregate(F.zip_with(z, w, lambda v, x: v * x), F.lit(0.0), lambda acc, v: acc + v) for w in weights])
-
-    # the weights repeat every 11 epochs
-    out = logits(0)
-    for e in range(1, 11):
-        out = F.when(epoch % 11 == e, logits(e)).otherwise(out)
-    return out
+    # the weights repeat every 11 epochs: one constant, indexed by the epoch
+    weights = F.lit([[[(((c * 13 + j * 7 + e * 5) % 11) - 5) / 10.0 for j in range(n_features)] for c in range(n_classes)] for e in range(11)])
+    own = F.get(weights, (epoch % 11).cast("int"))
+    return F.transform(own, lambda w: F.aggregate(F.zip_with(z, w, lambda v, x: v * x), F.lit(0.0), lambda acc, v: acc + v))
 
 
 def classifier_eval(spark: SparkSession, sf_dir: str, epochs: int = 5, batch_size: int = 64) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from plotrows import constants as K
 from plotrows.functions.numbers import argmax
 from plotrows.operators import metrics as M
 from plotrows.operators.folds import positional_split
+from plotrows.operators.hooks import collate_batches, transform_rows
 from plotrows.operators.sampling import batch_assign, head_n, shuffle, shuffle_limit
 from plotrows.operators.scoring import softmax_ce
 from plotrows.plans import training as TR
@@ -53,17 +57,32 @@ def q_train_valid_prep(spark, sf_dir):
     return TR.train_valid_prep(spark, sf_dir)
 
 
-@register("extra_sample", sql=_head(["extra_metadata"]) + f""",
+_EXTRA_SQL = _head(["extra_metadata"]) + f""",
 tr AS (SELECT file_name, chart_type, row_number() OVER (ORDER BY {md5_key('file_name')}, file_name) - 1 AS shuffle_rank
-       FROM extra_metadata WHERE validation = 0 AND chart_type IS DISTINCT FROM 'scatter')
-SELECT file_name, chart_type, shuffle_rank, 'train' AS split FROM tr WHERE shuffle_rank < {SAMPLE_N}
+       FROM extra_metadata WHERE validation = 0 AND {{keep}})
+SELECT file_name, chart_type, shuffle_rank, 'train' AS split FROM tr WHERE shuffle_rank < {{n}}
 UNION ALL
 SELECT file_name, chart_type, CAST(NULL AS BIGINT), 'valid' FROM extra_metadata
-WHERE validation = 1 AND chart_type IS DISTINCT FROM 'scatter'""")
+WHERE validation = 1 AND {{keep}}"""
+
+
+@register("extra_sample", sql=_EXTRA_SQL.format(n=SAMPLE_N, keep="chart_type IS DISTINCT FROM 'scatter'"))
 def q_extra_sample(spark, sf_dir):
     return TR.extra_sample(spark, sf_dir, SAMPLE_N)
 
 
+@register("extra_sample_short", sql=_EXTRA_SQL.format(n=SHORT_N, keep="chart_type IS DISTINCT FROM 'scatter'"))
+def q_extra_sample_short(spark, sf_dir):
+    """Q5 with a limit below the number of rows at every scale."""
+    return TR.extra_sample(spark, sf_dir, SHORT_N)
+
+
+@register("single_class_sample", sql=_EXTRA_SQL.format(n=100, keep="chart_type = 'horizontal_bar'"))
+def q_single_class_sample(spark, sf_dir):
+    """the extra sample of one class."""
+    return TR.extra_sample(spark, sf_dir, 100, only="horizontal_bar")
+
+
 @register("flag_split", sql=fx.with_views(["extra_metadata"], """
 SELECT file_name, validation, chart_type, CASE WHEN validation = 0 THEN 'train' ELSE 'valid' END AS split
 FROM extra_metadata WHERE chart_type IS DISTINCT FROM 'scatter' AND validation IN (0, 1)"""))
@@ -200,7 +219,7 @@ def q_accuracy(spark, sf_dir):
 , b AS (SELECT id, px, (row_number() OVER (ORDER BY id) - 1) // 64 AS batch_id FROM pixels),
 st AS (SELECT batch_id, avg(v) AS mean, stddev_samp(v) AS std FROM (SELECT batch_id, unnest(px) AS v FROM b) GROUP BY batch_id)
 SELECT b.id, b.batch_id, round(st.mean, 6) AS batch_mean, round(st.std, 6) AS batch_std,
-       round((list_sum(px) / len(px) - st.mean) / st.std, 6) AS z_mean
+       round(CASE WHEN st.std > 0 THEN (list_sum(px) / len(px) - st.mean) / st.std ELSE 0 END, 6) AS z_mean
 FROM b JOIN st USING (batch_id)""").replace("\n\n, b AS", ", b AS").replace("embeddings)\n, b AS", "embeddings), b AS"))
 def q_batch_standardize(spark, sf_dir):
     px = fx.pixels(spark, sf_dir).select("id", "px")
@@ -210,19 +229,21 @@ def q_batch_standardize(spark, sf_dir):
     j = px.select("id", "batch_id", (s1 / n).alias("_m")).join(stats, "batch_id")
     return j.select("id", "batch_id", F.round("batch_mean", 6).alias("batch_mean"),
                     F.round("batch_std", 6).alias("batch_std"),
-                    F.round((F.col("_m") - F.col("batch_mean")) / F.col("batch_std"), 6).alias("z_mean"))
+                    F.round(M.standard_score(F.col("_m"), F.col("batch_mean"), F.col("batch_std")), 6).alias("z_mean"))
 
 
 @register("pixel_normalize", sql=fx.with_views(["pixels"], """
 SELECT id, CAST(len(xn) AS BIGINT) AS n, round(list_sum(xn) / len(xn), 6) AS mean,
-       round(list_min(xn), 6) AS min_value, round(list_max(xn), 6) AS max_value
+       round(list_min(xn), 6) AS min_value, round(list_max(xn), 6) AS max_value,
+       md5(array_to_string(list_transform(xn, lambda v: CAST(floor(v * 1000000) AS BIGINT)), ',')) AS values_md5
 FROM (SELECT id, list_transform(px, lambda v: (v / 255.0 - 0.5) / 0.5) AS xn FROM pixels)"""))
 def q_pixel_normalize(spark, sf_dir):
     px = fx.pixels(spark, sf_dir)
     xn = F.transform("px", lambda v: (v / 255.0 - 0.5) / 0.5)
     n, s1 = M.array_moments(xn)
     return px.select("id", n.alias("n"), F.round(s1 / n, 6).alias("mean"),
-                     F.round(F.array_min(xn), 6).alias("min_value"), F.round(F.array_max(xn), 6).alias("max_value"))
+                     F.round(F.array_min(xn), 6).alias("min_value"), F.round(F.array_max(xn), 6).alias("max_value"),
+                     F.md5(F.array_join(F.transform(xn, lambda v: F.floor(v * 1000000).cast("string")), ",")).alias("values_md5"))
 
 
 @register("softmax_ce", sql=fx.with_views(["scores"], """
@@ -246,7 +267,8 @@ _PAD = K.MAX_LABEL_TOKENS
 SELECT id, CAST(len(ids) AS BIGINT) AS n_tokens, CAST(least(len(ids), {_PAD}) AS BIGINT) AS n_kept,
        CAST(greatest({_PAD} - len(ids), 0) AS BIGINT) AS n_pad, len(ids) > {_PAD} AS truncated,
        coalesce(ids[1], '{K.PAD_TOKEN}') AS first_token,
-       CASE WHEN len(ids) >= {_PAD} THEN ids[{_PAD}] ELSE '{K.PAD_TOKEN}' END AS last_token
+       CASE WHEN len(ids) >= {_PAD} THEN ids[{_PAD}] ELSE '{K.PAD_TOKEN}' END AS last_token,
+       md5(array_to_string(list_concat(ids[1:{_PAD}], list_transform(range({_PAD} - len(ids)), lambda i: '{K.PAD_TOKEN}')), ' ')) AS padded_md5
 FROM tokens"""))
 def q_pad_truncate(spark, sf_dir):
     t = fx.tokens(spark, sf_dir)
@@ -255,7 +277,8 @@ def q_pad_truncate(spark, sf_dir):
                     F.least(F.size("ids"), F.lit(_PAD)).cast("long").alias("n_kept"),
                     F.greatest(F.lit(_PAD) - F.size("ids"), F.lit(0)).cast("long").alias("n_pad"),
                     (F.size("ids") > _PAD).alias("truncated"),
-                    F.get(padded, 0).alias("first_token"), F.get(padded, _PAD - 1).alias("last_token"))
+                    F.get(padded, 0).alias("first_token"), F.get(padded, _PAD - 1).alias("last_token"),
+                    F.md5(F.array_join(padded, " ")).alias("padded_md5"))
 
 
 @register("collate", sql=_head(["tokens"]) + f""",
@@ -266,18 +289,46 @@ SELECT batch_id, count(*) AS n_rows, string_agg(CAST(id AS VARCHAR), ',' ORDER B
        md5(string_agg(array_to_string(padded, ' '), '|' ORDER BY id)) AS padded_md5
 FROM p GROUP BY batch_id""")
 def q_collate(spark, sf_dir):
-    """Ids alone are numbered; the kept tokens join back, and a batch is padded after it is collated."""
+    """A caller's collate function for every batch; ids alone are numbered, the kept tokens join back."""
     t = fx.tokens(spark, sf_dir)
     batches = batch_assign(t.select("id"), [F.col("id")], 8).select("id", "batch_id")
     rows = t.select("id", F.slice("ids", 1, _PAD).alias("kept")).join(batches, "id")
-    g = rows.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("id", "kept"))).alias("rows"))
-    padded = F.transform("rows", lambda r: F.slice(F.concat(r["kept"], F.array_repeat(F.lit(K.PAD_TOKEN), _PAD)), 1, _PAD))
-    sizes = F.transform("rows", lambda r: F.size(r["kept"]).cast("long"))
-    return g.select("batch_id", F.size("rows").cast("long").alias("n_rows"),
-                    F.array_join(F.transform("rows", lambda r: r["id"].cast("string")), ",").alias("ids_text"),
-                    F.array_max(sizes).alias("max_kept"),
-                    F.aggregate(sizes, F.lit(0).cast("long"), lambda a, v: a + v).alias("total_kept"),
-                    F.md5(F.array_join(F.transform(padded, lambda x: F.array_join(x, " ")), "|")).alias("padded_md5"))
+    return collate_batches(rows, pad_collate, "batch_id", ["id"], ["kept"],
+                           "n_rows long, ids_text string, max_kept long, total_kept long, padded_md5 string", max_rows=8)
+
+
+def pad_collate():
+    """A collate function as a caller would write it: every row padded to the same length, digested."""
+    def call(rows):
+        ids, kept = rows["id"].to_pylist(), rows["kept"].to_pylist()
+        padded = "|".join(" ".join(k + [K.PAD_TOKEN] * (_PAD - len(k))) for k in kept)
+        return {"n_rows": [len(ids)], "ids_text": [",".join(map(str, ids))], "max_kept": [max(map(len, kept))],
+                "total_kept": [sum(map(len, kept))], "padded_md5": [hashlib.md5(padded.encode()).hexdigest()]}
+    return call
+
+
+@register("row_transform", sql=_head(["pixels"]) + """
+SELECT id, CASE WHEN raw_label % 5 = 3 THEN 'ValueError: no augmentation for this label' END AS error,
+       CASE WHEN raw_label % 5 <> 3 THEN list_max(px) - list_min(px) END AS contrast,
+       CASE WHEN raw_label % 5 <> 3 THEN md5(array_to_string(list_transform(range(64), lambda j:
+            CAST(floor(px[(j // 8) * 8 + 8 - j % 8] * 1000000) AS BIGINT)), ',')) END AS flipped_md5
+FROM pixels""")
+def q_row_transform(spark, sf_dir):
+    """2.12: a caller's per-row transform; the rows it rejects go to ``error``."""
+    px = fx.pixels(spark, sf_dir)
+    out = transform_rows(px, mirror_transform, ["px", "raw_label"], "flipped array<double>, contrast double")
+    text = F.array_join(F.transform("flipped", lambda v: F.floor(v * 1000000).cast("string")), ",")
+    return out.select("id", "error", "contrast", F.when(F.col("error").isNull(), F.md5(text)).alias("flipped_md5"))
+
+
+def mirror_transform():
+    """An augmentation as a caller would write it: 8 x 8 images mirrored, one label refused."""
+    def call(batch):
+        if any(v % 5 == 3 for v in batch["raw_label"].to_pylist()):
+            raise ValueError("no augmentation for this label")
+        px = np.stack(batch["px"].to_numpy(zero_copy_only=False)).reshape(-1, 8, 8)
+        return {"flipped": list(px[:, :, ::-1].reshape(-1, 64)), "contrast": px.max((1, 2)) - px.min((1, 2))}
+    return call
 
 
 _SCORE_CLASS = "[" + ", ".join(f"'{n}'" for n in K.CHART_TYPES) + "][label + 1]"
@@ -307,7 +358,7 @@ v AS (SELECT id, CAST(raw_label % 5 AS INTEGER) AS label,
              (row_number() OVER (ORDER BY id) - 1) // 64 AS batch_id
       FROM pixels WHERE id % 10 = 0),
 st AS (SELECT batch_id, avg(x) AS mean, stddev_samp(x) AS std FROM (SELECT batch_id, unnest(xn) AS x FROM v) GROUP BY batch_id),
-z AS (SELECT v.id, v.label, v.batch_id, list_transform(v.xn, lambda x: (x - st.mean) / st.std) AS z
+z AS (SELECT v.id, v.label, v.batch_id, list_transform(v.xn, lambda x: CASE WHEN st.std > 0 THEN (x - st.mean) / st.std ELSE 0 END) AS z
       FROM v JOIN st USING (batch_id)),
 ep AS (SELECT z.*, unnest(range(5)) AS epoch FROM z),
 lg AS (SELECT id, label, batch_id, epoch, {_rule_logits_sql('z', 'epoch')} AS logits FROM ep),

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from plotrows import constants as K
 from plotrows.functions.series import encode_xxyy, encode_xyxy
-from plotrows.operators.ordering import ordered_scan
-from plotrows.operators.series import attach_series, collect_series
+from plotrows.operators.series import attach_series
 
 # this repository's stand-in: order priorities as chart classes
 PRIORITY_TO_TYPE = {
@@ -58,21 +57,25 @@ def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, n_points, gts): one grouping by chart; a point's position is its place in the sorted series."""
+    li = table(spark, sf_dir, "lineitem")
+    y = ((F.col("l_extendedprice").cast("decimal(18,2)") * (F.lit(1) + F.col("l_tax")).cast("decimal(6,2)")
+          * (F.lit(1) - F.col("l_discount")).cast("decimal(6,2)")).cast("decimal(28,6)").cast("string"))
+    sort_key = [F.col(c) for c in POINT_ORDER]
+    series = li.groupBy(F.col("l_orderkey").alias("image_id")).agg(
+        F.sort_array(F.collect_list(F.struct(*sort_key, y.alias("y")))).alias("_points"))
+    point = lambda p, i: F.struct((i + 1).cast("int").alias("pos"), p["l_linenumber"].cast("string").alias("x"), p["y"].alias("y"))
+    return series.select("image_id", F.transform("_points", point).alias("gts"), F.size("_points").cast("long").alias("n_points"))
+
+
 def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *POINT_ORDER)
-    ranked = ordered_scan(li, order_by=POINT_ORDER, group_by=["l_orderkey"], rank_col="_r")
-    return ranked.select(
-        F.col("l_orderkey").alias("image_id"),
-        (F.col("_r") + 1).cast("int").alias("pos"),
-        F.col("l_linenumber").cast("string").alias("x"),
-        (F.col("l_extendedprice").cast("decimal(18,2)") * (F.lit(1) + F.col("l_tax")).cast("decimal(6,2)")
-         * (F.lit(1) - F.col("l_discount")).cast("decimal(6,2)")).cast("decimal(28,6)").cast("string").alias("y"),
-    )
+    return chart_series(spark, sf_dir).select("image_id", F.inline("gts"))
 
 
 def charts_with_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """charts + ``gts`` (ordered series) + ``n_points``."""
-    return attach_series(charts(spark, sf_dir), collect_series(chart_points(spark, sf_dir)))
+    return attach_series(charts(spark, sf_dir), chart_series(spark, sf_dir))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +104,14 @@ def damage_xxyy(label: F.Column, kind: F.Column) -> F.Column:
             .otherwise(F.lit("")))
 
 
-def damage_xyxy(label: F.Column, kind: F.Column) -> F.Column:
-    """xyxy damage by kind 0..6: missing last y, N/A first x, a three-cell row,
-    a thousands separator, blank rows, empty text."""
-    return (F.when(kind == 0, label)
+def damage_xyxy(label: F.Column, key: F.Column) -> F.Column:
+    """xyxy damage: missing last y, N/A first x, a three-cell row, a thousands separator,
+    blank rows, empty text; quoted separators, true/false words, a quote that is never closed."""
+    kind, more = key % 7, key % 11
+    return (F.when(more == 5, F.regexp_replace(label, "^([^|]*) \\| ", '"$1 | ""q"" <0x0A>r" | '))
+            .when(more == 7, F.concat(F.lit("true | 1<0x0A>FALSE | 2<0x0A>True | "), F.regexp_replace(label, "^[^|]* \\| | <0x0A> .*$", "")))
+            .when(more == 9, F.concat(F.lit('"'), label))
+            .when(kind == 0, label)
             .when(kind == 1, F.regexp_replace(label, " \\| [^|]*$", ""))
             .when(kind == 2, F.regexp_replace(label, "^[^|]* \\| ", "N/A | "))
             .when(kind == 3, F.concat(label, F.lit(" | 9")))
@@ -122,7 +129,15 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions_xyxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select(
         "image_id", "image_path", "chart_type",
-        damage_xyxy(F.col("label_xyxy"), F.col("image_id") % 7).alias("raw"))
+        damage_xyxy(F.col("label_xyxy"), F.col("image_id")).alias("raw"))
+
+
+def chart_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing with decoded images: (image_path, px: 8 x 8 grey values from the series' hash)."""
+    h = F.md5("label_xxyy")
+    code = lambda j: F.ascii(F.substr(h, j % 32 + 1, F.lit(1)))
+    return labelled(spark, sf_dir).select(
+        "image_path", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: (code(j) * (2 * j + 3) % 256).cast("double")).alias("px"))
 
 
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,6 +230,9 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
         FROM labelled"""),
     "predictions_xyxy": (["labelled"], """
         SELECT image_id, image_path, chart_type,
+               CASE image_id % 11 WHEN 5 THEN regexp_replace(label_xyxy, '^([^|]*) \\| ', '"\\1 | ""q"" <0x0A>r" | ')
+                 WHEN 7 THEN 'true | 1<0x0A>FALSE | 2<0x0A>True | ' || regexp_replace(label_xyxy, '^[^|]* \\| | <0x0A> .*$', '', 'g')
+                 WHEN 9 THEN '"' || label_xyxy ELSE
                CASE image_id % 7
                  WHEN 0 THEN label_xyxy
                  WHEN 1 THEN regexp_replace(label_xyxy, ' \\| [^|]*$', '')
@@ -222,7 +240,11 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
                  WHEN 3 THEN label_xyxy || ' | 9'
                  WHEN 4 THEN regexp_replace(label_xyxy, ' \\| [^|]*$', ' | 1,000')
                  WHEN 5 THEN replace(label_xyxy, ' <0x0A> ', ' <0x0A>  <0x0A> ')
-                 ELSE '' END AS raw
+                 ELSE '' END END AS raw
+        FROM labelled"""),
+    "chart_images": (["labelled"], """
+        SELECT image_id, image_path,
+               list_transform(range(64), lambda j: CAST((ascii(substr(md5(label_xxyy), CAST(j % 32 + 1 AS INTEGER), 1)) * (2 * j + 3)) % 256 AS DOUBLE)) AS px
         FROM labelled"""),
     "metric_log": ([], """
         SELECT user_id % 3 AS run, date_trunc('day', ts) AS epoch, event_id AS step,

@@ -48,11 +48,22 @@ def test_annotation_round_trip_through_json(spark, sf_small):
     """charts -> JSON Lines (y as numbers) -> scan -> series: x kept as text, y printed as Python floats."""
     from collections import Counter
 
-    from plotrows.plans.source_queries import write_annotations
+    from plotrows.plans.source_queries import write_annotation_lines
     from plotrows.sources.files import scan_annotations
-    path = write_annotations(spark, sf_small)
+    path = write_annotation_lines(spark, sf_small)
     got = Counter((r.chart_type, r.source, tuple(p.x for p in r.gts), tuple(p.y for p in r.gts))
                   for r in scan_annotations(spark, path, multi_line=False).collect())
     want = Counter((w.chart_type, w.source, tuple(p.x for p in w.gts), tuple(repr(float(p.y)) for p in w.gts))
                    for w in fx.charts_with_series(spark, sf_small).collect())
     assert got == want
+
+
+def test_a_class_outside_the_map_raises_when_strict(spark):
+    import pytest
+
+    from plotrows.plans.inference_queries import class_index
+    df = spark.createDataFrame([("line",), ("dot",)], "chart_type string")
+    assert [r.i for r in df.select(class_index("chart_type").alias("i")).collect()] == [3, 0]
+    for bad in ("pie", "", None):
+        with pytest.raises(Exception, match="unknown class"):
+            spark.createDataFrame([(bad,)], "chart_type string").select(class_index("chart_type").alias("i")).collect()

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotrows.operators.images import image_prep, png_bytes, prep_image, resize_bilinear
+from plotrows.operators.images import byte_values, image_prep, png_bytes
 from plotrows.sources import files, sinks
 
 EDGE_VALUES = ["1.10", "1e5", "1E-7", "1.0", "100000000000000000000", "true", "null", "NaN", '"1.10"',
@@ -68,6 +68,58 @@ def test_corpus_sink_partitions_by_fold(spark, tmp_path):
     assert json.loads(txt) == [{"pos": 1, "x": "a", "y": "1"}]
 
 
+def test_corpus_reads_only_the_folds_asked_for(spark, tmp_path):
+    rows = [(i, i % 5, "line" if i % 3 else None, "" if i % 2 else 'q"uote,\ttab', [(1, 'x"1', "2;3")]) for i in range(40)]
+    df = spark.createDataFrame(rows, "image_id long, fold int, types string, label string, gts array<struct<pos:int,x:string,y:string>>")
+    out, csv = str(tmp_path / "corpus"), str(tmp_path / "csv")
+    sinks.write_corpus(df, out)
+    valid = files.read_corpus(spark, out, folds=[0])
+    assert {r.image_id for r in valid.collect()} == {i for i in range(40) if i % 5 == 0}
+    assert all("/fold=0/" in r.p for r in valid.select(F.col("_metadata.file_path").alias("p")).collect())
+    plan = valid._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(fold" in plan or "PartitionFilters: [fold" in plan
+    sinks.write_corpus_csv(files.read_corpus(spark, out), csv)
+    back = files.read_corpus_csv(spark, csv, "image_id long, types string, label string, gts string, fold int")
+    got = {r.image_id: (r.fold, r.types, r.label, [tuple(p) for p in r.gts]) for r in back.collect()}
+    assert got == {i: (f, t, lab or None, g) for i, f, t, lab, g in rows}
+
+
+def test_reading_folds_of_an_unpartitioned_table_is_an_error(spark, tmp_path):
+    spark.range(3).withColumn("fold", F.lit(0)).write.parquet(str(tmp_path / "flat"))
+    with pytest.raises(ValueError, match="not partitioned"):
+        files.read_corpus(spark, str(tmp_path / "flat"), folds=[0])
+
+
+def test_a_metric_batch_counts_once(spark, tmp_path):
+    schema = "run long, epoch timestamp_ntz, step long, metric string, value double"
+    rows = [spark.createDataFrame([(1, None, s, "loss", float(s)) for s in range(k, k + 5)], schema) for k in (0, 5)]
+    log = str(tmp_path / "log")
+    assert [sinks.append_metrics(rows[i], log, f"b{i}") for i in (0, 1, 0, 1)] == [True, True, False, False]
+    (tmp_path / "log" / "batch=b2" / "_temporary").mkdir(parents=True)  # a writer that died
+    assert sinks.append_metrics(rows[0], log, "b2")
+    back = sinks.read_metrics(spark, log, schema)
+    assert sorted((r.batch, r.step) for r in back.collect()) == sorted([("b0", s) for s in range(5)] + [("b1", s) for s in range(5, 10)] + [("b2", s) for s in range(5)])
+
+
+def test_files_are_written_one_by_one_and_found_by_id(spark, tmp_path):
+    doc = '{"source": "s", "chart-type": "dot", "data-series": [{"x": "1.10", "y": 1.10}, {"y": "\\"x\\": \\"t", "x": null}], "extra": {"x": "no"}}'
+    df = spark.createDataFrame([(f"train/annotations/{i % 2}/c{i}.v2.json", doc) for i in range(6)], "name string, doc string")
+    root = str(tmp_path / "charts")
+    sizes = {r.name: r.n_bytes for r in sinks.write_files(df, "name", "doc", root).collect()}
+    assert set(sizes.values()) == {len(doc)}
+    sinks.write_files(df, "name", "doc", "file:" + root).collect()  # again, by URI
+    rows = files.scan_annotations(spark, root, recursive=True).collect()
+    assert sorted((r.record_id, r.relative_path) for r in rows) == [(f"c{i}", f"train/annotations/{i % 2}/c{i}.v2.json") for i in range(6)]
+    assert {tuple((p.x, p.y) for p in r.gts) for r in rows} == {(("1.10", "1.1"), ("None", '"x": "t'))}
+
+
+def test_relative_path(spark):
+    df = spark.createDataFrame([("file:///a/b/c/d.json",), ("hdfs://host:9000/a/b/e.json",), ("file:/z/f.json",)], "p string")
+    got = [r.r for r in df.select(files.relative_path("p", "/a/b/").alias("r")).collect()]
+    assert got == ["c/d.json", "e.json", "file:/z/f.json"]
+    assert df.select(files.relative_path("p", "hdfs://host:9000/a").alias("r")).collect()[1].r == "b/e.json"
+
+
 def _png(path, arr):
     path.write_bytes(png_bytes(arr))
 
@@ -104,3 +156,37 @@ def test_resize_bilinear_identity_and_halving():
     assert np.allclose(resize_bilinear(img, 6, 8), img)
     half = resize_bilinear(img, 3, 4)
     assert np.allclose(half[0, 0], img[0:2, 0:2].mean(axis=(0, 1)))
+
+
+def resize_bilinear(img, out_h, out_w):
+    """Plain bilinear resize with half-pixel centres and edge clamping."""
+    h, w = img.shape[:2]
+    out = np.zeros((out_h, out_w, img.shape[2]))
+    for y in range(out_h):
+        for x in range(out_w):
+            py, px = (min(n - 1, max(0, (o + 0.5) * n / m - 0.5)) for o, n, m in ((y, h, out_h), (x, w, out_w)))
+            a, b = int(py), int(px)
+            c, d = min(a + 1, h - 1), min(b + 1, w - 1)
+            out[y, x] = (img[a, b] * (1 - px + b) + img[a, d] * (px - b)) * (1 - py + a) + (img[c, b] * (1 - px + b) + img[c, d] * (px - b)) * (py - a)
+    return out
+
+
+def prep_image(data, height, width, channels, out_h, out_w, mean, std):
+    img = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(float)
+    if channels >= 3:
+        img = np.concatenate([img[:, :, 2::-1], img[:, :, 3:]], axis=2)
+    return ((resize_bilinear(img, out_h, out_w) / 255 - mean) / std).transpose(2, 0, 1).reshape(-1)
+
+
+@pytest.mark.parametrize("channels", [1, 3, 4])
+def test_image_tensor_equals_a_plain_resize(spark, channels):
+    rng = np.random.default_rng(channels)
+    rows = [(f"i{i}", h, w, channels, rng.integers(0, 256, h * w * channels, np.uint8).tobytes()) for i, (h, w) in enumerate([(1, 1), (5, 3), (2, 9), (16, 16)])]
+    df = spark.createDataFrame(rows, "path string, height int, width int, channels int, data binary")
+    for r in image_prep(df, 4, 7, mean=0.4, std=0.2).collect():
+        assert np.allclose(r.tensor, prep_image(bytes(r.data), r.height, r.width, channels, 4, 7, 0.4, 0.2), atol=1e-12)
+
+
+def test_byte_values(spark):
+    df = spark.createDataFrame([(bytes(range(256)) * 2,), (b"",), (b"\x00",)], "data binary")
+    assert [r.v for r in df.select(byte_values("data").alias("v")).collect()] == [list(range(256)) * 2, [], [0]]
