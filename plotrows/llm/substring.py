@@ -152,16 +152,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := [b for b in batches if b.num_rows]) else None
     if t is None:
         return
-    col = {c: t[c].to_numpy() for c in ("id", "key", "start", "n", "anchor", "hash", "times", "hot")}
+    col = {c: t[c].to_numpy() for c in ("id", "key", "anchor", "hash", "packed")}
+    packed = col["packed"]
+    start, n, twice, hot = packed >> 16, packed >> 2 & 0x3FFF, packed >> 1 & 1, (packed & 1).astype(bool)
     _, first, back = np.unique(col["hash"], return_index=True, return_inverse=True)
-    same = np.bincount(back, col["times"])[back] >= 2
+    same = np.bincount(back, 1 + twice)[back] >= 2
     _, group, size = np.unique(col["anchor"][first], return_inverse=True, return_counts=True)
-    shared = (size[group] >= 2)[back] | col["hot"]
+    shared = (size[group] >= 2)[back] | hot
     one = np.zeros(len(same), bool)
     one[first] = True
     kind = np.where(same, np.where(shared & one, COPY, KNOWN), OPEN)
     keep = same | shared
-    yield pa.RecordBatch.from_arrays([pa.array(col[c][keep]) for c in ("id", "key", "start", "n")] + [pa.array(kind[keep].astype(np.int32))], ["id", "key", "start", "n", "kind"])
+    found = (col["id"], col["key"], start.astype(np.int32), n.astype(np.int32), kind.astype(np.int32))
+    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in found], ["id", "key", "start", "n", "kind"])
 
 
 _CANDIDATES = "id long, key long, start int, n int, kind int"
@@ -280,8 +283,10 @@ def stretches(docs: DataFrame, least: int = LEAST, hot_segments: int = HOT, shar
     hot_set = np.sort(np.array([r["anchor"] for r in hot], np.int64).view(_U))
     is_hot = spark.createDataFrame([(r["anchor"], True) for r in hot], "anchor long, hot boolean")
     marked = sent.join(F.broadcast(is_hot), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    met = (marked.select("id", "key", "start", "n", "anchor", "hash", "times", "hot")
-           .repartition(max(at_least, -(-total // HEADERS)), F.when(F.col("hot"), F.col("hash")).otherwise(F.col("anchor")))
+    # first window, number of windows, seen twice in its chunk, hot: one number in the shuffle
+    packed = F.shiftleft(F.col("start").cast("long"), 16) + F.shiftleft("n", 2) + F.when(F.col("times") > 1, 2).otherwise(0) + F.col("hot").cast("int")
+    met = (marked.select("id", "key", "anchor", "hash", packed.alias("packed"))
+           .repartition(max(at_least, -(-total // HEADERS)), F.when(F.col("packed") % 2 == 1, F.col("hash")).otherwise(F.col("anchor")))
            .mapInArrow(_meet, _CANDIDATES))
     more = headers.where((F.col("times") == 0) & F.col("known")).select("id", "key", "start", "n", F.lit(KNOWN).alias("kind"))
     candidates = stored(met.unionByName(more), "segment-candidates")
