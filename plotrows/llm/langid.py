@@ -37,6 +37,7 @@ TOLERANCE = 1.5
 LEAST_EXCESS = 1.5
 _START, _END = 0x5E, 0x24
 UNKNOWN = "und"
+CHUNK_BYTES = 1 << 20
 
 
 @dataclass
@@ -251,10 +252,11 @@ def predict(docs: DataFrame, model: Model, tolerance: float = TOLERANCE, keep: l
     # Only the text goes to Python and only the verdict comes back: rows stay on the JVM side.
     @F.pandas_udf("lang_pred string, score double, bits double, rejected boolean")
     def verdict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        X.release()
         m, known = shared.value, {}
         for texts in series:
             out = [pd.DataFrame({"lang_pred": [], "score": [], "bits": [], "rejected": []}).astype({"lang_pred": object, "rejected": bool})]
-            for _, part in X.chunks(texts):
+            for _, part in X.chunks(texts, CHUNK_BYTES):
                 if not m.langs:
                     out.append(pd.DataFrame({"lang_pred": [UNKNOWN] * len(part), "score": 0.0, "bits": 0.0, "rejected": True}))
                     continue

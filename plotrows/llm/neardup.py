@@ -5,7 +5,8 @@ sketch is the ``SKETCH`` (96) smallest of them -- the whole set if it is no larg
 than twice that.  Two documents are linked if the Jaccard similarity of their sets reaches
 ``percent`` / 100, always decided on the full sets.
 
-1. *Classes*: documents with equal sets are one class; only its smallest id goes on.
+1. *Classes*: documents with equal sets are one class; only one document of it goes on,
+   under a number of the class.
 2. *Inverted lists* of retained values.  Linked documents share at least t values
    of their sketches (exactly known when the sketches are whole sets, else all but
    certain: the binomial tail is below 1e-9), so they share one among the
@@ -26,15 +27,16 @@ the shingles of their whole texts.  Components are found by repeated contraction
 in Spark; no link, component or sketch goes to the driver.
 
 Defined results: null and wordless texts have empty sets, are linked with nothing
-and are kept; rows with one ``doc_id`` are one document; a null ``doc_id`` is a
-component of its own unless its set equals another document's.
+and are kept; rows with one ``doc_id`` are documents each, with the component of their own
+text; rows without ``doc_id`` are linked like others, and a component of such rows alone
+has a null ``component_id``.
 """
 
 from __future__ import annotations
 
 import gc
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -48,6 +50,7 @@ SKETCH = 96
 PERCENT = 80
 STAR_ROUNDS = 1
 CHUNK_BYTES = 1 << 20
+NO_ID = -(1 << 63)          # stands for a null id
 
 
 def shared_values(size: int = SKETCH, percent: int = PERCENT, ratio: float | None = None, risk: float = 1e-9) -> int:
@@ -65,20 +68,31 @@ def shared_values(size: int = SKETCH, percent: int = PERCENT, ratio: float | Non
     return size
 
 
-def sketches(docs: DataFrame, words: int, size: int = SKETCH) -> DataFrame:
-    """doc_id, n (set size), s1, s2 (128-bit sum of the set), sketch (the smallest hashes, or all)."""
+def _sets(part: list[bytes], words: int) -> list[np.ndarray]:
+    """The sorted shingle hashes of every text."""
+    h, _, at = X.shingles(X.words(part), words)
+    return [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _sums(s: np.ndarray) -> tuple[int, int, int]:
+    """Size and a 128-bit sum of a set: equal for equal sets."""
+    return len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(X.mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64))
+
+
+def sketches(docs: DataFrame, words: int, size: int = SKETCH, keep: Sequence[str] = ("id",)) -> DataFrame:
+    """The columns ``keep``, n (set size), s1, s2 (128-bit sum of the set), sketch (the smallest hashes, or all)."""
+    kept = list(keep)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        X.release()
         for f in frames:
             for first, part in X.chunks(f["text"], CHUNK_BYTES):
-                h, _, at = X.shingles(X.words(part), words)
-                sets = [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pd.DataFrame({
-                    "doc_id": f["doc_id"].iloc[first:first + len(part)].to_numpy(),
-                    "n": [len(s) for s in sets],
-                    "s1": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets],
-                    "s2": [int(X.mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) for s in sets],
-                    "sketch": [(s if len(s) <= 2 * size else s[:size]).view(np.int64) for s in sets]})
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, s1 long, s2 long, sketch array<long>")
+                sets = _sets(part, words)
+                n, s1, s2 = (list(x) for x in zip(*map(_sums, sets), strict=True))
+                yield f[kept].iloc[first:first + len(part)].reset_index(drop=True).assign(
+                    n=n, s1=s1, s2=s2, sketch=[(s if len(s) <= 2 * size else s[:size]).view(np.int64) for s in sets])
+    types = ", ".join(f"{c} long" for c in kept)
+    return docs.select(*kept, "text").mapInPandas(run, f"{types}, n long, s1 long, s2 long, sketch array<long>")
 
 
 def _tidy(spark: SparkSession) -> None:
@@ -141,7 +155,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> Data
     return pairs.join(xb, "b").join(xa, "a").mapInPandas(run, "a long, b long, sure boolean")
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _exact(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): the pairs whose full sets reach the similarity."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def full(text: str) -> np.ndarray:
@@ -158,8 +172,18 @@ def _exact(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
                     keep.append(i)
             yield f[["a", "b"]].iloc[keep]
 
+    def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of the texts under one id, those of the class that was asked for."""
+        for f in frames:
+            for first, part in X.chunks(f["text"], CHUNK_BYTES):
+                rows = f.iloc[first:first + len(part)]
+                sums = [_sums(x) for x in _sets(part, words)]
+                yield rows[["id", "doc_id", "text"]][[x == y for x, y in zip(sums, zip(rows["n"], rows["s1"], rows["s2"], strict=True), strict=True)]]
+
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    some = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    asked = sets.select("doc_id", "id", "n", "s1", "s2").join(ids, "doc_id", "left_semi")
+    some = (docs.select("id", "text").join(asked, "id").mapInPandas(own, "id long, doc_id long, text string")
+            .groupBy("doc_id").agg(F.min("text").alias("text")))  # any text of a class has its set
     texts_a = some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     texts_b = some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return pairs.select("a", "b").join(texts_b, "b").join(texts_a, "a").mapInPandas(run, "a long, b long")
@@ -168,7 +192,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
 def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, size: int, percent: int) -> DataFrame:
     judged = reliable_checkpoint(_compare(pairs, sets, size, percent))
     return reliable_checkpoint(judged.where("sure").select("a", "b")
-                               .union(_exact(judged.where("not sure"), docs, words, percent)))
+                               .union(_exact(judged.where("not sure"), sets, docs, words, percent)))
 
 
 def lists(sets: DataFrame, size: int = SKETCH, percent: int = PERCENT) -> DataFrame:
@@ -207,16 +231,42 @@ def _rooted(rows: DataFrame, roots: DataFrame, of: str, name: str) -> DataFrame:
 
 def dedupe(docs: DataFrame, words: int = 5, percent: int = PERCENT, size: int = SKETCH) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest linked id), kept."""
+    found = _grouped(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text"), words, percent, size, ["id"])
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return (found.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = PERCENT, size: int = SKETCH) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others), one of each group of linked documents.
+
+    It is the row with the smallest id (rows without one come last), then the smallest hash
+    of the row; repeated rows are one document, and so are wordless rows that are equal.
+    """
+    names = docs.columns
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_print": F.xxhash64(*names)})
+    found = _grouped(keyed.select(F.col("_id").alias("id"), F.col("_print").alias("print"), "text"), words, percent, size, ["id", "print"])
+    order = F.struct((F.col("id") == NO_ID).alias("last"), "id", "print")
+    linked = found.where("root is not null").groupBy("root").agg(F.min(order).alias("first")).select("first.id", "first.print")
+    chosen = linked.union(found.where("root is null").select("id", "print")).distinct().toDF("_id", "_print")
+    return keyed.join(chosen, ["_id", "_print"]).dropDuplicates(["_id", "_print"]).select(*names)
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, size: int, keep: Sequence[str]) -> DataFrame:
+    """Per row of ``docs`` (``keep`` with id, text): ``keep``, n, component (smallest linked id), root (number of the component; null for empty sets)."""
     spark = docs.sparkSession
     path = scratch_path(spark, "sets")
-    sketches(docs, words, size).select("doc_id", "n", "s1", "s2").write.parquet(path)
+    sketches(docs, words, size, keep).select(*keep, "n", "s1", "s2").write.parquet(path)
     every = spark.read.parquet(path)
-    classes = (every.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2")
-               .agg(F.min("doc_id").alias("doc_id")))
+    path = scratch_path(spark, "classes")
+    # numbered once, as written: the numbers stay the same if a task runs again later
+    (every.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("id"))
+     .select("n", "s1", "s2", F.coalesce("id", F.lit(NO_ID)).alias("id"), F.monotonically_increasing_id().alias("doc_id")).write.parquet(path))
+    classes = spark.read.parquet(path)
     path = scratch_path(spark, "unique")
     # made anew for one document of each class: a table of all sketches would be the largest one here
-    (sketches(docs, words, size).select("doc_id", "n", "sketch").join(classes.select("doc_id"), "doc_id", "left_semi")
-     .dropDuplicates(["doc_id"]).write.parquet(path))
+    (sketches(docs, words, size).join(classes, ["n", "s1", "s2", "id"])
+     .dropDuplicates(["n", "s1", "s2", "id"]).select("doc_id", "id", "n", "s1", "s2", "sketch").write.parquet(path))
     unique = spark.read.parquet(path)
     key = ["value", "kind"]
     posted = reliable_checkpoint(lists(unique, size, percent))
@@ -266,8 +316,10 @@ def dedupe(docs: DataFrame, words: int = 5, percent: int = PERCENT, size: int =
             nodes = roots.union(more.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti"))
             roots = reliable_checkpoint(_rooted(nodes, more, "root", "now").select("node", F.col("now").alias("root")))
 
-    groups = classes.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select(
-        "n", "s1", "s2", F.coalesce("root", "doc_id").alias("component"))
-    return (every.select("doc_id", "n", "s1", "s2").join(groups, ["n", "s1", "s2"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    linked = classes.select("doc_id", "id").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id")
+    least = F.coalesce(F.min(F.when(F.col("id") != NO_ID, F.col("id"))), F.lit(NO_ID))
+    smallest = linked.join(linked.groupBy("root").agg(least.alias("component")), "root").select("doc_id", "root", "component")
+    groups = classes.join(smallest, "doc_id", "left").select(
+        "n", "s1", "s2", F.coalesce("component", "id").alias("component"), F.coalesce("root", "doc_id").alias("root"))
+    return (every.join(groups, ["n", "s1", "s2"], "left")
+            .select(*keep, "n", F.coalesce("component", "id").alias("component"), "root"))

@@ -9,12 +9,17 @@ memory does not grow with the table.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 CHUNK_BYTES = 3 << 20
 
@@ -71,6 +76,20 @@ def segment_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def release() -> None:
+    """Give back what earlier tasks left in this worker process.
+
+    Workers are used again by later stages: the tokenizer's pieces and freed memory that
+    the allocators still hold would count against the next one.
+    """
+    if tokens := sys.modules.get("plotrows.llm.tokens"):
+        tokens.encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes of a text; null is empty, lone surrogates become U+FFFD."""
     if not text:

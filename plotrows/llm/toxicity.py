@@ -38,6 +38,7 @@ from plotrows.llm import text as X
 ROWS_PER_CLASS = 3000
 WINDOWS_PER_ROW = 4
 WINDOW = 16
+CHUNK_BYTES = 1 << 20
 BUCKETS = 1 << 18
 THRESHOLD = 0.3
 EVIDENCE = 3.0   # log of 20
@@ -170,10 +171,11 @@ def _scored(model: Model, docs: DataFrame, keep: list[str]) -> DataFrame:
     # Only the text goes to Python and only scores and spans come back: rows stay on the JVM side.
     @F.pandas_udf("score double, marks array<double>, spans array<struct<start:int,end:int>>")
     def verdict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        X.release()
         m, known = shared.value, {}
         for texts in series:
             score, every, spans = [np.zeros(0)], [], []
-            for _, part in X.chunks(texts):
+            for _, part in X.chunks(texts, CHUNK_BYTES):
                 found = list(_spans(m, part, known))
                 marks = np.array([[*x, 1.0] for x, _ in found]).reshape(-1, 4)
                 score.append(np.zeros(len(part)) if m.curve is None else 1 / (1 + np.exp(-np.clip(marks @ m.curve, -30, 30))))

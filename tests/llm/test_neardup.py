@@ -98,3 +98,37 @@ def test_edges(spark):
     assert [(by[i].n_shingles, by[i].component_id, by[i].kept) for i in (1, 2, 3)] == [(0, i, True) for i in (1, 2, 3)]
     assert by[4].kept and by[6].n_shingles == 2 and by[6].component_id == 6
     assert neardup.dedupe(table(spark, []), words=4).collect() == []
+
+
+def plain_rows(rows, k, percent=80):
+    """(doc_id, set size, component) of every row, rows with one id apart."""
+    by_row = plain([(j, t) for j, (_, t) in enumerate(rows)], k, percent)
+    groups = {}
+    for j, (n, c) in by_row.items():
+        groups.setdefault((c, n > 0 or j), []).append(j)
+    out = []
+    for members in groups.values():
+        ids = [rows[j][0] for j in members if rows[j][0] is not None]
+        out += [(rows[j][0], by_row[j][0], min(ids) if ids else None) for j in members]
+    return sorted(out, key=str)
+
+
+def test_rows_with_one_id_keep_their_own_links(spark):
+    words_ = [f"w{i}" for i in range(50)]
+    near = [*words_[:25], "x", *words_[25:]]
+    rows = [(1, " ".join(words_)), (2, "something else that is linked with nothing at all"), (2, " ".join(near)), (2, "a third text of this id"), (None, " ".join(words_)),
+            (None, "two rows without id are copies"), (None, "two rows without id are copies"), (3, None), (None, None), (9007199254740993, " ".join(near)), (7, "a third text of this id")]
+    got = neardup.dedupe(table(spark, rows), words=4).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == plain_rows(rows, 4)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_keep_one_row_of_each_group(spark):
+    rows = copies(3)[:60]
+    rows += [(i, t) for i, t in rows[:10]] + [(None, t) for _, t in rows[5:9]] + [(None, "only rows without an id have this text"), (None, "only rows without an id have this text"), (1000, None), (1000, None), (None, "")]
+    kept = neardup.keep_one(table(spark, rows).repartition(5), words=4).collect()
+    want = {}
+    for (i, t), (n, c) in zip(rows, (plain([(j, t) for j, (_, t) in enumerate(rows)], 4)[j] for j in range(len(rows))), strict=True):
+        key = c if n else ("alone", i, t)
+        want[key] = min(want.get(key, (i is None, i or 0)), (i is None, i or 0))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(want.values())

@@ -43,7 +43,21 @@ def test_extra_columns_nulls_and_no_rows(spark, sf_small):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, sf_small).collect()
     near = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf_small)
-    assert sorted(r.doc_id or 0 for r in near.collect()) == [0, 1, 2, 3, 5]
+    assert sorted(r.doc_id or 0 for r in near.collect()) == [1, 2, 3, 5]  # the row without an id is a copy of 3
     none = table(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf_small).count() == 0
+
+
+def test_repeated_and_missing_ids(spark, sf_small):
+    """Rows are told apart by id and text: one of each group stays, and only rows that repeat an item go."""
+    item = queries.table(spark, sf_small, "benchmark").orderBy("item_id").first().text
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text), (1, text), (1, text), (None, text), (2, text + " more"), (2, "another text under the same id that nothing else repeats"), (None, "no id at all but a text of its own here"),
+            (None, "before " + item + " after"), (3, "one id for a passage " + item), (3, "one id for a clean text without it")]
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["near_duplicates"](spark, table(spark, rows), sf_small).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in near if r.text.startswith("word")) == [(1, text)]
+    assert sum(r.doc_id == 2 for r in near) == 1 and sum(r.doc_id is None for r in near) >= 1
+    clean = stages["decontamination"](spark, table(spark, rows), sf_small).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in clean) == sorted((i or 0, t) for i, t in rows if item not in t)
