@@ -33,17 +33,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles) stays: the smallest id, and rows without an id."""
+    """One document of each group of near-duplicates (five-word shingles) stays: the smallest id, a row without id only if none has one."""
     ship_package(spark)
-    kept = neardup.dedupe(docs, words=5).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return neardup.keep_one(docs.select(*COLUMNS), words=5)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that repeat a benchmark item; rows without an id stay."""
+    """Drop the documents that repeat a benchmark item; rows go by a hash of id and text, as ids may be missing or repeated."""
     ship_package(spark)
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"))
+    found = decontaminate.find(keyed.select(F.col("row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return keyed.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
