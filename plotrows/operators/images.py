@@ -1,4 +1,4 @@
-"""T1-T4 image maths, and a small PNG writer for derived image folders.
+"""T1-T4 image maths.
 
 Decoding is Spark's built-in ``image`` source (executors, BGR bytes).  Channel reorder,
 bilinear resize, scaling and HWC -> CHW are array expressions over the decoded bytes.
@@ -6,74 +6,12 @@ bilinear resize, scaling and HWC -> CHW are array expressions over the decoded b
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotrows.functions.numbers import let
 
 
-# ------------------------------------------------------------- PNG encode ---
-
-def png_bytes(rgb: np.ndarray) -> bytes:
-    """Encode an H x W x 3 (or H x W) uint8 array as PNG with stdlib zlib/struct."""
-    a = np.asarray(rgb, dtype=np.uint8)
-    if a.ndim == 2:
-        color, chans = 0, 1
-        a = a[:, :, None]
-    else:
-        color, chans = 2, 3
-    h, w = a.shape[:2]
-    raw = b"".join(b"\x00" + a[y].reshape(-1).tobytes() for y in range(h))
-
-    def chunk(tag: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data) & 0xFFFFFFFF)
-
-    ihdr = struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 0)
-    del chans
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", ihdr) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
-
-
-def _filesystem(path: str):
-    """pyarrow filesystem + path for a Hadoop-style URI (file:, s3://, gs://, hdfs://) or a local path."""
-    from pyarrow import fs as pafs
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
-    if "://" in path:
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
-
-
-def write_png_folder(df: DataFrame, key: str, rgb_fn, out_dir: str) -> DataFrame:
-    """Write one PNG per row from executors into ``out_dir`` (any pyarrow filesystem URI).
-
-    ``rgb_fn(row_series) -> HxWx3 uint8``.  Returns (key, path, n_bytes).
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, root = _filesystem(out_dir)
-        fs.create_dir(root, recursive=True)
-        for b in batches:
-            paths, sizes = [], []
-            for _, row in b.iterrows():
-                data = png_bytes(rgb_fn(row))
-                p = f"{root.rstrip('/')}/{row[key]}.png"
-                with fs.open_output_stream(p) as f:
-                    f.write(data)
-                paths.append(p)
-                sizes.append(len(data))
-            yield pd.DataFrame({key: b[key].to_numpy(), "path": paths, "n_bytes": np.asarray(sizes, dtype=np.int64)})
-
-    key_type = dict(df.dtypes)[key]
-    return df.mapInPandas(run, f"{key} {key_type}, path string, n_bytes long")
-
-
-# ------------------------------------------------------------- image maths --
-
 def byte_values(data) -> Column:
     """The bytes of a BINARY column as an array of 0..255, without leaving the JVM."""
     text = F.decode(F.col(data) if isinstance(data, str) else data, "ISO-8859-1")  # one character for each byte

@@ -6,12 +6,11 @@ a fresh folder under the shared checkpoint root, then scans them back.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from plotrows import constants as K
 from plotrows.functions.series import decode_xxyy, encode_xxyy
-from plotrows.operators.images import image_prep, write_png_folder
+from plotrows.operators.images import image_prep
 from plotrows.operators.scoring import route_of, routed_scoring, train_class_model
 from plotrows.plans.catalog import register
 from plotrows.plans.corpus import build_corpus
@@ -21,8 +20,8 @@ from plotrows.plans.inference_queries import _DEC_XXYY, _MELT, _ROUTE_SQL, _with
 from plotrows.plans.training import EXCLUDED_TYPES, not_in
 from plotrows.session import scratch_path
 from plotrows.sources import fixtures as fx
-from plotrows.sources.files import (annotation_to_image_path, default_class_listing, read_corpus, read_corpus_csv, read_header_csv,
-                                    scan_annotations, scan_images)
+from plotrows.sources.files import (annotation_to_image_path, default_class_listing, list_files, read_corpus, read_corpus_csv, read_header_csv,
+                                    record_id, scan_annotations, scan_images)
 from plotrows.sources.sinks import append_metrics, read_metrics, write_corpus, write_corpus_csv, write_files, write_submission
 
 
@@ -132,16 +131,9 @@ def q_metric_log_append(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.count_distinct("step").alias("n_steps"), F.round(F.sum("value"), 6).alias("total"))
 
 
-def _rgb_of(row) -> np.ndarray:
-    v = np.asarray(row["px"], dtype=np.float64).reshape(8, 8)
-    g = np.clip(np.rint((v + 1.0) * 127.5), 0, 255).astype(np.uint8)
-    return np.stack([g, 255 - g, (g.astype(np.int64) * 7 % 256).astype(np.uint8)], axis=2)
-
-
 def write_images(spark, sf_dir: str) -> str:
     out = scratch_path(spark, "images")
-    px = fx.pixels(spark, sf_dir).select("id", "px")
-    write_png_folder(px, "id", _rgb_of, out).count()
+    write_files(fx.image_files(spark, sf_dir), "name", "content", out).agg(F.sum("n_bytes")).first()
     return out
 
 
@@ -152,6 +144,13 @@ def q_default_class_listing(spark, sf_dir):
     return listed.select(F.substring_index("filename", "/", -1).alias("name"), "chart_type")
 
 
+# an 8 x 8 RGB image in one stored block: signature 8, header 25, data 12 + 11 + 8 * 25, end 12
+@register("file_listing", sql="SELECT CAST(vec_id AS VARCHAR) || '.png' AS name, CAST(vec_id AS VARCHAR) AS record_id, CAST(268 AS BIGINT) AS length FROM embeddings")
+def q_file_listing(spark, sf_dir):
+    """S2 + P6: names, ids and sizes of the files of a folder; their content is not read."""
+    return list_files(spark, write_images(spark, sf_dir)).select("name", record_id("name").alias("record_id"), "length")
+
+
 @register("image_scan", sql="SELECT CAST(vec_id AS VARCHAR) || '.png' AS name, 8 AS height, 8 AS width, 3 AS channels FROM embeddings")
 def q_image_scan(spark, sf_dir):
     return scan_images(spark, write_images(spark, sf_dir)).select(

@@ -168,17 +168,42 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("label").cast("int").alias("raw_label"))
 
 
+def png(scanlines: F.Column, width: int, height: int) -> F.Column:
+    """An RGB image file from its bytes (a filter byte before each row), in one stored block of up to 65,535 bytes."""
+    size = height * (1 + 3 * width)
+    number = lambda v, digits: F.lpad(F.hex(v), digits, "0")
+    little = lambda v: f"{v & 255:02X}{v >> 8:02X}"
+
+    def chunk(tag: str, data: F.Column) -> F.Column:
+        body = F.concat(F.lit(tag.encode().hex().upper()), data)
+        return F.concat(number((F.length(body) / 2 - 4).cast("long"), 8), body, number(F.crc32(F.unhex(body)), 8))
+
+    sums = F.aggregate(scanlines, F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")), lambda s, v: F.struct(
+        ((s["a"] + v) % 65521).alias("a"), ((s["b"] + s["a"] + v) % 65521).alias("b")), lambda s: s["b"].cast("long") * 65536 + s["a"])
+    data = F.array_join(F.transform(scanlines, lambda v: number(v, 2)), "")
+    block = F.concat(F.lit("780101" + little(size) + little(65535 - size)), data, number(sums, 8))
+    header = F.lit(f"{width:08X}{height:08X}0802000000")
+    return F.unhex(F.concat(F.lit("89504E470D0A1A0A"), chunk("IHDR", header), chunk("IDAT", block), chunk("IEND", F.lit(""))))
+
+
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, content): an 8 x 8 RGB image file for each row of ``pixels``."""
+    def scanlines(g: F.Column) -> F.Column:
+        pixel = lambda v: F.array(v, 255 - v, v * 7 % 256)
+        row = lambda y: F.concat(F.array(F.lit(0)), F.flatten(F.transform(F.slice(g, y * 8 + 1, F.lit(8)), pixel)))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), row))
+
+    grey = F.transform("px", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.rint((v + 1) * 127.5).cast("int"))))
+    return pixels(spark, sf_dir).select("id", grey.alias("g")).select(
+        F.concat(F.col("id").cast("string"), F.lit(".png")).alias("name"), png(scanlines(F.col("g")), 8, 8).alias("content"))
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("id"),
                     F.array_remove(F.split("text", WHITESPACE_RE, -1), "").alias("ids"))
 
 
-def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lab = table(spark, sf_dir, "labels")
-    return lab.select("doc_id", F.col("quality").cast("int").alias("validation"))
-
-
 # ---------------------------------------------------------------- DuckDB ----
 
 _TYPE_CASE_SQL = "CASE o_orderpriority " + " ".join(
@@ -261,7 +286,6 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
         SELECT doc_id AS id,
                list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda t: t <> '') AS ids
         FROM documents"""),
-    "flags": ([], "SELECT doc_id, CAST(quality AS INTEGER) AS validation FROM labels"),
 }
 
 

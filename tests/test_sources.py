@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plotrows.operators.images import byte_values, image_prep, png_bytes
+from plotrows.operators.images import byte_values, image_prep
 from plotrows.sources import files, sinks
 
 EDGE_VALUES = ["1.10", "1e5", "1E-7", "1.0", "100000000000000000000", "true", "null", "NaN", '"1.10"',
@@ -121,7 +121,11 @@ def test_relative_path(spark):
 
 
 def _png(path, arr):
-    path.write_bytes(png_bytes(arr))
+    """An H x W x 3 array as a PNG file."""
+    h, w = arr.shape[:2]
+    chunk = lambda tag, data: struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
+    raw = b"".join(b"\0" + arr[y].tobytes() for y in range(h))
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
 
 
 def test_images_listing_scan_and_prep(spark, tmp_path):
