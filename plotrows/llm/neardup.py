@@ -36,10 +36,12 @@ from __future__ import annotations
 
 import gc
 import math
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +135,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> Data
     slack = 6 * math.sqrt(percent / 100 * (1 - percent / 100) / size)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        X.release()
         for f in frames:
             keep, sure = [], []
             for i, (na, nb, x, y) in enumerate(zip(f["na"], f["nb"], f["xa"], f["xb"], strict=True)):
@@ -157,36 +160,40 @@ def _compare(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> Data
 
 def _exact(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): the pairs whose full sets reach the similarity."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def full(text: str) -> np.ndarray:
-            return np.unique(X.shingles(X.words([X.utf8(text)]), words)[0])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        X.release()
+
+        def full(packed: pa.Scalar) -> np.ndarray:
+            return _sets([zlib.decompress(packed.as_py())], words)[0]
         last: tuple[int, np.ndarray] | None = None  # rows come sorted by a: a leader's set is made once
-        for f in frames:
+        for f in batches:
             keep = []
-            for i, (a, ta, tb) in enumerate(zip(f["a"], f["ta"], f["tb"], strict=True)):
+            for i, a in enumerate(f["a"].to_pylist()):
                 if last is None or last[0] != a:
-                    last = (a, full(ta))
-                x, y = last[1], full(tb)
+                    last = (a, full(f["ta"][i]))
+                x, y = last[1], full(f["tb"][i])
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     keep.append(i)
-            yield f[["a", "b"]].iloc[keep]
+            yield f.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of the texts under one id, those of the class that was asked for."""
+        """Of the texts under one id, those of the class that was asked for, compressed: a pair holds two of them."""
+        X.release()
         for f in frames:
             for first, part in X.chunks(f["text"], CHUNK_BYTES):
                 rows = f.iloc[first:first + len(part)]
                 sums = [_sums(x) for x in _sets(part, words)]
-                yield rows[["id", "doc_id", "text"]][[x == y for x, y in zip(sums, zip(rows["n"], rows["s1"], rows["s2"], strict=True), strict=True)]]
+                same = [x == y for x, y in zip(sums, zip(rows["n"], rows["s1"], rows["s2"], strict=True), strict=True)]
+                yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[same], "text": [zlib.compress(t, 1) for t, ok in zip(part, same, strict=True) if ok]})
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     asked = sets.select("doc_id", "id", "n", "s1", "s2").join(ids, "doc_id", "left_semi")
-    some = (docs.select("id", "text").join(asked, "id").mapInPandas(own, "id long, doc_id long, text string")
+    some = (docs.select("id", "text").join(asked, "id").mapInPandas(own, "doc_id long, text binary")
             .groupBy("doc_id").agg(F.min("text").alias("text")))  # any text of a class has its set
     texts_a = some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     texts_b = some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(texts_b, "b").join(texts_a, "a").mapInPandas(run, "a long, b long")
+    return pairs.select("a", "b").join(texts_b, "b").join(texts_a, "a").mapInArrow(run, "a long, b long")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, size: int, percent: int) -> DataFrame:
