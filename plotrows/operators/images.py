@@ -32,12 +32,12 @@ def resize_taps(n_in: Column, n_out: int) -> Column:
 
 def resize_plane(values: Column, height: int, width: int, out_h: int, out_w: int) -> Column:
     """T2 over one plane of values in row order."""
-    def plane(v: Column) -> Column:
-        at = lambda i, j: F.get(v, i * width + j)
+    def plane(parts: Column) -> Column:
+        at = lambda i, j: F.get(parts["v"], i * width + j)
         value = lambda y, x: ((at(y["a"], x["a"]) * (1 - x["w"]) + at(y["a"], x["b"]) * x["w"]) * (1 - y["w"])
                               + (at(y["b"], x["a"]) * (1 - x["w"]) + at(y["b"], x["b"]) * x["w"]) * y["w"])
-        return F.flatten(F.transform(resize_taps(F.lit(height), out_h), lambda y: F.transform(resize_taps(F.lit(width), out_w), lambda x: value(y, x))))
-    return let(values, plane)
+        return F.flatten(F.transform(parts["ys"], lambda y: F.transform(parts["xs"], lambda x: value(y, x))))
+    return let(F.struct(values.alias("v"), resize_taps(F.lit(height), out_h).alias("ys"), resize_taps(F.lit(width), out_w).alias("xs")), plane)
 
 
 def image_prep(df: DataFrame, out_h: int, out_w: int, mean: float = 0.5, std: float = 0.5,

@@ -113,8 +113,8 @@ def prepared_input(route_col: str, input_col: str, prepare: Mapping[str, Callabl
 def routed_scoring(df: DataFrame, route_col: str, models: Mapping[str, Callable[[], Callable]],
                    input_col: str, key: str, out_col: str = "text", prompt: str | None = None,
                    prepare: Mapping[str, Callable[[Column], Column]] | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """M2: rows range-partitioned by (route, key), so that most tasks meet one route and a hot
-    route spreads over many; each worker builds only the models it meets.
+    """M2: rows dealt by (route, hash of the key), so that a task meets one route and a hot
+    route spreads over many tasks; each worker builds only the models it meets.
 
     A model maps a pandas Series of inputs to a Series of output texts.  Errors
     do not fail the job: they land in ``error`` with ``out_col`` NULL.  With
@@ -148,8 +148,13 @@ def routed_scoring(df: DataFrame, route_col: str, models: Mapping[str, Callable[
     types = dict(df.dtypes)
     schema = ", ".join([*(f"{c} {types[c]}" for c in names), f"{out_col} string, error string"])
     cols = [*names, prepared_input(route_col, input_col, prepare or {}).alias(input_col)] + ([F.lit(prompt).alias("prompt")] if prompt is not None else [])
-    clustered = df.select(*cols).repartitionByRange(route_col, key)
-    return clustered.mapInPandas(run, schema)
+    # each route has partitions of its own, placed by a hash of the key: no sampling pass over what feeds the model
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.lit(0)
+    for i, route in enumerate(factories):
+        number = F.when(F.col(route_col) == route, F.lit(i)).otherwise(number)
+    place = number * spread + F.pmod(F.hash(key), F.lit(spread))
+    return df.select(*cols).repartitionById(spread * max(1, len(factories)), place).mapInPandas(run, schema)
 
 
 def softmax_ce(logits, label) -> dict[str, Column]:

@@ -79,10 +79,10 @@ def with_class(images: DataFrame, features: str, scorer: ScorerFactory, classes:
         model = scorer()
 
         def call(batch: pa.RecordBatch) -> dict:
-            x = np.stack(batch[features].to_numpy(zero_copy_only=False)).astype(np.float64)
+            x = batch[features].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             return {"chart_type": [names[i] for i in np.asarray(model(x)).argmax(axis=1)]}
         return call
-    return transform_rows(images, factory, [features], "chart_type string", error="class_error")
+    return transform_rows(images, factory, [features], "chart_type string", error="class_error", rows_per_call=4096)
 
 
 def routed_texts(images: DataFrame, scorer: ScorerFactory, models: Mapping[str, Callable[[], Callable]],

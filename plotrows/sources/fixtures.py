@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotrows import constants as K
+from plotrows.functions.numbers import let
 from plotrows.functions.series import encode_xxyy, encode_xyxy
 from plotrows.operators.series import attach_series
 
@@ -134,10 +135,10 @@ def predictions_xyxy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chart_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing with decoded images: (image_path, px: 8 x 8 grey values from the series' hash)."""
-    h = F.md5("label_xxyy")
-    code = lambda j: F.ascii(F.substr(h, j % 32 + 1, F.lit(1)))
-    return labelled(spark, sf_dir).select(
-        "image_path", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: (code(j) * (2 * j + 3) % 256).cast("double")).alias("px"))
+    def pixels_of(h: F.Column) -> F.Column:
+        code = lambda j: F.ascii(F.substr(h, j % 32 + 1, F.lit(1)))
+        return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: (code(j) * (2 * j + 3) % 256).cast("double"))
+    return labelled(spark, sf_dir).select("image_path", let(F.md5("label_xxyy"), pixels_of).alias("px"))
 
 
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
