@@ -20,6 +20,10 @@ than twice that.  Two documents are linked if the Jaccard similarity of their se
    o = percent (a + b) / (100 + percent), and the first common value, by rarity, has at
    least o - 1 values behind it in both; truncated sketches likewise, with a bound from
    the binomial tail for their sizes' ratio.  Pairs inside a component need no comparison.
+   What is left in groups of edited copies is told apart inside the join by *parities* of
+   the full sets: every value flips one bit of 2n or more, so two sets differ in at least
+   as many values as their parities in bits, and linked ones in a + b - 2 o at most.  No
+   link is excluded, and the join lists few pairs but those that are (almost) links.
 
 Comparing: the union's bottom-k estimates the similarity; pairs far below the
 threshold go, pairs of whole sets are decided at once, all others are verified on
@@ -52,6 +56,8 @@ SKETCH = 96
 PERCENT = 80
 STAR_ROUNDS = 1
 CHUNK_BYTES = 1 << 20
+LOW_WORDS = 16              # of 64 bits: the least parity, and the fold that is compared first
+PARITY_BITS = 1 << 15       # at most; larger sets share bits, which excludes fewer pairs
 NO_ID = -(1 << 63)          # stands for a null id
 
 
@@ -81,8 +87,52 @@ def _sums(s: np.ndarray) -> tuple[int, int, int]:
     return len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(X.mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64))
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """For each of at least 2n bits: is the number of values that end in it odd?"""
+    bits = min(PARITY_BITS, max(64 * LOW_WORDS, 1 << (2 * len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(bits - 1)).view(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
+def _fold(x: np.ndarray, size: int) -> np.ndarray:
+    """The parity of the same set with fewer words."""
+    return np.bitwise_xor.reduce(x.reshape(-1, size))
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many bits two parities differ, the longer one folded: never more than the values that one set has and the other not."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count((_fold(x, size) ^ _fold(y, size)).view(np.uint64)).sum())
+
+
+def _apart_sql() -> tuple[str, str]:
+    """``_apart`` as expressions of two documents' columns ``low`` (a fold to ``LOW_WORDS``) and, longer by one fold at most, ``parity``.
+
+    The first one compiles to plain arithmetic; the other is for the pairs that pass it.
+    """
+    def fold(p: str, q: str) -> str:
+        return f"if(size({p}) > size({q}), zip_with(slice({p}, 1, size({q})), slice({p}, size({q}) + 1, size({q})), (x, y) -> x ^ y), {p})"
+    low = " + ".join(f"bit_count(get(lowa, {i}) ^ get(lowb, {i}))" for i in range(LOW_WORDS))
+    whole = f"aggregate(zip_with({fold('paritya', 'parityb')}, {fold('parityb', 'paritya')}, (x, y) -> bit_count(x ^ y)), 0, (s, c) -> s + c)"
+    return low, f"if(least(size(paritya), size(parityb)) <= {LOW_WORDS}, 0, {whole})"
+
+
+def sums(docs: DataFrame, words: int, keep: Sequence[str] = ("id",)) -> DataFrame:
+    """The columns ``keep``, n (set size), s1, s2 (128-bit sum of the set)."""
+    kept = list(keep)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        X.release()
+        for f in frames:
+            for first, part in X.chunks(f["text"], CHUNK_BYTES):
+                n, s1, s2 = (list(x) for x in zip(*map(_sums, _sets(part, words)), strict=True))
+                yield f[kept].iloc[first:first + len(part)].reset_index(drop=True).assign(n=n, s1=s1, s2=s2)
+    types = ", ".join(f"{c} long" for c in kept)
+    return docs.select(*kept, "text").mapInPandas(run, f"{types}, n long, s1 long, s2 long")
+
+
 def sketches(docs: DataFrame, words: int, size: int = SKETCH, keep: Sequence[str] = ("id",)) -> DataFrame:
-    """The columns ``keep``, n (set size), s1, s2 (128-bit sum of the set), sketch (the smallest hashes, or all)."""
+    """The columns of ``sums``, sketch (the smallest hashes, or all), parity (of the whole set), low (its fold to ``LOW_WORDS``)."""
     kept = list(keep)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,10 +141,12 @@ def sketches(docs: DataFrame, words: int, size: int = SKETCH, keep: Sequence[str
             for first, part in X.chunks(f["text"], CHUNK_BYTES):
                 sets = _sets(part, words)
                 n, s1, s2 = (list(x) for x in zip(*map(_sums, sets), strict=True))
+                odd = [_parity(s) for s in sets]
                 yield f[kept].iloc[first:first + len(part)].reset_index(drop=True).assign(
-                    n=n, s1=s1, s2=s2, sketch=[(s if len(s) <= 2 * size else s[:size]).view(np.int64) for s in sets])
+                    n=n, s1=s1, s2=s2, sketch=[(s if len(s) <= 2 * size else s[:size]).view(np.int64) for s in sets],
+                    parity=odd, low=[_fold(p, LOW_WORDS) for p in odd])
     types = ", ".join(f"{c} long" for c in kept)
-    return docs.select(*kept, "text").mapInPandas(run, f"{types}, n long, s1 long, s2 long, sketch array<long>")
+    return docs.select(*kept, "text").mapInPandas(run, f"{types}, n long, s1 long, s2 long, sketch array<long>, parity array<long>, low array<long>")
 
 
 def _tidy(spark: SparkSession) -> None:
@@ -138,7 +190,9 @@ def _compare(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> Data
         X.release()
         for f in frames:
             keep, sure = [], []
-            for i, (na, nb, x, y) in enumerate(zip(f["na"], f["nb"], f["xa"], f["xb"], strict=True)):
+            for i, (na, nb, x, y, p, q) in enumerate(zip(f["na"], f["nb"], f["xa"], f["xb"], f["pa"], f["pb"], strict=True)):
+                if _apart(p, q) > na + nb - 2 * -(-percent * (na + nb) // (100 + percent)):
+                    continue
                 whole = max(na, nb) <= 2 * size
                 x, y = (np.asarray(z if whole else z[:size]).view(np.uint64) for z in (x, y))
                 common = np.intersect1d(x, y, assume_unique=True)
@@ -153,8 +207,8 @@ def _compare(pairs: DataFrame, sets: DataFrame, size: int, percent: int) -> Data
                     sure.append(whole)
             yield pd.DataFrame({"a": f["a"].to_numpy()[keep], "b": f["b"].to_numpy()[keep], "sure": np.array(sure, bool)})
 
-    xa = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xa"))
-    xb = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb"))
+    xa = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xa"), F.col("parity").alias("pa"))
+    xb = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb"), F.col("parity").alias("pb"))
     return pairs.join(xb, "b").join(xa, "a").mapInPandas(run, "a long, b long, sure boolean")
 
 
@@ -263,7 +317,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, size: int, keep: Sequenc
     """Per row of ``docs`` (``keep`` with id, text): ``keep``, n, component (smallest linked id), root (number of the component; null for empty sets)."""
     spark = docs.sparkSession
     path = scratch_path(spark, "sets")
-    sketches(docs, words, size, keep).select(*keep, "n", "s1", "s2").write.parquet(path)
+    sums(docs, words, keep).write.parquet(path)
     every = spark.read.parquet(path)
     path = scratch_path(spark, "classes")
     # numbered once, as written: the numbers stay the same if a task runs again later
@@ -273,7 +327,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, size: int, keep: Sequenc
     path = scratch_path(spark, "unique")
     # made anew for one document of each class: a table of all sketches would be the largest one here
     (sketches(docs, words, size).join(classes, ["n", "s1", "s2", "id"])
-     .dropDuplicates(["n", "s1", "s2", "id"]).select("doc_id", "id", "n", "s1", "s2", "sketch").write.parquet(path))
+     .dropDuplicates(["n", "s1", "s2", "id"]).select("doc_id", "id", "n", "s1", "s2", "sketch", "parity", "low").write.parquet(path))
     unique = spark.read.parquet(path)
     key = ["value", "kind"]
     posted = reliable_checkpoint(lists(unique, size, percent))
@@ -287,9 +341,14 @@ def _grouped(docs: DataFrame, words: int, percent: int, size: int, keep: Sequenc
 
     roots = None
     for turn in range(STAR_ROUNDS + 1):
-        here = posted.withColumn("root", F.col("doc_id"))
-        if roots is not None:
-            here = _rooted(posted, roots, "doc_id", "root")
+        here = posted
+        if turn == STAR_ROUNDS:  # a parity as short as its fold is not carried twice
+            longer = F.when(F.size("parity") > LOW_WORDS, F.col("parity")).otherwise(F.array().cast("array<long>"))
+            here = posted.join(sets.select("doc_id", "low", longer.alias("parity")), "doc_id")
+        if roots is None:
+            here = here.withColumn("root", F.col("doc_id"))
+        else:
+            here = _rooted(here, roots, "doc_id", "root")
             mixed = here.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*key)
             here = reliable_checkpoint(here.join(mixed, key))
         if turn < STAR_ROUNDS:
@@ -302,14 +361,16 @@ def _grouped(docs: DataFrame, words: int, percent: int, size: int, keep: Sequenc
             pairs = (met.groupBy("doc_id").agg(F.max_by("with", F.struct("c", -F.col("with"))).alias("with"))
                      .select(F.col("with").alias("a"), F.col("doc_id").alias("b")))
         else:
-            one, two = (here.select(*key, F.col("doc_id").alias(x), *[F.col(c).alias(c + x) for c in ("n", "rank", "root")]) for x in "ab")
+            one, two = (here.select(*key, F.col("doc_id").alias(x), *[F.col(c).alias(c + x) for c in ("n", "rank", "root", "low", "parity")]) for x in "ab")
             need = f"ceil({percent} * (na + nb) / {100 + percent})"
             steps = [percent + i * (100 - percent) / 10 for i in range(10)]
             shared = "case " + " ".join(f"when 100 * least(na, nb) >= {x} * greatest(na, nb) then {shared_values(size, percent, x / 100)}"
                                         for x in reversed(steps)) + " end"
             possible = (f"if(kind = 0, ranka + {need} <= na and rankb + {need} <= nb, "
                         f"greatest(na, nb) > {2 * size} and greatest(ranka, rankb) + {shared} <= {size})")
-            pairs = one.join(two, key).where(F.expr(f"a < b and roota <> rootb and {possible}")).select("a", "b").distinct()
+            near = " and ".join(f"{bits} <= na + nb - 2 * {need}" for bits in _apart_sql())
+            sized = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+            pairs = one.join(two, key).where(F.expr(f"a < b and roota <> rootb and {sized} and {possible} and {near}")).select("a", "b").distinct()
         pairs = reliable_checkpoint(pairs)
         _tidy(spark)
         found = _links(pairs, sets, docs, words, size, percent)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from plotrows.llm import neardup, queries
@@ -91,6 +92,41 @@ def test_a_large_group_of_copies_and_a_common_line(spark):
     assert got == {i: v[1] for i, v in plain(rows, 5).items()}
 
 
+def edited(rng: random.Random, base: list[str], edits: int, tag: str) -> str:
+    """A copy with words of its own at ``edits`` places."""
+    t = list(base)
+    for j in rng.sample(range(len(base)), edits):
+        t[j] = f"{tag}_{j}"
+    return " ".join(t)
+
+
+def test_a_group_of_copies_that_are_no_links_makes_few_pairs(spark, monkeypatch):
+    """Copies of long texts, a third of each other's shingles apart, are told apart before their pairs are listed."""
+    rng = random.Random(8)
+    rows = []
+    for n in (450, 520, 1100):  # parities as long as their fold, on both sides of a step, and longer
+        base = [f"b{n}_{i}" for i in range(n)]
+        rows += [(n * 1000 + i, edited(rng, base, n // 30, f"x{n}_{i}")) for i in range(60)]
+        rows += [(n * 1000 + 100 + i, edited(rng, base, n // 90, f"y{n}_{i}")) for i in range(6)]
+    listed, links = [], neardup._links
+    monkeypatch.setattr(neardup, "_links", lambda pairs, *rest: listed.append(pairs.count()) or links(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in neardup.dedupe(table(spark, rows), words=4).collect()}
+    assert got == {i: v[1] for i, v in plain(rows, 4).items()}
+    assert listed[-1] < len(rows)  # of more than 5,000 pairs in common lists
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for n, gone, new in ((1, 0, 1), (500, 60, 3), (513, 20, 40), (1000, 0, 200), (9000, 1500, 10), (40_000, 5000, 4000)):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64)]))
+        differ = len(np.setxor1d(a, b))
+        x, y = neardup._parity(a), neardup._parity(b)
+        for p, q in ((x, y), (neardup._fold(x, neardup.LOW_WORDS), y)):
+            assert neardup._apart(p, q) <= differ and (differ - neardup._apart(p, q)) % 2 == 0
+        assert neardup._apart(x, y) >= 0.7 * differ or n > neardup.PARITY_BITS
+
+
 def test_edges(spark):
     got = neardup.dedupe(table(spark, EDGES), words=4).collect()
     assert len(got) == len(EDGES)
