@@ -64,10 +64,13 @@ def scan_annotations(spark: SparkSession, path: str, multi_line: bool = True,
     same wherever the folder lies, ``gts`` is the canonical ``ARRAY<STRUCT<pos,x,y>>``.  Each
     document is parsed once on the executors; values keep the document's text and whether
     they were strings, so each prints the way Python's ``str(json.loads(...))`` would.  A
-    malformed document fails the job; without ``strict`` it yields NULLs.
+    malformed document fails the job; without ``strict`` it yields NULLs.  Whole files are
+    read as they are, never decompressed.
     """
-    raw = (spark.read.option("recursiveFileLookup", recursive).text(path, wholetext=multi_line)
-           .select(F.col("value"), F.col("_metadata.file_path").alias("annotation_path")))
+    read = spark.read.option("recursiveFileLookup", recursive)
+    # the text source sets up a reader for each whole file, which takes far longer than a small file's bytes
+    files = read.format("binaryFile").load(path).withColumn("value", F.col("content").cast("string")) if multi_line else read.text(path)
+    raw = files.select("value", F.col("_metadata.file_path").alias("annotation_path"))
     opts = {"allowNonNumericNumbers": "true", "mode": "FAILFAST" if strict else "PERMISSIVE"}
     marked = F.regexp_replace("value", _STRING_VALUE, f"$1{_MARK}")
     doc = raw.select("annotation_path", F.from_json(marked, _SERIES, opts).alias("s"))

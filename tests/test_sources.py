@@ -38,6 +38,25 @@ def test_annotation_scan_matches_python_str(spark, tmp_path):
     assert [p.pos for p in df[1].gts] == list(range(1, len(EDGE_VALUES) + 1))
 
 
+def test_annotation_files_are_read_in_bulk_as_the_text_source_reads_them(spark, tmp_path):
+    """One task reads many small files without a text reader for each; odd names and bytes give the same rows, an empty file none."""
+    d = tmp_path / "a b" / "x%20y"
+    d.mkdir(parents=True)
+    line = '{"source": "%s", "chart-type": "line", "data-series": [{"x": "1", "y": 2}]}'
+    texts = {"c 1.json": (line % "ünï 😀").encode(), "c#2.json": b"", "c%3.json": (line % "a").replace(",", ",\r\n").encode(), "c4.v2.json": line.encode() % b"bad \xff byte",
+             "c5.json": b"\xef\xbb\xbf" + (line % "bom").encode(), "_hidden.json": b"{", ".c6.json": b"{"}
+    for name, data in texts.items():
+        (d / name).write_bytes(data)
+    got = files.scan_annotations(spark, str(tmp_path), strict=False, recursive=True)
+    text = spark.read.option("recursiveFileLookup", True).text(str(tmp_path), wholetext=True)
+    opts = {"allowNonNumericNumbers": "true"}
+    want = text.select(F.col("_metadata.file_path").alias("p"), F.from_json("value", files._SERIES, opts).alias("s")).select("p", "s.source", F.col("s.`chart-type`"))
+    rows = [tuple(r) for r in got.select("annotation_path", "source", "chart_type").collect()]
+    assert len(rows) == 4 and sorted(rows, key=str) == sorted((tuple(r) for r in want.collect()), key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan binaryFile" in plan and "FileScan text" not in plan
+
+
 def test_strict_annotation_scan_fails_on_bad_json(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"source": "x", "chart-type": ', encoding="utf-8")
     with pytest.raises(Exception):
