@@ -125,11 +125,12 @@ def _matches(ix: Index, h: np.ndarray, hits: np.ndarray, size: int) -> Iterator[
 def _search(docs: DataFrame, ix: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ix)
 
+    @X.tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = shared.value
         for f in frames:
             out = []
-            for first, part in X.chunks(f["text"]):
+            for first, part in X.chunks(f["text"], X.LETTER_BYTES):
                 r = X.letter_runs(part, digits=True)
                 h, at, off = X.shingles(r, SHINGLE)
                 if any(size == 1 for size in ix.by):  # short items: whole sequences of less than five tokens

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,6 @@ TOLERANCE = 1.5
 LEAST_EXCESS = 1.5
 _START, _END = 0x5E, 0x24
 UNKNOWN = "und"
-CHUNK_BYTES = 1 << 20
 
 
 @dataclass
@@ -76,11 +76,12 @@ def _grams(cp: np.ndarray, place: np.ndarray, order: int) -> Iterator[tuple[int,
 
 
 def _count(order: int):
+    @X.tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, list] = {}
         for f in frames:
             for lang, g in f.groupby("lang"):
-                for _, part in X.chunks(g["text"]):
+                for _, part in X.chunks(g["text"], X.LETTER_BYTES):
                     r = X.letter_runs(part)
                     _, one, n = np.unique(r.hash, return_index=True, return_counts=True)
                     cp, place, first = _padded(r, one)
@@ -189,7 +190,7 @@ def run_scores(model: Model, r: X.Runs, which: np.ndarray) -> np.ndarray:
     return np.add.reduceat(bits, first[:-1], axis=0) if len(first) > 1 else np.zeros((0, len(model.langs)))
 
 
-def entropies(model: Model, texts: list[bytes], known: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def entropies(model: Model, texts: list[bytes], known: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bits per symbol per language, number of letters) of each text.
 
     ``known`` keeps the scores of runs already met; it is emptied when it holds
@@ -203,8 +204,8 @@ def entropies(model: Model, texts: list[bytes], known: dict[int, np.ndarray]) ->
     new = np.array([j for j, h in enumerate(listed) if h not in known], np.int64)
     if len(new):
         for j, s in zip(new, run_scores(model, r, one[new])):
-            known[listed[j]] = s
-    scores = np.array([known[h] for h in listed]).reshape(-1, len(model.langs))
+            known[listed[j]] = s.tobytes()
+    scores = np.frombuffer(b"".join([known[h] for h in listed])).reshape(-1, len(model.langs))
     size = r.end - r.start
     total = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(scores[back], axis=0)])
     letters = np.concatenate([[0], np.cumsum(size)])
@@ -222,11 +223,12 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
     """Median and largest excess of the own-language cross-entropy, from the learning rows."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
+    @X.tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, np.ndarray] = {}
+        known: dict[int, bytes] = {}
         for f in frames:
             own = f["lang"].map({x: i for i, x in enumerate(shared.value.langs)}).to_numpy(int)
-            for first, part in X.chunks(f["text"]):
+            for first, part in X.chunks(f["text"], X.LETTER_BYTES):
                 bits, n = entropies(shared.value, part, known)
                 mine = own[first:first + len(part)]
                 out = pd.DataFrame({"l": mine, "h": bits[np.arange(len(part)), mine], "n": n})
@@ -248,15 +250,16 @@ def predict(docs: DataFrame, model: Model, tolerance: float = TOLERANCE, keep: l
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ["lang_pred", "score", "bits", "rejected"]
+    kind = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64()), ("rejected", pa.bool_())])
 
     # Only the text goes to Python and only the verdict comes back: rows stay on the JVM side.
-    @F.pandas_udf("lang_pred string, score double, bits double, rejected boolean")
-    def verdict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        X.release()
+    @F.arrow_udf("lang_pred string, score double, bits double, rejected boolean")
+    @X.tidy
+    def verdict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m, known = shared.value, {}
-        for texts in series:
+        for texts in batches:
             out = [pd.DataFrame({"lang_pred": [], "score": [], "bits": [], "rejected": []}).astype({"lang_pred": object, "rejected": bool})]
-            for _, part in X.chunks(texts, CHUNK_BYTES):
+            for _, part in X.chunks(X.strings(texts), X.LETTER_BYTES):
                 if not m.langs:
                     out.append(pd.DataFrame({"lang_pred": [UNKNOWN] * len(part), "score": 0.0, "bits": 0.0, "rejected": True}))
                     continue
@@ -268,7 +271,7 @@ def predict(docs: DataFrame, model: Model, tolerance: float = TOLERANCE, keep: l
                 limit = m.mean[best] + tolerance * m.worst[best] * _spread(n)
                 out.append(pd.DataFrame({"lang_pred": np.where(n > 0, np.array(m.langs, object)[best], UNKNOWN),
                                          "score": np.where(n > 0, posterior, 0.0), "bits": low, "rejected": (n == 0) | (low > limit)}))
-            yield pd.concat(out, ignore_index=True)
+            yield pa.RecordBatch.from_pandas(pd.concat(out, ignore_index=True), kind, preserve_index=False).to_struct_array()
 
     found = docs.select(*keep, verdict(F.col("text").cast("string")).alias("_verdict"))
     return found.select(*keep, *[F.col("_verdict")[c].alias(c) for c in fields])

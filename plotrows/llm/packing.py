@@ -75,7 +75,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         enc = K.encoder(path)
         signs = _signs(len(enc.width))
         for f in frames:
-            for first, part in X.chunks(f["text"]):
+            for first, part in X.chunks(f["text"], X.LETTER_BYTES):
                 ids, at = enc.encode(K.pieces(part))
                 ids = np.insert(ids, at[1:], END_ID).astype("<u4")
                 at = at + np.arange(len(at))

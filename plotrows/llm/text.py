@@ -14,14 +14,16 @@ import ctypes
 import gc
 import re
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 3 << 20
+LETTER_BYTES = 1 << 18  # for work on code points: about twenty times as much memory, and faster in small pieces
+_KEPT_POWERS = 1 << 18
 
 _MULT = 0x9E3779B97F4A7C15
 _INV = pow(_MULT, -1, 1 << 64)
@@ -79,28 +81,47 @@ def segment_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
 def release() -> None:
     """Give back what earlier tasks left in this worker process.
 
-    Workers are used again by later stages: the tokenizer's pieces and freed memory that
-    the allocators still hold would count against the next one.
+    Workers are used again by later stages: the tokenizer's pieces, the powers for a long
+    text and freed memory that the allocators still hold would count against the next one.
     """
     if tokens := sys.modules.get("plotrows.llm.tokens"):
         tokens.encoder.cache_clear()
+    if len(_POWERS.up) > _KEPT_POWERS:
+        _POWERS.__init__()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # glibc only
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def utf8(text: str | None) -> bytes:
-    """UTF-8 bytes of a text; null is empty, lone surrogates become U+FFFD."""
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives its memory back before and after each task: an idle worker counts, too."""
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        release()
+        yield from run(batches)
+        release()
+    return task
+
+
+def strings(texts: pa.Array) -> Iterator[bytes | None]:
+    """The UTF-8 texts of an Arrow array, one at a time."""
+    return (t.as_py() for t in texts.cast(pa.binary()))
+
+
+def utf8(text: str | bytes | None) -> bytes:
+    """UTF-8 bytes of a text (bytes are taken as they are); null is empty, lone surrogates become U+FFFD."""
     if not text:
         return b""
+    if isinstance(text, bytes):
+        return text
     try:
         return text.encode()
     except UnicodeEncodeError:
         return _SURROGATE.sub("�", text).encode()
 
 
-def chunks(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: Iterable[str | bytes | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Yield (index of the first text, UTF-8 texts) with about ``limit`` bytes each."""
     first, part, size = 0, [], 0
     for i, t in enumerate(texts):

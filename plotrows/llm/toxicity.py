@@ -29,16 +29,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotrows.llm import crf
 from plotrows.llm import text as X
+from plotrows.session import reliable_checkpoint
 
 ROWS_PER_CLASS = 3000
 WINDOWS_PER_ROW = 4
 WINDOW = 16
-CHUNK_BYTES = 1 << 20
 BUCKETS = 1 << 18
 THRESHOLD = 0.3
 EVIDENCE = 3.0   # log of 20
@@ -76,23 +77,27 @@ def sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CL
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+@X.tidy
+def _seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(feature, toxic, doc_id): the features of each document that can be evidence."""
+    for f in frames:
+        toxic, ids = f["toxic"].to_numpy(int), f["doc_id"].to_numpy(np.int64)
+        for first, part in X.chunks(f["text"], X.LETTER_BYTES):
+            r = X.letter_runs(part)
+            n, per = len(r.hash), np.diff(r.offset)
+            feats = _features(r, np.arange(n))[:, _MARKS]
+            feats[(r.end - r.start) < 4] = 0  # a run of three letters or less is no evidence
+            seen = pd.DataFrame({"feature": feats.ravel().view(np.int64),
+                                 "toxic": np.repeat(np.repeat(toxic[first:first + len(part)], per), len(_MARKS)).astype(np.int32),
+                                 "doc_id": np.repeat(np.repeat(ids[first:first + len(part)], per), len(_MARKS))})
+            yield seen[seen["feature"] != 0].drop_duplicates()
+
+
 def _evidence(rows: DataFrame) -> np.ndarray:
     """Sorted feature hashes that mark toxic tokens."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            toxic, ids = f["toxic"].to_numpy(int), f["doc_id"].to_numpy(np.int64)
-            for first, part in X.chunks(f["text"]):
-                r = X.letter_runs(part)
-                n, per = len(r.hash), np.diff(r.offset)
-                feats = _features(r, np.arange(n))[:, _MARKS]
-                feats[(r.end - r.start) < 4] = 0  # a run of three letters or less is no evidence
-                seen = pd.DataFrame({"feature": feats.ravel().view(np.int64),
-                                     "toxic": np.repeat(np.repeat(toxic[first:first + len(part)], per), len(_MARKS)).astype(np.int32),
-                                     "doc_id": np.repeat(np.repeat(ids[first:first + len(part)], per), len(_MARKS))})
-                yield seen[seen["feature"] != 0].drop_duplicates()
     rows = (rows.groupBy(F.sha2("text", 256).alias("same"), "toxic").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
             .select("doc_id", "text", "toxic"))
-    places = rows.mapInPandas(run, "feature long, toxic int, doc_id long")
+    places = rows.mapInPandas(_seen, "feature long, toxic int, doc_id long")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0) + 1, n.get(0, 0) + 1
     odds = F.log((F.col("t") + 0.5) / n1) - F.log((F.col("c") + 0.5) / n0)
@@ -105,10 +110,11 @@ def _evidence(rows: DataFrame) -> np.ndarray:
 
 def _windows(rows: DataFrame, evidence: np.ndarray, per_row: int) -> tuple[np.ndarray, ...]:
     """(feature buckets, token labels, lengths, weights: a clean row's windows stand for all its runs) of the learning windows."""
+    @X.tidy
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             toxic, ids = f["toxic"].to_numpy(int), f["doc_id"].to_numpy(np.int64)
-            for first, part in X.chunks(f["text"]):
+            for first, part in X.chunks(f["text"], X.LETTER_BYTES):
                 r = X.letter_runs(part)
                 feats = _features(r, np.arange(len(r.hash)))
                 hits = X.lookup(evidence, feats[:, _MARKS].ravel())[1].reshape(-1, len(_MARKS)).any(1)
@@ -167,21 +173,23 @@ def _spans(model: Model, texts: list[bytes], known: dict[int, float]) -> Iterato
 
 def _scored(model: Model, docs: DataFrame, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     # Only the text goes to Python and only scores and spans come back: rows stay on the JVM side.
-    @F.pandas_udf("score double, marks array<double>, spans array<struct<start:int,end:int>>")
-    def verdict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        X.release()
+    @F.arrow_udf("score double, marks array<double>, spans array<struct<start:int,end:int>>")
+    @X.tidy
+    def verdict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m, known = shared.value, {}
-        for texts in series:
+        for texts in batches:
             score, every, spans = [np.zeros(0)], [], []
-            for _, part in X.chunks(texts, CHUNK_BYTES):
+            for _, part in X.chunks(X.strings(texts), X.LETTER_BYTES):
                 found = list(_spans(m, part, known))
                 marks = np.array([[*x, 1.0] for x, _ in found]).reshape(-1, 4)
                 score.append(np.zeros(len(part)) if m.curve is None else 1 / (1 + np.exp(-np.clip(marks @ m.curve, -30, 30))))
                 every += list(marks)
                 spans += [[{"start": a, "end": b} for a, b in s] for _, s in found]
-            yield pd.DataFrame({"score": np.concatenate(score), "marks": every, "spans": spans})
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(score)), pa.array(every, pa.list_(pa.float64())), pa.array(spans, span)],
+                                             ["score", "marks", "spans"])
 
     found = docs.select(*keep, verdict(F.col("text").cast("string")).alias("_verdict"))
     return found.select(*keep, *[F.col("_verdict")[c].alias(c) for c in ("score", "marks", "spans")])
@@ -189,7 +197,7 @@ def _scored(model: Model, docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, windows_per_row: int = WINDOWS_PER_ROW) -> Model:
     """Learn from the labelled documents (docs: doc_id, text; labels: doc_id, toxic)."""
-    rows = sample(docs, labels, rows_per_class)
+    rows = reliable_checkpoint(sample(docs, labels, rows_per_class))  # a bounded sample, read five times
     x, y, n, heavy = _windows(rows, _evidence(rows), windows_per_row)
     longest = rows.agg(F.max(F.length("text")).alias("n")).first()["n"] or 0
     model = Model(crf.train(x, y, n, heavy, BUCKETS), longest=max(longest // 6, 10))
