@@ -108,43 +108,86 @@ def _byte_symbols() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of the tokens of texts; keeps the ids of the pieces it has met."""
+    """Ids of the tokens of texts; keeps the ids of the pieces it has met.
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    A piece's hash names its slot in a table, and the last piece of a slot stays: a frequent
+    piece that a rare one put out is back at its next place, and nothing is sorted or listed
+    but what is new.
+    """
+
+    def __init__(self, path: str, bits: int = 20, room: int = 8 << 20) -> None:
         from tokenizers import Tokenizer
-        self.model = Tokenizer.from_file(path).model
-        vocab = Tokenizer.from_file(path).get_vocab()
+        tok = Tokenizer.from_file(path)
+        self.model = tok.model
+        vocab = tok.get_vocab()
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token
         for token, i in vocab.items():
             self.width[i] = len(token)
-        self.known: dict[int, bytes] = {}
-        self.most = most
         self.table = _byte_symbols()
+        self.kind = np.min_scalar_type(len(self.width))
+        self.bits, self.room = bits, room
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hash = np.zeros(1 << self.bits, np.uint64)
+        self.hash[0] = ~np.uint64(0)  # an empty slot holds a hash of another slot
+        self.first, self.size = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
+        self.ids, self.used = np.empty(self.room, self.kind), 0
+
+    def _compact(self) -> None:
+        """Keep the ids that slots refer to; nothing, if these take most of the room (costs time only)."""
+        live = np.flatnonzero(self.size)
+        first, size = self.first[live], self.size[live]
+        if size.sum() > self.room // 4 * 3:
+            return self._forget()
+        ids = self.ids[_places(first, size)]
+        self.ids, self.used = np.empty(self.room, self.kind), len(ids)
+        self.ids[:len(ids)] = ids
+        self.first[live] = np.cumsum(size) - size
 
     def _piece(self, s: str) -> bytes:
         if s.isascii() and s.isprintable():
             s = s.replace(" ", self.table[32])
         else:
             s = s.encode().decode("latin-1").translate(self.table)
-        return array("I", [t.id for t in self.model.tokenize(s)]).tobytes()
+        return array(self.kind.char, [t.id for t in self.model.tokenize(s)]).tobytes()
+
+    def _add(self, p: Pieces, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode the pieces ``at``, of different sorted hashes: (place of the first id, number of ids)."""
+        found = [self._piece(p.text[a:b]) for a, b in zip(p.start[at].tolist(), p.end[at].tolist(), strict=True)]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        ids = np.frombuffer(b"".join(found), self.kind)
+        first = self.used + np.cumsum(size) - size
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.used], ids])
+        else:
+            self.ids[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        slot = hashes >> np.uint64(64 - self.bits)
+        last = np.append(slot[1:] != slot[:-1], True)
+        slot = slot[last]
+        self.hash[slot], self.first[slot], self.size[slot] = hashes[last], first[last], size[last]
+        return first, size
 
     def encode(self, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
         """(ids, tokens before each text)."""
-        u, one, back = np.unique(p.hash, return_index=True, return_inverse=True)
-        if len(self.known) > self.most:  # costs time only
-            self.known.clear()
-        known = self.known
-        listed = u.tolist()
-        found = list(map(known.get, listed))
-        for i in [i for i, x in enumerate(found) if x is None]:
-            found[i] = known[listed[i]] = self._piece(p.text[p.start[one[i]]:p.end[one[i]]])
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids = np.frombuffer(b"".join(found), np.uint32)
-        first = np.cumsum(size) - size
-        n = size[back]
-        before = np.concatenate([[0], np.cumsum(n)])
-        place = np.repeat(first[back] - before[:-1], n) + np.arange(before[-1])
-        return ids[place], before[p.offset]
+        if self.used > self.room // 8 * 7:
+            self._compact()
+        slot = p.hash >> np.uint64(64 - self.bits)
+        first, size = self.first[slot], self.size[slot]
+        new = np.flatnonzero(self.hash[slot] != p.hash)
+        if len(new):
+            u, one, back = np.unique(p.hash[new], return_index=True, return_inverse=True)
+            f, n = self._add(p, u, new[one])
+            first[new], size[new] = f[back], n[back]
+        before = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        return self.ids[_places(first, size)].astype(np.uint32), before[p.offset]
+
+
+def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each run, ``size`` places each."""
+    end = np.cumsum(size, dtype=np.int64)
+    return np.repeat(first - (end - size), size) + np.arange(end[-1] if len(end) else 0)
 
 
 @lru_cache(maxsize=2)

@@ -99,3 +99,29 @@ def test_encoder_equals_the_library(text):
     ids, at = enc.encode(tokens.pieces([text.encode(), b"", text.encode()]))
     want = tok.encode(text, add_special_tokens=False).ids
     assert ids[:at[1]].tolist() == want and ids[at[2]:].tolist() == want
+
+
+def test_pieces_met_again_are_not_encoded_again():
+    """The pieces kept are more than 200,000, and running out of them does not lose them all."""
+    enc = tokens.Encoder(tokens.default_path())
+    calls, piece = [], enc._piece
+    enc._piece = lambda s: calls.append(s) or piece(s)
+    parts = [tokens.pieces([" ".join(f"w{chr(97 + a)}{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}q" for i in range(17_576)).encode()])
+             for a in range(16)]
+    first = [enc.encode(p)[0] for p in parts]
+    met = len(calls)
+    again = [enc.encode(p)[0] for p in parts]
+    assert met == 16 * 17_576 and len(calls) - met < met // 2
+    assert all((a == b).all() for a, b in zip(first, again, strict=True))
+
+
+def test_encoder_with_little_room():
+    """Pieces of one slot, slots given up and the moving of kept ids change no id."""
+    tok, rng = tokenizer(), np.random.default_rng(5)
+    for bits, room in ((1, 8), (4, 256), (9, 1 << 13)):
+        enc = tokens.Encoder(tokens.default_path(), bits, room)
+        for _ in range(40):
+            texts = [" ".join("".join(rng.choice(list("abcdeé漢 1"), 6)) for _ in range(n)) for n in rng.integers(0, 60, 5)]
+            ids, at = enc.encode(tokens.pieces([t.encode() for t in texts]))
+            for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
+                assert ids[a:b].tolist() == tok.encode(t, add_special_tokens=False).ids
