@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +58,65 @@ def test_annotation_files_are_read_in_bulk_as_the_text_source_reads_them(spark,
     assert "FileScan binaryFile" in plan and "FileScan text" not in plan
 
 
+def _annotation_rows(df):
+    return sorted(((r.annotation_path, r.record_id, r.relative_path, r.source, [(p.pos, p.x, p.y) for p in r.gts]) for r in df.collect()), key=str)
+
+
+def test_folders_of_many_annotation_files_are_not_listed_on_the_driver(spark, tmp_path, monkeypatch):
+    """Beyond a few files no scan of Spark's holds the files on the driver; the rows are those of Spark's scan, whatever the names, folders and bytes."""
+    doc = '{"source": "%s", "chart-type": "line", "data-series": [{"x": "%d", "y": 1.50}]}'
+    names = ["a b.json", "c%3.json", "é😀.json", "n\u00a0b\u3000s.json", "t\tb\nl.json", "q?[1]{2}*.json", "e=f&g+h,i;j@k$.json", "p'(~)!\"<>|^`\\.json", "nfc\u0301.json", "\x7f\x85.json", "z.json.gz", "_a=b.json",
+             "_m.json", ".h.json", "_metadata.json", "f._COPYING_", "_c=d._COPYING_"]
+    folders = ["", "s p", "s p/_metadata_x/k", "k=v", "_k=v", "_hidden", ".hidden", "x._COPYING_"] + [f"many/{i}/deep" for i in range(30)]
+    for folder in folders:
+        d = tmp_path / "train" / folder
+        d.mkdir(parents=True, exist_ok=True)
+        (d / "empty.json").touch()
+        (d / "broken.json").symlink_to(tmp_path / "nowhere")
+        for i, name in enumerate(names if "many" not in folder else [f"{i}.v2.json" for i in range(50)]):
+            (d / name).write_bytes((doc % (name.encode().hex(), i)).encode() if i % 5 else b'{"source": "bad \xff byte"')
+    (tmp_path / "train" / "link").symlink_to(tmp_path / "train" / "s p")
+    scan = lambda few, sub="", **k: (monkeypatch.setattr(files, "FEW_FILES", few, raising=False), files.scan_annotations(spark, f"{tmp_path}/train/{sub}", strict=False, **k))[1]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    many = scan(3, recursive=True)
+    assert "FileScan binaryFile" not in plan(many) and "FileScan text" not in plan(many)
+    want = _annotation_rows(scan(100_000, recursive=True))
+    assert len(want) == 12 * 7 + 30 * 50 and _annotation_rows(many) == want
+    flat = scan(3, "many/7/deep")
+    assert "FileScan binaryFile" not in plan(flat) and len(_annotation_rows(flat)) == 50
+    assert _annotation_rows(flat) == _annotation_rows(scan(100_000, "many/7/deep"))
+    assert scan(3, "many").collect() == []  # the files lie in folders below
+
+
+def test_folder_entries_are_the_same_in_every_store(tmp_path):
+    """A local folder is read piece by piece, others by pyarrow's listing."""
+    (tmp_path / "d" / "sub").mkdir(parents=True)
+    (tmp_path / "d" / "a b%.json").write_text("12345")
+    (tmp_path / "d" / "empty").touch()
+    (tmp_path / "d" / "broken").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "d" / "link").symlink_to(tmp_path / "d" / "sub")
+    local, other = fs.LocalFileSystem(), fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    sizes = lambda found: sorted((n, d, 0 if d else size) for n, d, size in found)
+    want = [("a b%.json", False, 5), ("empty", False, 0), ("link", True, 0), ("sub", True, 0)]
+    assert sizes(files._entries(local, f"{tmp_path}/d")) == want == sizes(files._entries(other, "d"))
+
+
+def test_other_scans_of_annotations_stay_with_spark(spark, tmp_path, monkeypatch):
+    """Patterns, single files and folders named key=value are Spark's to read; a missing folder is an error."""
+    monkeypatch.setattr(files, "FEW_FILES", 0, raising=False)
+    for k in ("k=1", "k=2"):
+        (tmp_path / "parts" / k).mkdir(parents=True)
+        for i in range(3):
+            (tmp_path / "parts" / k / f"c{i}.json").write_text('{"source": "s", "chart-type": "dot", "data-series": []}')
+    assert len(files.scan_annotations(spark, f"{tmp_path}/parts").collect()) == 6
+    assert len(files.scan_annotations(spark, f"{tmp_path}/parts/k=*").collect()) == 6
+    assert len(files.scan_annotations(spark, f"{tmp_path}/parts/k=1/c2.json").collect()) == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.scan_annotations(spark, f"{tmp_path}/none", recursive=True)
+    (tmp_path / "nothing").mkdir()
+    assert files.scan_annotations(spark, f"{tmp_path}/nothing", recursive=True).collect() == []
+
+
 def test_strict_annotation_scan_fails_on_bad_json(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"source": "x", "chart-type": ', encoding="utf-8")
     with pytest.raises(Exception):
